@@ -216,7 +216,8 @@ def summary(cell_df: DataFrame, bins: DataFrame, rules: BinRules, split: str = "
     """The univariate summary: one row per feature, all tables joined on a handful of keys."""
     shape = profile(cell_df.where(F.col("split") == split)).select(
         "feature", "missing_pct", "min", "max", "distinct_values")
-    out = (shape.join(information_value(bins), "feature").join(bin_auc(bins), "feature")
-           .join(stability(bins), "feature").join(monotonicity(bins, rules), "feature"))
+    out = shape
+    for part in (information_value(bins), bin_auc(bins), stability(bins), monotonicity(bins, rules)):
+        out = out.join(F.broadcast(part), "feature")   # one row per feature
     flag = flags(F.col("iv"), F.col("psi"), F.col("monotonic"))
     return out.drop("rho").withColumn("flags", flag).withColumn("severity", severity(F.col("flags")))

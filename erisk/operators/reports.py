@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from erisk.functions.bands import order_of
+from erisk.functions.bands import AGE_KEYS, order_of
 from erisk.functions.stats import odds, wilson
 from erisk.operators import scan
 from erisk.operators.metrics import auc_from_cells
@@ -62,16 +62,26 @@ def baseline_rates(train: DataFrame, cell_keys, group_key: str, label: str, min_
 
 def baseline_predict(train: DataFrame, rows: DataFrame, cell_keys, group_key: str, label: str, min_size: int,
                      low=0.01, high=0.99, out="p_base") -> DataFrame:
-    """Cell rate, else group rate, else overall rate, kept inside [low, high]."""
+    """Cell rate, else group rate, else overall rate, kept inside [low, high].
+
+    Cells are (generation, whole year of age): a few labels times the years a date can span, so
+    both tables are broadcast and the rows stay where they are.
+    """
     by_cell, by_group, overall = baseline_rates(train, cell_keys, group_key, label, min_size)
-    joined = rows.join(by_cell, list(cell_keys), "left").join(by_group, group_key, "left")
+    joined = rows.join(F.broadcast(by_cell), list(cell_keys), "left").join(F.broadcast(by_group), group_key, "left")
     rate = F.coalesce(F.col("__cell"), F.col("__group"), overall.scalar())
     return joined.withColumn(out, F.greatest(F.least(rate, F.lit(high)), F.lit(low))).drop("__cell", "__group")
 
 
-def rate_lookup(train: DataFrame, rows: DataFrame, key: str, label: str, out="p_base") -> DataFrame:
-    """One rate per key from train, the overall train rate where the key is new."""
+def rate_lookup(train: DataFrame, rows: DataFrame, key: str, label: str, out="p_base", domain=AGE_KEYS) -> DataFrame:
+    """One rate per key from train, the overall train rate where the key is new.
+
+    A key with a fixed ``domain`` has a bounded rate table, which is broadcast; without one
+    (``domain=None``) the join strategy is Spark's.
+    """
     rates = rate_by(train, [key], label).select(key, F.col("fail_rate").alias("__rate"))
+    if domain is not None:
+        rates = F.broadcast(rates.where(F.col(key).isin(*domain)))
     overall = train.agg(F.avg(label).alias("__all"))
     return (rows.join(rates, key, "left")
             .withColumn(out, F.coalesce(F.col("__rate"), overall.scalar())).drop("__rate"))

@@ -1,7 +1,7 @@
 """Gap-delimited cycles on an event stream (ST2)."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def session_cycles(events: DataFrame, key: str, ts: str, failed: Column, event_id: str, gap: str,
@@ -21,6 +21,23 @@ def session_cycles(events: DataFrame, key: str, ts: str, failed: Column, event_i
                     (1 - F.col("first.passed")).alias("failed"), "n_events", "n_failed", "last_ts"))
 
 
-def batch_cycles(events: DataFrame, key: str, ts: str, failed: Column, event_id: str, gap: str) -> DataFrame:
-    """The batch twin: the same rows over a finished table, every session closed."""
-    return session_cycles(events, key, ts, failed, event_id, gap)
+def batch_cycles(events: DataFrame, key: str, ts: str, failed: Column, event_id: str, gap_seconds: int) -> DataFrame:
+    """The batch twin over a finished table: the same rows, every session closed.
+
+    Events in one time block as long as the gap always belong together, so they are first folded to
+    one row per (key, block) with a map-side combine; a hot key then has at most span / gap rows.
+    """
+    first = F.struct(F.col(ts).alias("ts"), (1 - failed).alias("passed"), F.col(event_id).alias("id"))
+    block = F.floor(F.unix_micros(ts) / F.lit(gap_seconds * 1_000_000))
+    folded = events.groupBy(key, block.alias("__block")).agg(
+        F.min(first).alias("first"), F.count("*").alias("n_events"), F.sum(failed).alias("n_failed"),
+        F.max(ts).alias("last_ts"))
+    w = Window.partitionBy(key).orderBy("__block")
+    wait = F.unix_micros("first.ts") - F.unix_micros(F.lag("last_ts").over(w))
+    starts = folded.withColumn("__new", F.coalesce((wait > gap_seconds * 1_000_000).cast("int"), F.lit(1)))
+    numbered = starts.withColumn("__session", F.sum("__new").over(w))
+    return (numbered.groupBy(key, "__session").agg(
+        F.min("first").alias("first"), F.sum("n_events").alias("n_events"), F.sum("n_failed").alias("n_failed"),
+        F.max("last_ts").alias("last_ts"))
+        .select(key, F.col("first.id").alias("event_id"), F.col("first.ts").alias("first_ts"),
+                (1 - F.col("first.passed")).alias("failed"), "n_events", "n_failed", "last_ts"))

@@ -602,7 +602,7 @@ EVENTS_SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type strin
 @query
 def batch_session_cycles(spark, sf):
     events = W.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return SC.batch_cycles(events, "user_id", "ts", (F.col("event_type") == "error").cast("int"), "event_id", STREAM_GAP)
+    return SC.batch_cycles(events, "user_id", "ts", (F.col("event_type") == "error").cast("int"), "event_id", 12 * 3600)
 
 
 @query
@@ -625,9 +625,18 @@ def fit_logistic(spark, sf):
 
 @query
 def platt(spark, sf):
-    s = W.scored(spark, sf)
-    a, b = M.fit_platt(durable(s.where("split = 'validation'").select("p", LABEL)), logit(F.col("p")), LABEL)
-    return s.where("split = 'test'").select("mot_test_number", sigmoid(F.lit(a) * logit(F.col("p")) + F.lit(b)).alias("p_calibrated"))
+    s = durable(W.scored(spark, sf).where("split <> 'train'").select("mot_test_number", "split", "p", LABEL))
+    calibrated = M.platt_of_probability(s.where("split = 'validation'"), "p", LABEL)
+    return s.where("split = 'test'").select("mot_test_number", F.round(calibrated(F.col("p")), 4).alias("p_calibrated"))
+
+
+@query
+def fit_one_feature(spark, sf):
+    """M6: a plain fit on one count, applied to each of its values."""
+    f = durable(W.features(spark, sf).select(F.coalesce("fails_last_3", F.lit(0)).alias("recent"), LABEL))
+    (slope,), intercept = M.fit_logistic(f, ["recent"], LABEL, c=1e6)
+    return f.groupBy("recent").agg(F.count("*").alias("n")).select(
+        "recent", "n", F.round(sigmoid(F.lit(intercept) + F.lit(slope) * F.col("recent")), 4).alias("fitted_rate"))
 
 
 @query

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from erisk.functions.rules import split_label
 from erisk.operators import history as H, model as M
 from erisk.settings import ScopeRules, Settings, TextRules
 
@@ -105,5 +106,8 @@ def text_features(spark: SparkSession, sf: str, leaky: bool = False) -> DataFram
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    from erisk.functions.rules import split_label
-    return M.scored(features(spark, sf), MODEL).withColumn("split", split_label("test_date", SETTINGS))
+    """Features with probability, band and split. Scores keep 12 digits: engines whose exp differs in
+    the last bit then agree about ties."""
+    return (features(spark, sf).withColumn("p", F.round(M.probability(MODEL), 12))
+            .withColumn("band", M.band(MODEL, F.col("p"), F.col("age_years")))
+            .withColumn("split", split_label("test_date", SETTINGS)))
