@@ -20,22 +20,36 @@ ENTITY, EVENT = "registration", "mot_test_number"
 
 # ---- population ---------------------------------------------------------------
 
+def day_column(events: DataFrame) -> Column:
+    kind = dict(events.dtypes)["completed_date"]
+    return F.to_date("completed_date") if kind.startswith("timestamp") else R.day("completed_date")
+
+
+def in_dates(events: DataFrame, start: str | None, end: str) -> DataFrame:
+    """Inclusive days. On a timestamp the limits are put on the column itself, so they reach the scan."""
+    kind = dict(events.dtypes)["completed_date"]
+    if kind.startswith("timestamp"):
+        at, last = F.col("completed_date"), F.date_add(F.lit(end).cast("date"), 1).cast(kind)
+        out = events.where(at < last)
+        return out if start is None else out.where(at >= F.lit(start).cast("date").cast(kind))
+    d = R.day("completed_date")
+    out = events.where(d <= F.lit(end).cast("date"))
+    return out if start is None else out.where(d >= F.lit(start).cast("date"))
+
+
 def prepare_events(events: DataFrame, s: Settings, key_filter: Column | None = None,
                    start: str | None = None) -> DataFrame:
     """pass/fail events of the right source up to the snapshot end (from ``start``)."""
-    d = F.to_date("completed_date") if dict(events.dtypes)["completed_date"] == "timestamp" else R.day("completed_date")
     result = R.result_text("test_result", s)
-    out = events.where(result.isin(s.passed, s.failed))
+    out = in_dates(events.where(result.isin(s.passed, s.failed)), start, s.snapshot_end)
     if s.source is not None:
         out = out.where(R.known_source("data_source", s))
     if key_filter is not None:
         out = out.where(key_filter)
-    out = out.select(
-        ENTITY, EVENT, "completed_date", d.alias("d"), (result == s.failed).cast("int").alias("failed"),
+    return out.select(
+        ENTITY, EVENT, "completed_date", day_column(events).alias("d"), (result == s.failed).cast("int").alias("failed"),
         R.reading(F.col("odometer_value"), F.col("odometer_unit"), F.col("odometer_result_type"), s.km_factor)
          .alias("miles"))
-    out = out.where(F.col("d") <= F.lit(s.snapshot_end).cast("date"))
-    return out if start is None else out.where(F.col("d") >= F.lit(start).cast("date"))
 
 
 def prepare_entities(entities: DataFrame, rules: ScopeRules | None = None, sample_pct: int | None = None,
@@ -147,13 +161,13 @@ def with_items(events: DataFrame, counts: DataFrame) -> DataFrame:
 
 def cycle_table(events: DataFrame, items: DataFrame, s: Settings, text_rules: TextRules | None = None,
                 key_filter: Column | None = None) -> DataFrame:
-    """Events -> counted items -> first of day -> cycles."""
-    population = prepare_events(events, s, key_filter)
+    """Events -> first of day -> counted items -> cycles. The cut comes first: it shrinks hot entities."""
+    daily = first_of_day(prepare_events(events, s, key_filter))
     if text_rules is None:
-        counted = with_items(population, item_counts(items, s).drop("n_minor"))
+        counted = with_items(daily, item_counts(items, s).drop("n_minor"))
     else:
-        counted = choose_text_counts(with_items(population, item_text_counts(items, s, text_rules)), s, text_rules)
-    return cycles(first_of_day(counted), s.gap_days)
+        counted = choose_text_counts(with_items(daily, item_text_counts(items, s, text_rules)), s, text_rules)
+    return cycles(counted, s.gap_days)
 
 
 def history_columns(s: Settings) -> list[Column]:
@@ -266,8 +280,7 @@ def first_per_age_year(entities: DataFrame, events: DataFrame, s: Settings, star
 
 def has_repeat(events: DataFrame, gap_days: int) -> DataFrame:
     """Entities with any two consecutive raw events within the gap (same-day ones included)."""
-    d = F.to_date("completed_date") if dict(events.dtypes)["completed_date"] == "timestamp" else R.day("completed_date")
-    days = events.select(ENTITY, d.alias("d")).groupBy(ENTITY, "d").agg(F.count("*").alias("n"))
+    days = events.select(ENTITY, day_column(events).alias("d")).groupBy(ENTITY, "d").agg(F.count("*").alias("n"))
     near = (F.col("n") > 1) | (F.datediff("d", F.lag("d").over(by_time())) <= gap_days)
     return (days.select(ENTITY, near.alias("near")).where("near").select(ENTITY).distinct())
 
@@ -311,10 +324,8 @@ def top_disagreements(pairs: DataFrame, k: int = 5) -> DataFrame:
 def safety_net(entities: DataFrame, events: DataFrame, s: Settings, rules: ScopeRules, known,
                small: float = 900, min_size: int = 20, share: float = 0.2) -> DataFrame:
     """Labels with many small engines among entities tested in the window."""
-    d = F.to_date("completed_date") if dict(events.dtypes)["completed_date"] == "timestamp" else R.day("completed_date")
-    seen = (events.where(R.known_source("data_source", s) if s.source is not None else F.lit(True))
-                  .where(d.between(F.lit(s.regime_date).cast("date"), F.lit(s.snapshot_end).cast("date")))
-                  .select(ENTITY))
+    dated = in_dates(events, s.regime_date, s.snapshot_end)
+    seen = (dated if s.source is None else dated.where(R.known_source("data_source", s))).select(ENTITY)
     covered = entities.where((R.in_sample(ENTITY, s.sample_pct) == 1) & (R.in_scope("make", "model", rules) == 1))
     grouped = (covered.join(seen, ENTITY, "left_semi")
                .groupBy(R.clean_label("make", rules).alias("make"))

@@ -15,7 +15,7 @@ STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
 def iso(column: str, dtype: str) -> Column:
-    return F.date_format(column, STAMP) if dtype == "timestamp" else F.col(column).cast("string")
+    return F.date_format(column, STAMP) if dtype.startswith("timestamp") else F.col(column).cast("string")
 
 
 def export_records(entities: DataFrame, events: DataFrame, items: DataFrame,

@@ -28,13 +28,15 @@ def batch_cycles(events: DataFrame, key: str, ts: str, failed: Column, event_id:
     one row per (key, block) with a map-side combine; a hot key then has at most span / gap rows.
     """
     first = F.struct(F.col(ts).alias("ts"), (1 - failed).alias("passed"), F.col(event_id).alias("id"))
-    block = F.floor(F.unix_micros(ts) / F.lit(gap_seconds * 1_000_000))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    block = F.floor(micros(ts) / F.lit(gap_seconds * 1_000_000))
     folded = events.groupBy(key, block.alias("__block")).agg(
         F.min(first).alias("first"), F.count("*").alias("n_events"), F.sum(failed).alias("n_failed"),
         F.max(ts).alias("last_ts"))
     w = Window.partitionBy(key).orderBy("__block")
-    wait = F.unix_micros("first.ts") - F.unix_micros(F.lag("last_ts").over(w))
-    starts = folded.withColumn("__new", F.coalesce((wait > gap_seconds * 1_000_000).cast("int"), F.lit(1)))
+    timed = folded.withColumn("__from", micros("first.ts")).withColumn("__to", micros("last_ts"))
+    wait = F.col("__from") - F.lag("__to").over(w)
+    starts = timed.withColumn("__new", F.coalesce((wait > gap_seconds * 1_000_000).cast("int"), F.lit(1)))
     numbered = starts.withColumn("__session", F.sum("__new").over(w))
     return (numbered.groupBy(key, "__session").agg(
         F.min("first").alias("first"), F.sum("n_events").alias("n_events"), F.sum("n_failed").alias("n_failed"),

@@ -596,22 +596,24 @@ def stream_score(spark, sf):
 
 # ---- streams --------------------------------------------------------------------
 
-EVENTS_SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
 @query
 def batch_session_cycles(spark, sf):
-    events = W.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return SC.batch_cycles(events, "user_id", "ts", (F.col("event_type") == "error").cast("int"), "event_id", 12 * 3600)
+    return SC.batch_cycles(W.table(spark, sf, "events"), "user_id", "ts", (F.col("event_type") == "error").cast("int"), "event_id", 12 * 3600)
 
 
 @query
 def stream_session_cycles(spark, sf):
     """ST2: the given event table as a stream; only sessions the watermark has closed are final."""
-    stream = (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf))
+    stream = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf) \
+        .withColumn("ts", F.col("ts").cast("timestamp"))   # a watermark needs an instant
     cycles = SC.session_cycles(stream, "user_id", "ts", (F.col("event_type") == "error").cast("int"), "event_id",
                                STREAM_GAP, STREAM_DELAY)
-    return jobs.run_to_table(spark, cycles, "sessions")
+    out = jobs.run_to_table(spark, cycles, "sessions")
+    return out.withColumn("first_ts", F.col("first_ts").cast("timestamp_ntz")) \
+        .withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
 
 
 # ---- models ---------------------------------------------------------------------

@@ -68,7 +68,7 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
     return table(spark, sf, "orders").select(
         F.col("o_orderkey").cast("string").alias("mot_test_number"), F.col("o_custkey").cast("string").alias("registration"),
-        F.col("o_orderdate").cast("timestamp").alias("completed_date"),
+        F.col("o_orderdate").alias("completed_date"),
         F.when(status == "F", "FAILED").when(status == "O", "PASSED").otherwise("ABANDONED").alias("test_result"),
         F.col("o_totalprice").alias("odometer_value"),
         F.when(priority.startswith("2"), "km").otherwise("mi").alias("odometer_unit"),
