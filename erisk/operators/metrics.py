@@ -92,13 +92,30 @@ def edge_bucket(value: Column, edges, right: bool = True) -> Column:
     return F.when(value.isNotNull(), out)
 
 
-def calibration_bins(df: DataFrame, label: str, score: str, bins: int = 10, edges=None) -> DataFrame:
-    """Predicted against actual per predicted-score bin; duplicate edges are dropped."""
-    edges = quantile_edges(df, score, bins) if edges is None else edges
-    return (df.groupBy(edge_bucket(F.col(score), edges).cast("long").alias("bin"))
-              .agg(F.avg(score).alias("predicted"), F.avg(F.col(label).cast("double")).alias("actual"),
-                   F.count("*").alias("n"))
-              .withColumn("gap_points", (F.col("predicted") - F.col("actual")) * 100))
+def edges_of(cell_df: DataFrame, value: str, weight: str, bins: int, bounds=None) -> Column:
+    """The distinct quantile edges of aggregated rows as one sorted array, without a second job."""
+    found = scan.quantiles(cell_df, value, [i / bins for i in range(bins + 1)], bounds=bounds, weight=F.col(weight))
+    return found.agg(F.sort_array(F.collect_set("quantile"))).scalar()   # at most bins + 1 numbers
+
+
+def bucket_in(value: str, edges: str, right: bool = True) -> Column:
+    """``edge_bucket`` against an array column of edges."""
+    inner = F.slice(edges, F.lit(2), F.greatest(F.size(edges) - 2, F.lit(0)))
+    return F.size(F.filter(inner, (lambda e: e < F.col(value)) if right else (lambda e: e <= F.col(value))))
+
+
+def calibration_bins(df: DataFrame, label: str, score: str, bins: int = 10) -> DataFrame:
+    """Predicted against actual per predicted-score bin; duplicate edges are dropped.
+
+    Edges and bins both read the (score -> count, outcomes) cells, so rows are folded once.
+    """
+    folded = df.where(F.col(score).isNotNull()).groupBy(score).agg(
+        F.count("*").alias("n"), F.sum(F.col(label)).alias("__y"))
+    binned = folded.withColumn("__e", edges_of(folded, score, "n", bins)) \
+        .withColumn("bin", bucket_in(score, "__e").cast("long"))
+    return (binned.groupBy("bin").agg((F.sum(F.col(score) * F.col("n")) / F.sum("n")).alias("predicted"),
+                                      (F.sum("__y") / F.sum("n")).alias("actual"), F.sum("n").alias("n"))
+            .withColumn("gap_points", (F.col("predicted") - F.col("actual")) * 100))
 
 
 def calibration_summary(bins: DataFrame) -> DataFrame:
@@ -128,14 +145,18 @@ def psi_from_counts(counts: DataFrame, keys, label: str, expected: str, actual:
 
 def psi_score(df: DataFrame, score: str, is_expected: Column, is_actual: Column, bins: int = 10) -> DataFrame:
     """PSI of a score: quantile edges of the expected rows, open ends, left-closed bins."""
-    edges = quantile_edges(df.where(is_expected), score, bins)
-    counted = df.groupBy(edge_bucket(F.col(score), edges, right=False).alias("bin")).agg(
+    folded = df.where(F.col(score).isNotNull()).groupBy(score).agg(
         F.count_if(is_expected).alias("n_expected"), F.count_if(is_actual).alias("n_actual"))
-    all_bins = df.sparkSession.range(max(len(edges) - 1, 1)).select(F.col("id").cast("int").alias("bin"))
-    full = all_bins.join(counted, "bin", "left").fillna(0, ["n_expected", "n_actual"])
-    e, a = full.agg(F.sum("n_expected")).scalar(), full.agg(F.sum("n_actual")).scalar()
-    share = full.select((F.col("n_expected") / e + 1e-6).alias("e"), (F.col("n_actual") / a + 1e-6).alias("a"))
-    return share.agg(F.sum((F.col("a") - F.col("e")) * F.ln(F.col("a") / F.col("e"))).alias("psi"))
+    edges = edges_of(folded.where(F.col("n_expected") > 0), score, "n_expected", bins)
+    binned = folded.withColumn("__e", edges)
+    counted = binned.groupBy(bucket_in(score, "__e", right=False).alias("bin")).agg(
+        F.sum("n_expected").alias("x"), F.sum("n_actual").alias("y"))
+    total = counted.agg(F.sum("x").alias("x"), F.sum("y").alias("y"),
+                        F.collect_list(F.struct("x", "y")).alias("bins"))   # one row of at most ``bins`` pairs
+    share = lambda b: F.struct((b["x"] / F.col("x") + 1e-6).alias("e"), (b["y"] / F.col("y") + 1e-6).alias("a"))
+    part = lambda s: (s["a"] - s["e"]) * F.ln(s["a"] / s["e"])
+    # bins without any row have equal shares on both sides and add nothing
+    return total.select(F.aggregate(F.transform("bins", share), F.lit(0.0), lambda acc, s: acc + part(s)).alias("psi"))
 
 
 # ---- segments -----------------------------------------------------------------

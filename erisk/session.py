@@ -10,6 +10,8 @@ CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # no call site per column: plans of many columns are built in half the time
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # merge gap sessions before the shuffle, so a hot key ships sessions, not rows
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }

@@ -18,25 +18,69 @@ def iso(column: str, dtype: str) -> Column:
     return F.date_format(column, STAMP) if dtype.startswith("timestamp") else F.col(column).cast("string")
 
 
+MAX_BROADCAST = 100_000   # hot keys; beyond it every key takes the way that needs no list
+TEST_KEYS = ["motTestNumber", "completedDate", "testResult", "odometerValue", "odometerUnit", "odometerResultType",
+             "expiryDate", "dataSource", "defects"]
+
+
+def hot_keys(df: DataFrame, key: str, limit: int) -> tuple[DataFrame, int]:
+    """Keys with more than ``limit`` rows, and how many (counted up to just over MAX_BROADCAST)."""
+    hot = df.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > limit).select(key)
+    return hot, hot.limit(MAX_BROADCAST + 1).count()
+
+
+def split_hot(df: DataFrame, key: str, hot: DataFrame, n: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """(rows of ordinary keys, rows of hot keys); None where a side is not needed."""
+    if n == 0:
+        return df, None
+    if n > MAX_BROADCAST:
+        return None, df
+    hot = F.broadcast(hot)
+    return df.join(hot, key, "left_anti"), df.join(hot, key, "left_semi")
+
+
+def both(whole: DataFrame | None, parts: DataFrame | None) -> DataFrame:
+    return parts if whole is None else whole if parts is None else whole.unionByName(parts)
+
+
+def defect_arrays(items: DataFrame, max_items: int, hot_events: DataFrame, n: int) -> DataFrame:
+    """(event, chunk) -> array of items. Copies of an item in a hot event are counted before they are
+    collected, and split into pieces of at most ``max_items``; a piece goes to a chunk by hash."""
+    event, fields = "mot_test_number", ["type", "text", "dangerous"]
+    plain, hot = split_hot(items, event, hot_events, n)
+    whole = None if plain is None else plain.groupBy(event).agg(
+        F.sort_array(F.collect_list(F.struct(*fields))).alias("defects")).withColumn("chunk", F.lit(0))
+    if hot is None:
+        return whole
+    copies = hot.groupBy(event, *fields).agg(F.count("*").alias("copies"))
+    chunks = copies.groupBy(event).agg(F.ceil(F.sum("copies") / max_items).cast("int").alias("chunks"))
+    pieces = (copies.join(chunks, event)
+              .withColumn("piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("copies") / max_items).cast("int") - 1)))
+              .withColumn("copies", F.least(F.col("copies") - F.col("piece") * max_items, F.lit(max_items)))
+              .withColumn("chunk", F.pmod(F.xxhash64(*fields, "piece"), F.col("chunks")).cast("int"))
+              .repartition(event, "chunk"))   # the join's own hashing would keep a hot event whole
+    parts = pieces.groupBy(event, "chunk").agg(F.flatten(F.sort_array(F.collect_list(
+        F.array_repeat(F.struct(*fields), F.col("copies").cast("int"))))).alias("defects"))
+    return both(whole, parts)
+
+
 def export_records(entities: DataFrame, events: DataFrame, items: DataFrame,
                    max_tests: int = 5_000, max_items: int = 5_000) -> DataFrame:
     """Rebuild every entity's whole history, tests by date and number inside a document.
 
-    Copies of an item are counted before they are collected, and split into pieces of at most
-    ``max_items``; a piece goes to a part chosen by hash. Everything is kept.
+    Entities and events of ordinary size are collected with one shuffle each; the few hot ones go
+    through parts. Everything is kept.
     """
-    distinct = items.groupBy("mot_test_number", "type", "text", "dangerous").agg(F.count("*").alias("copies"))
-    sizes = distinct.groupBy("mot_test_number").agg(
-        F.ceil(F.sum("copies") / max_items).cast("int").alias("chunks"))
-    pieces = (distinct.join(sizes, "mot_test_number")
-              .withColumn("piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("copies") / max_items).cast("int") - 1)))
-              .withColumn("copies", F.least(F.col("copies") - F.col("piece") * max_items, F.lit(max_items)))
-              .withColumn("chunk", F.pmod(F.xxhash64("type", "text", "dangerous", "piece"), F.col("chunks")).cast("int"))
-              .repartition("mot_test_number", "chunk"))   # the join's own hashing would keep a hot event whole
-    defects = pieces.groupBy("mot_test_number", "chunk").agg(F.flatten(F.sort_array(F.collect_list(
-        F.array_repeat(F.struct("type", "text", "dangerous"), F.col("copies").cast("int"))))).alias("defects"))
     types = dict(events.dtypes)
-    tests = events.join(defects, "mot_test_number", "left").select(
+    no_items = F.array().cast("array<struct<type:string,text:string,dangerous:boolean>>")
+    hot_events, n_events = hot_keys(items, "mot_test_number", max_items)
+    hot_entities, n_entities = hot_keys(events, "registration", max_tests)
+    if n_events:   # an event in chunks makes its entity a document in parts
+        few = F.broadcast(hot_events) if n_events <= MAX_BROADCAST else hot_events
+        owners = events.join(few, "mot_test_number", "left_semi").select("registration")
+        hot_entities = hot_entities.union(owners).distinct()
+        n_entities = hot_entities.limit(MAX_BROADCAST + 1).count()
+    tests = events.join(defect_arrays(items, max_items, hot_events, n_events), "mot_test_number", "left").select(
         "registration", F.coalesce("chunk", F.lit(0)).alias("chunk"),
         F.struct(iso("completed_date", types["completed_date"]).alias("completedDate"),
                  F.col("mot_test_number").cast("string").alias("motTestNumber"),
@@ -46,22 +90,22 @@ def export_records(entities: DataFrame, events: DataFrame, items: DataFrame,
                  F.col("odometer_result_type").alias("odometerResultType"),
                  F.col("expiry_date").cast("string").alias("expiryDate"),
                  F.upper(F.coalesce("data_source", F.lit(""))).alias("dataSource"),
-                 F.coalesce("defects", F.array().cast("array<struct<type:string,text:string,dangerous:boolean>>"))
-                  .alias("defects")).alias("test"))
-    parts = tests.groupBy("registration").agg(
-        F.ceil(F.count("*") / max_tests).cast("int").alias("__p"), (F.max("chunk") + 1).alias("__c"))
-    numbered = (tests.join(parts, "registration")
-                .withColumn("n_parts", F.when((F.col("__p") == 1) & (F.col("__c") == 1), 1)
-                            .otherwise(F.col("__p") * F.col("__c")))
-                .withColumn("part", F.pmod(F.xxhash64("test.motTestNumber", "chunk"), F.col("n_parts")).cast("int"))
-                .repartition("registration", "part"))
-    keys = ["motTestNumber", "completedDate", "testResult", "odometerValue", "odometerUnit", "odometerResultType",
-            "expiryDate", "dataSource", "defects"]
-    grouped = numbered.groupBy("registration", "part", "n_parts").agg(F.transform(
-        F.sort_array(F.collect_list("test")), lambda t: F.struct(*[t[k].alias(k) for k in keys])).alias("motTests"))
-    out = entities.join(grouped, "registration", "left")
+                 F.coalesce("defects", no_items).alias("defects")).alias("test"))
+    in_order = F.transform(F.sort_array(F.collect_list("test")), lambda t: F.struct(*[t[k].alias(k) for k in TEST_KEYS]))
+    plain, hot = split_hot(tests, "registration", hot_entities, n_entities)
+    whole = None if plain is None else plain.groupBy("registration").agg(in_order.alias("motTests")).select(
+        "registration", "motTests", F.lit(0).alias("part"), F.lit(1).alias("n_parts"))
+    parts = None
+    if hot is not None:
+        sizes = hot.groupBy("registration").agg(
+            (F.ceil(F.count("*") / max_tests) * (F.max("chunk") + 1)).cast("int").alias("n_parts"))
+        numbered = (hot.join(sizes, "registration")
+                    .withColumn("part", F.pmod(F.xxhash64("test.motTestNumber", "chunk"), F.col("n_parts")).cast("int"))
+                    .repartition("registration", "part"))
+        parts = numbered.groupBy("registration", "part", "n_parts").agg(in_order.alias("motTests")) \
+            .select("registration", "motTests", "part", "n_parts")
     no_tests = F.array().cast(RECORD_SCHEMA["motTests"].dataType)
-    return out.select(
+    return entities.join(both(whole, parts), "registration", "left").select(
         F.col("registration").cast("string").alias("registration"), "make", "model",
         F.col("first_used_date").cast("string").alias("firstUsedDate"),
         F.col("registration_date").cast("string").alias("registrationDate"),

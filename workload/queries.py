@@ -368,7 +368,7 @@ def psi_score(spark, sf):
 
 @query
 def preprocessing_stats(spark, sf):
-    train = W.features(spark, sf).where(F.col("test_date") < F.lit(W.SETTINGS.validation_start).cast("date"))
+    train = durable(W.features(spark, sf).where(F.col("test_date") < F.lit(W.SETTINGS.validation_start).cast("date")))
     prep = M.learn_preprocessing(train, n_makes=3)
     rows = [(c, float(prep["fill_values"][c]), prep["means"][c], prep["sds"][c]) for c in M.NUMERIC]
     return spark.createDataFrame(rows, "feature string, fill_value double, mean double, sd double")

@@ -48,8 +48,15 @@ MODEL = {
 }
 
 
+SCHEMAS: dict = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; its schema is read from the footer once, not once per query."""
+    path = f"{sf}/{name}.parquet"
+    if path not in SCHEMAS:
+        SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(SCHEMAS[path]).parquet(path)
 
 
 def entities(spark: SparkSession, sf: str) -> DataFrame:
