@@ -325,7 +325,7 @@ def safety_net(entities: DataFrame, events: DataFrame, s: Settings, rules: Scope
                small: float = 900, min_size: int = 20, share: float = 0.2) -> DataFrame:
     """Labels with many small engines among entities tested in the window."""
     dated = in_dates(events, s.regime_date, s.snapshot_end)
-    seen = (dated if s.source is None else dated.where(R.known_source("data_source", s))).select(ENTITY)
+    seen = (dated if s.source is None else dated.where(R.known_source("data_source", s))).select(ENTITY).distinct()
     covered = entities.where((R.in_sample(ENTITY, s.sample_pct) == 1) & (R.in_scope("make", "model", rules) == 1))
     grouped = (covered.join(seen, ENTITY, "left_semi")
                .groupBy(R.clean_label("make", rules).alias("make"))

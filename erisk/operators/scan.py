@@ -11,10 +11,24 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-UNIT_BLOCKS = 16384   # power of two: value * UNIT_BLOCKS is exact, so blocks keep the order
+UNIT_BLOCKS = 16384   # per level; powers of two multiply exactly, so blocks keep the order
+LEVEL_BITS, LEVELS = 7, 5
 BLOCK = "__block"
 
 
+def unit_block(value: Column) -> Column:
+    """An order-keeping block number for scores in [0, 1], finer for smaller ones.
+
+    A score in [2^-7(k+1), 2^-7k) is cut to blocks of width 2^-(14+7k), so models that give every
+    row a tiny probability still spread over thousands of blocks.
+    """
+    level = lambda k: (F.floor(value * F.lit(float(UNIT_BLOCKS * 2 ** (LEVEL_BITS * k)))) - k * UNIT_BLOCKS).cast("long")
+    out = F.when(value >= 2.0 ** -LEVEL_BITS, level(0))
+    for k in range(1, LEVELS - 1):
+        out = out.when(value >= 2.0 ** (-LEVEL_BITS * (k + 1)), level(k))
+    return out.otherwise(level(LEVELS - 1))
+
+
 def value_bounds(df: DataFrame, columns, n_blocks: int = 200) -> dict[str, list[float]]:
     """Approximate quantiles per column, used only to balance blocks; results never depend on them."""
     probs = [i / n_blocks for i in range(1, n_blocks)]
@@ -23,14 +37,14 @@ def value_bounds(df: DataFrame, columns, n_blocks: int = 200) -> dict[str, list[
 
 
 def block_of(df: DataFrame, value: str, bounds=None, out: str = BLOCK) -> DataFrame:
-    """Add an order-keeping block number: fixed width on [0, 1], or binary search in given bounds."""
+    """Add an order-keeping block number: fixed for [0, 1], or binary search in given bounds."""
     if bounds is None:
-        return df.withColumn(out, F.floor(F.col(value) * F.lit(float(UNIT_BLOCKS))).cast("int"))
+        return df.withColumn(out, unit_block(F.col(value)))
     if not bounds:
-        return df.withColumn(out, F.lit(0))
+        return df.withColumn(out, F.lit(0).cast("long"))
     splits = [float("-inf"), *bounds, float("inf")]
     return (Bucketizer(splits=splits, inputCol=value, outputCol=out).transform(df)
-            .withColumn(out, F.col(out).cast("int")))
+            .withColumn(out, F.col(out).cast("long")))
 
 
 def cells(df: DataFrame, groups, value: str, sums: dict[str, Column], bounds=None) -> DataFrame:

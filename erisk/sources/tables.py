@@ -58,6 +58,12 @@ def write_features(df: DataFrame, path: str) -> None:
     (df.withColumn("test_year", F.year("test_date")).write.mode("errorifexists").partitionBy("test_year").parquet(path))
 
 
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:
+    """S4 for source tables read again and again: events and items bucketed by event id join without a shuffle."""
+    writer = df.write.mode("errorifexists").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
 def write_report(df: DataFrame, path: str, order=()) -> None:
     """A small report as one sorted CSV part; large tables are left partitioned."""
     out = df.orderBy(*order) if order else df

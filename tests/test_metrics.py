@@ -51,6 +51,16 @@ def test_auc_outside_unit_range(df, rows):
         plain_auc([r[2] for r in rows], [r[3] for r in rows]), abs=1e-12)
 
 
+def test_tiny_scores_keep_order_and_spread(spark, df, rows):
+    tiny = df.withColumn("s", F.col("p") * 2.0 ** -20)
+    assert MT.auc(tiny, "y", "s").first()["auc"] == pytest.approx(plain_auc([r[2] for r in rows], [r[3] for r in rows]), abs=1e-12)
+    blocks = tiny.where("p > 0").select("s", scan.unit_block(F.col("s")).alias("b")).distinct()
+    assert blocks.select("b").distinct().count() > 100
+    every = spark.createDataFrame([(2.0 ** -k * m,) for k in range(60) for m in (1.0, 1.3, 1.999)] + [(0.0,), (1.0,)], "v double") \
+        .where("v <= 1").withColumn("b", scan.unit_block(F.col("v"))).orderBy("v").collect()
+    assert all(x["b"] <= y["b"] for x, y in zip(every, every[1:]))
+
+
 def test_one_class_is_null(df):
     assert MT.auc(df.where("y = 1"), "y", "p").first()["auc"] is None
 

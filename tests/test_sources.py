@@ -26,6 +26,22 @@ def test_csv_and_parquet_round_trip(spark, tmp_path):
     assert T.read_table(spark, str(tmp_path / "report"), "make string, age_years double", "csv").count() >= 2
 
 
+def test_bucketed_tables_join_in_place(spark, tmp_path):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    for name in ("bucketed_events", "bucketed_items"):
+        T.write_bucketed(spark.range(100).select(F.col("id").cast("string").alias("mot_test_number"), F.lit("ADVISORY").alias("type")),
+                         name, "mot_test_number", 4, str(tmp_path / name))
+    from erisk import Settings as S
+    from erisk.operators.history import item_counts, with_items
+    joined = with_items(spark.table("bucketed_events").select("mot_test_number"), item_counts(spark.table("bucketed_items"), S()))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and joined.agg(F.sum("n_advisory")).first()[0] == 100
+    for name in ("bucketed_events", "bucketed_items"):
+        spark.sql(f"DROP TABLE {name}")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_missing_source_fails(spark, tmp_path):
     with pytest.raises(AnalysisException):
         T.read_table(spark, str(tmp_path / "nothing"))

@@ -64,6 +64,14 @@ def flagged_history(spark, sf):
         "registration", "mot_test_number", "d", "failed", "miles", "days_since_previous", "kept_as_cycle")
 
 
+@query
+def histories_of_failing(spark, sf):
+    """S2 for many keys: raw events of every entity that failed its last three cycles."""
+    keys = W.features(spark, sf).where("fails_last_3 = 3").select("registration")
+    return H.history_of(W.events(spark, sf), keys).select("registration", "mot_test_number", "completed_date", "test_result",
+                                                          "odometer_value")
+
+
 @query
 def chart_rate_by_age_group(spark, sf):
     return chart.chart_points(W.entities(spark, sf), W.events(spark, sf), W.SETTINGS)
@@ -374,6 +382,20 @@ def preprocessing_stats(spark, sf):
     return spark.createDataFrame(rows, "feature string, fill_value double, mean double, sd double")
 
 
+@query
+def readable_units(spark, sf):
+    """Fixed coefficients in readable units of the deviations learnt from the data."""
+    train = durable(W.features(spark, sf).where(F.col("test_date") < F.lit(W.SETTINGS.validation_start).cast("date")))
+    model = {**W.MODEL, "preprocessing": M.learn_preprocessing(train, n_makes=3)}
+    return M.readable_units(spark, model).drop("mean")
+
+
+@query
+def fuels_outside_domain(spark, sf):
+    """Values of the feature table that a fixed domain does not list."""
+    return Q.outside_domain(W.features(spark, sf), "fuel_type", ["FRANCE", "GERMANY", "JAPAN", "CHINA", "NOWHERE"])
+
+
 @query
 def band_cutoffs(spark, sf):
     return M.learn_cutoffs(W.scored(spark, sf), "p", min_group=200)
