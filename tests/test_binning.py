@@ -59,6 +59,7 @@ def plain_bins(frame, result):
 def test_tables(result, frame):
     bins = by(result.bins, "feature", "bin")
     train, val = train_val(frame)
+    ivs, psis = by(B.information_value(result.bins), "feature"), by(B.stability(result.bins), "feature")
     assert ("fuel", B.UNSEEN) in bins and bins["fuel", B.UNSEEN]["n_train"] == 0
     for feature, labels in plain_bins(frame, result).items():
         t = train.groupby(labels[train.index]).y.agg(["count", "sum"])
@@ -68,12 +69,12 @@ def test_tables(result, frame):
         for b in t.index:
             assert bins[feature, b]["n_train"] == t.loc[b, "count"]
             assert bins[feature, b]["woe"] == pytest.approx(np.log(ps[b] / fs[b]))
-        iv = by(B.information_value(result.bins), "feature")[feature]
+        iv = ivs[feature]
         assert iv["iv"] == pytest.approx(((ps - fs) * np.log(ps / fs)).sum()) and iv["bins"] == len(t)
         names = sorted(set(labels[train.index]) | set(labels[val.index]))
         p = labels[train.index].value_counts(normalize=True).reindex(names, fill_value=0) + 1e-6
         q = labels[val.index].value_counts(normalize=True).reindex(names, fill_value=0) + 1e-6
-        assert by(B.stability(result.bins), "feature")[feature]["psi"] == pytest.approx(((q - p) * np.log(q / p)).sum())
+        assert psis[feature]["psi"] == pytest.approx(((q - p) * np.log(q / p)).sum())
 
 
 def test_order_monotonicity_and_summary(result):

@@ -141,7 +141,7 @@ def test_hot_entity_matches_brute_force(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
-@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(seed=st.integers(0, 10_000))
 def test_properties(spark, seed):
     rows = random_events(seed, 120, keys=4)

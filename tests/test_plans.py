@@ -34,7 +34,7 @@ def test_no_python_no_cross_join(spark, no_broadcast, name):
 def test_feature_table_shuffles(spark, no_broadcast):
     """Events move three times: (entity, day), event id, entity. Entities and item counts once each."""
     plan = plan_of(W.features(spark, SF))
-    moves = [re.sub(r"#\d+", "", m) for m in re.findall(r"Exchange hashpartitioning\(([^)]*?), 4\)", plan)]
+    moves = [re.sub(r"#\d+", "", m) for m in re.findall(r"Exchange hashpartitioning\(([^)]*?), 2\)", plan)]
     assert sorted(moves) == sorted(["registration, d", "mot_test_number", "mot_test_number", "registration", "registration",
                                     "c_nationkey", "n_nationkey"])
     assert "SinglePartition" not in plan
