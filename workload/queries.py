@@ -393,7 +393,7 @@ def readable_units(spark, sf):
 @query
 def fuels_outside_domain(spark, sf):
     """Values of the feature table that a fixed domain does not list."""
-    return Q.outside_domain(W.features(spark, sf), "fuel_type", ["FRANCE", "GERMANY", "JAPAN", "CHINA", "NOWHERE"])
+    return Q.outside_domain(W.features(spark, sf), "fuel_type", ["NATION_0", "NATION_1", "NATION_2", "NATION_3", "NATION_99"])
 
 
 @query
@@ -610,10 +610,12 @@ def record_scores(spark, sf):
 def stream_score(spark, sf):
     """ST1: documents written as JSON lines, read as a stream, scored, read back."""
     folder = shared_folder(spark, "records")
-    documents(spark, sf).where("n_parts = 1").drop("part", "n_parts").write.json(f"{folder}/in")
+    docs, today = documents(spark, sf), F.lit(TODAY).cast("date")
+    docs.where("n_parts = 1").drop("part", "n_parts").write.json(f"{folder}/in")
     stream = jobs.score_stream(RC.read_records(spark, f"{folder}/in", stream=True), RECORD_MODEL, W.SETTINGS,
-                               F.lit(TODAY).cast("date"))
-    return jobs.run_to_table(spark, stream, "scores").drop("message", "model_version")
+                               today)
+    parts = N.score_records(docs.where("n_parts > 1"), RECORD_MODEL, W.SETTINGS, today)   # hot entities: not one line each
+    return jobs.run_to_table(spark, stream, "scores").unionByName(parts).drop("message", "model_version")
 
 
 # ---- streams --------------------------------------------------------------------
@@ -689,5 +691,5 @@ def permutation_importance(spark, sf):
 
 @query
 def pilot_scores(spark, sf):
-    result = pilot.compare(W.text_features(spark, sf), W.SETTINGS, fuels=("FRANCE", "GERMANY", "JAPAN"), boosting_rounds=5)
+    result = pilot.compare(W.text_features(spark, sf), W.SETTINGS, fuels=("NATION_0", "NATION_1", "NATION_2"), boosting_rounds=5)
     return result["scores"]
