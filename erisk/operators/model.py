@@ -192,16 +192,14 @@ def learn_cutoffs(df: DataFrame, p: str, age: str = "age_years", min_group: int
     """Exact cut-offs per peer key; small groups take the overall ones. Every key is present."""
     keyed = df.select(age_key(F.col(age)).alias("age_key"), p)
     by_key = scan.quantiles(keyed, p, probs, ["age_key"])
-    wide = lambda q, i: F.max(F.when(F.col("prob") == probs[i], F.col("quantile")))
-    groups = by_key.groupBy("age_key").agg(F.max("n").alias("n"), wide(by_key, 0).alias("low"), wide(by_key, 1).alias("high"))
-    overall = scan.quantiles(keyed, p, probs)
-    low, high = overall.agg(wide(overall, 0)).scalar(), overall.agg(wide(overall, 1)).scalar()
+    wide = [F.max(F.when(F.col("prob") == probs[i], F.col("quantile"))).alias(name) for i, name in enumerate(("low", "high"))]
+    groups = by_key.groupBy("age_key").agg(F.max("n").alias("n"), *wide)
+    overall = scan.quantiles(keyed, p, probs).agg(F.struct(*wide)).scalar()
     keys = df.sparkSession.createDataFrame([(k,) for k in AGE_KEYS], "age_key string")
     enough = F.coalesce(F.col("n"), F.lit(0)) >= min_group
     return keys.join(groups, "age_key", "left").select(
         "age_key", F.coalesce(F.col("n"), F.lit(0)).alias("n"),
-        F.when(enough, F.col("low")).otherwise(low).alias("low"),
-        F.when(enough, F.col("high")).otherwise(high).alias("high"))
+        *[F.when(enough, F.col(c)).otherwise(overall[c]).alias(c) for c in ("low", "high")])
 
 
 def bands_block(cutoffs: DataFrame) -> dict:

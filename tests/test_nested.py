@@ -92,6 +92,17 @@ def test_round_trip(tables):
     assert count(back_items) == count(found)               # nothing dropped, no copy lost
 
 
+def test_too_many_hot_keys_for_a_list(tables, monkeypatch):
+    """Past the broadcast limit every key takes the way that needs no list; the content is the same."""
+    people, tests, found = tables
+    content = lambda docs: sorted(map(tuple, RC.to_tables(docs)[2].groupBy("mot_test_number", "type", "text").count().collect()))
+    want = content(RC.export_records(people, tests, found, max_tests=40, max_items=50))
+    monkeypatch.setattr(RC, "MAX_BROADCAST", 0)
+    docs = RC.export_records(people, tests, found, max_tests=40, max_items=50)
+    assert content(docs) == want
+    assert docs.groupBy("registration").count().count() == people.count()
+
+
 def test_parity_with_parts(tables, spark):
     """Relational and nested features agree on every cycle, hot entities in parts included."""
     people, tests, found = tables

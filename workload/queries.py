@@ -264,9 +264,10 @@ def age_lookup_alignment(spark, sf):
 def ages_per_decile(spark, sf):
     f = W.scored(spark, sf).withColumn("age_key", BD.age_key("age_years"))
     rows = RP.rate_lookup(f.where("split = 'train'"), f.where("split = 'test'"), "age_key", LABEL)
-    edges = MT.quantile_edges(rows, "p_base")
-    return RP.labels_per_group(rows.withColumn("decile", MT.edge_bucket(F.col("p_base"), edges)), "decile", "age_key",
-                               BD.AGE_KEYS)
+    folded = rows.groupBy("p_base", "age_key").agg(F.count("*").alias("n"))
+    binned = folded.withColumn("edges", MT.edges_of(folded, "p_base", "n", 10)) \
+        .withColumn("decile", MT.bucket_in("p_base", "edges"))
+    return RP.labels_per_group(binned, "decile", "age_key", BD.AGE_KEYS)
 
 
 @query
