@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import SparkSession, functions as F, types as T
+from pyspark.sql import SparkSession, types as T
 
 from erisk.settings import ScopeRules
 

@@ -10,7 +10,7 @@ from erisk.sources import records as RC
 from erisk.sources.models import with_provenance
 from erisk.sources.tables import RECORD_SCHEMA
 from erisk.streaming import jobs
-from tests.helpers import by, entities, event, events, items
+from tests.helpers import by, entities, events, items
 from tests.test_history import random_events
 from workload.roles import MODEL
 

@@ -6,7 +6,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from erisk.functions import bands as BD, rules as R, text as TX
-from erisk.functions.stats import gini, logit, psi_label, sigmoid, wilson
+from erisk.functions.stats import gini, psi_label, sigmoid, wilson
 from erisk.operators import binning as B, history as H, metrics as MT, model as M, nested as N, quality as Q, \
     redundancy as RD, reports as RP, sampling as SP, scan
 from erisk.plans import chart, pilot, training, univariate
