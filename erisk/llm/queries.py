@@ -3,9 +3,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from erisk.llm import classifier, language, rules
+from erisk.llm import classifier, decontamination, language, packing, rules, sharding
 from erisk.llm.common import prepare, table
 
 
@@ -19,6 +20,20 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "longest")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return language.identified(table(spark, sf_dir, "documents"))
@@ -27,7 +42,71 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_sharding": op7_sharding,
+    "op8_decontamination": op8_decontamination,
+    "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE: dict[str, str] = {}
+#: Twins in DuckDB's SQL, where SQL can express the operator.
+ORACLE: dict[str, str] = {"op8_decontamination": """
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM benchmark),
+q AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, greatest(len(w) - 9, least(1, len(w))) + 1)) AS i FROM b)),
+p AS (
+  SELECT rid, i, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM q) WHERE len(w) >= n)),
+o AS (SELECT rid, i, n, q.item_id FROM p JOIN q USING (n, g)),
+h AS (SELECT rid, count(DISTINCT k) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS k FROM o) GROUP BY rid),
+t AS (SELECT rid, count(DISTINCT item_id) AS n_items,
+             string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names FROM o GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
+"""}
+
+
+def tree_rows(tree: list[sharding.Shard], name: str) -> str:
+    return f"{name}(region, rack, shard, weight) AS (VALUES " + ", ".join(
+        f"('{s.region}', '{s.rack}', {s.shard}, {s.weight})" for s in tree) + ")"
+
+
+def descent(tree: str, out: str) -> str:
+    """One level after the other: the child with the least draw, among the children of the node chosen before."""
+    drawn = "-ln((('0x' || substr(md5({0} || '|' || key), 1, 13))::BIGINT + 0.5) / 4503599627370496.0) / {1}"
+    return f"""
+{out}1 AS (SELECT rid, key, arg_min(region, {drawn.format('region', 'w')}) AS region
+  FROM d, (SELECT region, sum(weight) AS w FROM {tree} GROUP BY region) GROUP BY rid, key),
+{out}2 AS (SELECT rid, key, region, arg_min(rack, {drawn.format("region || '/' || rack", 'w')}) AS rack
+  FROM {out}1 JOIN (SELECT region, rack, sum(weight) AS w FROM {tree} GROUP BY region, rack) USING (region) GROUP BY rid, key, region),
+{out} AS (SELECT rid, arg_min(shard, {drawn.format("region || '/' || rack || '/' || shard", 'weight')}) AS shard
+  FROM {out}2 JOIN {tree} USING (region, rack) GROUP BY rid)"""
+
+
+ORACLE["op7_sharding"] = f"""
+WITH RECURSIVE bits(i, k, c) AS (
+  SELECT i, 0, i FROM range(256) AS r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id::VARCHAR, 'null') AS key, strlen(coalesce(text, '')) + 1 AS size,
+         xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+             regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)),
+             lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) AS text_crc32
+  FROM documents, crc),
+{tree_rows(sharding.TREE, 'tree')}, {tree_rows(sharding.GROWN, 'grown')},
+{descent('tree', 'a')}, {descent('grown', 'b')}
+SELECT doc_id, size, text_crc32, 'key' AS law, a.shard, b.shard AS grown_shard,
+       row_number() OVER (PARTITION BY a.shard ORDER BY
+           ('0x' || substr(md5('slot|' || key || '|' || text_crc32 || '|' || size), 1, 13))::BIGINT, doc_id, text_crc32, size) - 1 AS slot
+FROM d JOIN a USING (rid) JOIN b USING (rid)
+"""
