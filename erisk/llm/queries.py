@@ -6,8 +6,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from erisk.llm import classifier, decontamination, language, packing, rules, sharding
+from erisk.llm import classifier, decontamination, language, packing, rules, sharding, warc
 from erisk.llm.common import prepare, table
+from erisk.session import shared_folder
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +16,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), shared_folder(spark, "llm-warc"))
+    return warc.read_archives(archives).drop("url", "archive", "error")
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -41,6 +48,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op5_warc": op5_warc,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_sharding": op7_sharding,
     "op8_decontamination": op8_decontamination,
@@ -92,6 +100,15 @@ def descent(tree: str, out: str) -> str:
   FROM {out}2 JOIN {tree} USING (region, rack) GROUP BY rid)"""
 
 
+ORACLE["op5_warc"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND top <> page_id THEN top END AS refers_to
+FROM m
+"""
+
 ORACLE["op7_sharding"] = f"""
 WITH RECURSIVE bits(i, k, c) AS (
   SELECT i, 0, i FROM range(256) AS r(i)
