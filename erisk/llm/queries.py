@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from erisk.llm import classifier, decontamination, language, packing, rules, sharding, warc
+from erisk.llm import attribution, classifier, decontamination, html, language, packing, rules, sharding, warc
 from erisk.llm.common import prepare, table
 from erisk.session import shared_folder
 
@@ -16,6 +16,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return html.extracted(table(spark, sf_dir, "pages"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return attribution.attributed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                                  public_tokenizers.PATTERN)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     archives = warc.write_archives(table(spark, sf_dir, "pages"), shared_folder(spark, "llm-warc"))
@@ -48,6 +59,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_html_extraction": op2_html_extraction,
+    "op3_token_counts": op3_token_counts,
     "op5_warc": op5_warc,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_sharding": op7_sharding,
