@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from erisk.llm import attribution, classifier, decontamination, html, language, packing, rules, sharding, warc
+from erisk.llm import attribution, classifier, decontamination, html, jaccard, language, packing, rules, sharding, warc
 from erisk.llm.common import prepare, table
 from erisk.session import shared_folder
 
@@ -27,6 +27,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   public_tokenizers.PATTERN)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return jaccard.joined(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     archives = warc.write_archives(table(spark, sf_dir, "pages"), shared_folder(spark, "llm-warc"))
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_html_extraction": op2_html_extraction,
     "op3_token_counts": op3_token_counts,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_warc": op5_warc,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_sharding": op7_sharding,
