@@ -326,8 +326,8 @@ def joined(documents: DataFrame, similarity: float = SIMILARITY, target: float =
 
 def one_of_each(documents: DataFrame, similarity: float = SIMILARITY, target: float = TARGET) -> DataFrame:
     """The documents less all but one of each near-duplicate class: the one of least doc_id stays. All columns are kept."""
-    fate = written(Join(documents, similarity, target).kept_rows(), "fates").withColumnRenamed("row", "__row")
-    own = documents.withColumn("__row", row_key()).join(fate, "__row", "left").filter("stays IS NULL OR stays")
+    fate = written(Join(documents, similarity, target).kept_rows(), "fates").toDF("__row", "__stays", "__copies")
+    own = documents.withColumn("__row", row_key()).join(fate, "__row", "left").filter("__stays IS NULL OR __stays")
     columns = [F.col(f"`{c}`") for c in documents.columns]
-    once = own.filter(F.coalesce("copies", F.lit(1)) == 1).select(*columns)
-    return once.union(own.filter("copies > 1").dropDuplicates(["__row"]).select(*columns))
+    once = own.filter(F.coalesce("__copies", F.lit(1)) == 1).select(*columns)
+    return once.union(own.filter("__copies > 1").dropDuplicates(["__row"]).select(*columns))

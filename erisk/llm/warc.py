@@ -110,7 +110,7 @@ def writer(folder: str, archive_bytes: int):
             nonlocal held, files
             data, path = archive(records), f"{root}/{name}-{files:05d}.warc.zst"
             fs.create_dir(root, recursive=True)
-            with fs.open_output_stream(path) as f:
+            with fs.open_output_stream(path, compression=None) as f:
                 f.write(data)
             out = pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}-{files:05d}.warc.zst"], "records": [len(records)], "bytes": [len(data)]})
             records.clear()
@@ -222,7 +222,7 @@ def reader(payloads: bool, report: bool):
         for b in batches:
             for path in b.column(0).to_pylist():
                 fs, at = file_system(path)
-                with fs.open_input_stream(at) as f:
+                with fs.open_input_stream(at, compression=None) as f:
                     data = f.read()                  # archives have a bounded size
                 rows: list[dict] = []
                 try:
