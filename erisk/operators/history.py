@@ -25,16 +25,17 @@ def day_column(events: DataFrame) -> Column:
     return F.to_date("completed_date") if kind.startswith("timestamp") else R.day("completed_date")
 
 
-def in_dates(events: DataFrame, start: str | None, end: str) -> DataFrame:
-    """Inclusive days. On a timestamp the limits are put on the column itself, so they reach the scan."""
+def in_dates(events: DataFrame, start: str | None, end: str | None) -> DataFrame:
+    """Inclusive days, None for an open end; events without a day are left out. On a timestamp the limits are
+    put on the column itself, so they reach the scan."""
     kind = dict(events.dtypes)["completed_date"]
-    if kind.startswith("timestamp"):
-        at, last = F.col("completed_date"), F.date_add(F.lit(end).cast("date"), 1).cast(kind)
-        out = events.where(at < last)
-        return out if start is None else out.where(at >= F.lit(start).cast("date").cast(kind))
-    d = R.day("completed_date")
-    out = events.where(d <= F.lit(end).cast("date"))
-    return out if start is None else out.where(d >= F.lit(start).cast("date"))
+    stamped = kind.startswith("timestamp")
+    at = F.col("completed_date") if stamped else R.day("completed_date")
+    limit = lambda text, days: (lambda d: d.cast(kind) if stamped else d)(F.date_add(F.lit(text).cast("date"), days))
+    out = events.where(at.isNotNull())
+    if end is not None:
+        out = out.where(at < limit(end, 1))
+    return out if start is None else out.where(at >= limit(start, 0))
 
 
 def prepare_events(events: DataFrame, s: Settings, key_filter: Column | None = None,

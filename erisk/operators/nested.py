@@ -17,9 +17,9 @@ WORK = ("__tests", "__cycles", "__start", "__pred", "__before", "__last", "__n")
 
 def with_cycles(records: DataFrame, s: Settings, out: str = "__cycles") -> DataFrame:
     """The cycles of a document as an array of (at, day, failed, miles, fail_items, advisories)."""
+    in_time = lambda d: d.isNotNull() if s.snapshot_end is None else d <= F.lit(s.snapshot_end).cast("date")
     tests = F.filter("motTests", lambda t: R.result_text(t["testResult"], s).isin(s.passed, s.failed)
-                     & R.known_source(t["dataSource"], s)
-                     & (R.day(t["completedDate"]) <= F.lit(s.snapshot_end).cast("date")))
+                     & R.known_source(t["dataSource"], s) & in_time(R.day(t["completedDate"])))
     kind = lambda d: F.upper(d["type"]) if s.fold_result_case else d["type"]
     count = lambda t, cond: F.size(F.filter(F.coalesce(t["defects"], F.array()), cond))
     brief = F.transform(tests, lambda t: F.struct(
@@ -70,18 +70,20 @@ def as_of_features(df: DataFrame, pred: str, cycles: str = "__cycles", start_col
 
 
 def split_parts(records: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Whole documents, and documents written in parts (see ``sources.records``)."""
+    """Whole documents, and documents written in parts (see ``sources.records``); without a count a document is whole."""
     if "n_parts" not in records.columns:
         return records, None
-    return (records.where(F.col("n_parts") == 1).drop("part", "n_parts"),
-            records.where(F.col("n_parts") > 1).drop("part", "n_parts"))
+    n = F.coalesce("n_parts", F.lit(1))
+    return records.where(n == 1).drop("part", "n_parts"), records.where(n > 1).drop("part", "n_parts")
 
 
 def features_at(records: DataFrame, dates: DataFrame, s: Settings) -> DataFrame:
     """N3 for many days per entity: ``dates`` has (registration, test_date).
 
-    Days meet the short array of cycles, not the documents. Documents in parts take the relational way.
+    Days meet the short array of cycles, not the documents. Documents in parts take the relational way. Every event
+    before a day counts, whatever the end of the training snapshot.
     """
+    s = s.with_(snapshot_end=None)
     whole, parts = split_parts(records)
     brief = with_cycles(whole, s).select("registration", start().alias("__start"), "__cycles")
     out = as_of_features(dates.join(brief, "registration"), "test_date")
@@ -126,12 +128,13 @@ def judged(df: DataFrame, model: dict, rules: ScopeRules) -> DataFrame:
 
 def score_records(records: DataFrame, model: dict, s: Settings, today: Column,
                   rules: ScopeRules | None = None) -> DataFrame:
-    """One narrow pass over documents; works on batch and stream (ST1).
+    """One narrow pass over whole documents; those in parts take the relational way.
 
-    Defaults of the record path: a missing source is kept and results are compared upper-cased.
+    Rules of the record path: a missing source is kept, results are compared upper-cased, and events after the end of
+    the training snapshot count like any other before the prediction day.
     """
     rules = rules or rules_from_block(model["vehicle_rules"])
-    s = s.with_(null_source_ok=True, fold_result_case=True)
+    s = s.with_(null_source_ok=True, fold_result_case=True, snapshot_end=None)
     whole, parts = split_parts(records)
     ready = with_cycles(whole.withColumn("__pred", prediction_day(s, today)), s).select(
         "registration", "make", "model", "__pred", start().alias("__start"), "__cycles")

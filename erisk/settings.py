@@ -106,7 +106,7 @@ class Settings:
     """One set of data rules. Defaults are the inspection-history rules; override with ``with_``."""
 
     regime_date: str = "2018-05-20"       # predict only from here; codes are reliable from here
-    snapshot_end: str = "2026-02-04"
+    snapshot_end: str | None = "2026-02-04"   # None: no cut (the record path)
     validation_start: str = "2023-01-01"
     test_start: str = "2024-01-01"
     gap_days: int = 60                    # an event this close to the previous one is a repeat

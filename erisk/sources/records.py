@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from erisk.functions.bands import order_of
+from erisk.session import durable
 from erisk.sources.tables import RECORD_SCHEMA
 
 STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
@@ -23,12 +24,17 @@ TEST_KEYS = ["motTestNumber", "completedDate", "testResult", "odometerValue", "o
              "expiryDate", "dataSource", "defects"]
 
 
-def hot_keys(df: DataFrame, key: str, limit: int) -> tuple[DataFrame, int]:
-    """Keys with more than ``limit`` rows, and how many (counted up to just over MAX_BROADCAST)."""
-    hot = df.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > limit).select(key)
+def counted(hot: DataFrame) -> tuple[DataFrame, int]:
+    """The hot keys as a durable list, and how many there are (counted up to just over MAX_BROADCAST)."""
+    hot = durable(hot)
     return hot, hot.limit(MAX_BROADCAST + 1).count()
 
 
+def few(df: DataFrame, n: int) -> DataFrame:
+    """A table of at most ``n`` hot keys, broadcast if that is few; it then spares the rows of hot keys a shuffle by key."""
+    return F.broadcast(df) if n <= MAX_BROADCAST else df
+
+
 def split_hot(df: DataFrame, key: str, hot: DataFrame, n: int) -> tuple[DataFrame | None, DataFrame | None]:
     """(rows of ordinary keys, rows of hot keys); None where a side is not needed."""
     if n == 0:
@@ -54,7 +60,7 @@ def defect_arrays(items: DataFrame, max_items: int, hot_events: DataFrame, n: in
         return whole
     copies = hot.groupBy(event, *fields).agg(F.count("*").alias("copies"))
     chunks = copies.groupBy(event).agg(F.ceil(F.sum("copies") / max_items).cast("int").alias("chunks"))
-    pieces = (copies.join(chunks, event)
+    pieces = (copies.join(few(chunks, n), event)
               .withColumn("piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("copies") / max_items).cast("int") - 1)))
               .withColumn("copies", F.least(F.col("copies") - F.col("piece") * max_items, F.lit(max_items)))
               .withColumn("chunk", F.pmod(F.xxhash64(*fields, "piece"), F.col("chunks")).cast("int"))
@@ -64,22 +70,23 @@ def defect_arrays(items: DataFrame, max_items: int, hot_events: DataFrame, n: in
     return both(whole, parts)
 
 
-def export_records(entities: DataFrame, events: DataFrame, items: DataFrame,
-                   max_tests: int = 5_000, max_items: int = 5_000) -> DataFrame:
+def export_records(entities: DataFrame, events: DataFrame, items: DataFrame, max_tests: int = 5_000,
+                   max_items: int = 5_000, max_document_items: int = 20_000) -> DataFrame:
     """Rebuild every entity's whole history, tests by date and number inside a document.
 
-    Entities and events of ordinary size are collected with one shuffle each; the few hot ones go
-    through parts. Everything is kept.
+    Entities and events of ordinary size are collected with one shuffle each. Those with more than ``max_tests`` events,
+    ``max_document_items`` items or an event of more than ``max_items`` items become documents in parts, of about
+    that size each. Entity attributes meet a part on (entity, part), so no task holds all parts of a hot entity.
     """
     types = dict(events.dtypes)
     no_items = F.array().cast("array<struct<type:string,text:string,dangerous:boolean>>")
-    hot_events, n_events = hot_keys(items, "mot_test_number", max_items)
-    hot_entities, n_entities = hot_keys(events, "registration", max_tests)
-    if n_events:   # an event in chunks makes its entity a document in parts
-        few = F.broadcast(hot_events) if n_events <= MAX_BROADCAST else hot_events
-        owners = events.join(few, "mot_test_number", "left_semi").select("registration")
-        hot_entities = hot_entities.union(owners).distinct()
-        n_entities = hot_entities.limit(MAX_BROADCAST + 1).count()
+    per_event = items.groupBy("mot_test_number").agg(F.count("*").alias("__items"))
+    sizes = events.select("registration", "mot_test_number").join(per_event, "mot_test_number", "left") \
+        .groupBy("registration").agg(F.count("*").alias("__tests"), F.sum("__items").alias("__items"),
+                                     F.max("__items").alias("__most"))
+    large = (F.col("__tests") > max_tests) | (F.col("__items") > max_document_items) | (F.col("__most") > max_items)
+    hot_entities, n_entities = counted(sizes.where(large).select("registration"))
+    hot_events, n_events = counted(per_event.where(F.col("__items") > max_items).select("mot_test_number"))
     tests = events.join(defect_arrays(items, max_items, hot_events, n_events), "mot_test_number", "left").select(
         "registration", F.coalesce("chunk", F.lit(0)).alias("chunk"),
         F.struct(iso("completed_date", types["completed_date"]).alias("completedDate"),
@@ -94,23 +101,25 @@ def export_records(entities: DataFrame, events: DataFrame, items: DataFrame,
     in_order = F.transform(F.sort_array(F.collect_list("test")), lambda t: F.struct(*[t[k].alias(k) for k in TEST_KEYS]))
     plain, hot = split_hot(tests, "registration", hot_entities, n_entities)
     whole = None if plain is None else plain.groupBy("registration").agg(in_order.alias("motTests")).select(
-        "registration", "motTests", F.lit(0).alias("part"), F.lit(1).alias("n_parts"))
-    parts = None
+        "registration", F.lit(0).alias("part"), "motTests")
+    people, parts = entities.withColumn("n_parts", F.lit(1)), None
     if hot is not None:
-        sizes = hot.groupBy("registration").agg(
-            (F.ceil(F.count("*") / max_tests) * (F.max("chunk") + 1)).cast("int").alias("n_parts"))
-        numbered = (hot.join(sizes, "registration")
+        rows = hot.groupBy("registration").agg(F.greatest(
+            F.ceil(F.count("*") / max_tests), F.ceil(F.sum(F.size("test.defects")) / max_document_items),
+            F.max("chunk") + 1).cast("int").alias("n_parts"))   # an event in chunks is never in one whole document
+        rows = few(durable(rows), n_entities)
+        numbered = (hot.join(rows, "registration")
                     .withColumn("part", F.pmod(F.xxhash64("test.motTestNumber", "chunk"), F.col("n_parts")).cast("int"))
                     .repartition("registration", "part"))
-        parts = numbered.groupBy("registration", "part", "n_parts").agg(in_order.alias("motTests")) \
-            .select("registration", "motTests", "part", "n_parts")
+        parts = numbered.groupBy("registration", "part").agg(in_order.alias("motTests"))
+        people = entities.join(rows, "registration", "left").withColumn("n_parts", F.coalesce("n_parts", F.lit(1)))
+    numbers = F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1))   # a part may be empty; it is written all the same
     no_tests = F.array().cast(RECORD_SCHEMA["motTests"].dataType)
-    return entities.join(both(whole, parts), "registration", "left").select(
+    return people.withColumn("part", numbers).join(both(whole, parts), ["registration", "part"], "left").select(
         F.col("registration").cast("string").alias("registration"), "make", "model",
         F.col("first_used_date").cast("string").alias("firstUsedDate"),
         F.col("registration_date").cast("string").alias("registrationDate"),
-        F.coalesce("motTests", no_tests).alias("motTests"),
-        F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("n_parts", F.lit(1)).alias("n_parts"))
+        F.coalesce("motTests", no_tests).alias("motTests"), "part", "n_parts")
 
 
 def read_records(spark, path: str, stream: bool = False) -> DataFrame:

@@ -22,7 +22,8 @@ TEST = T.StructType([T.StructField(n, T.StringType()) for n in (
     "expiryDate", "dataSource")] + [T.StructField("defects", T.ArrayType(DEFECT))])
 RECORD_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in (
     "registration", "make", "model", "firstUsedDate", "registrationDate")] +
-    [T.StructField("motTests", T.ArrayType(TEST))])
+    [T.StructField("motTests", T.ArrayType(TEST))] +
+    [T.StructField(n, T.IntegerType()) for n in ("part", "n_parts")])   # absent in ordinary documents
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None, fmt: str = "parquet") -> DataFrame:

@@ -1,10 +1,10 @@
 """Running a stream to the end of its input, into files (ST1, ST2)."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from erisk.operators.nested import score_records
-from erisk.session import shared_folder
+from erisk.session import durable, shared_folder
 from erisk.settings import Settings
 
 
@@ -16,8 +16,38 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, fmt: str = "par
 
 
 def score_stream(records: DataFrame, model: dict, s: Settings, today: Column) -> DataFrame:
-    """ST1: the batch record scorer on a stream; stateless."""
-    return score_records(records, model, s, today)
+    """ST1 for whole documents: the batch record scorer on a stream, narrow and stateless. Documents in parts are left
+    to ``score_to_table``."""
+    whole = records.where(F.coalesce("n_parts", F.lit(1)) == 1).drop("part", "n_parts")
+    return score_records(whole, model, s, today)
+
+
+def score_to_table(spark: SparkSession, records: DataFrame, model: dict, s: Settings, today: Column, folder: str) -> DataFrame:
+    """ST1 for all documents of a stream: ``records`` to scores under ``folder``, read back.
+
+    Each micro-batch is scored by the batch scorer, which splits the parts of a hot entity over tasks. Parts of an entity
+    may arrive in different batches: until all are there they wait in a table of their own, one folder per batch. Both
+    outputs of a batch are overwritten when it is repeated, so a restart gives each score once.
+    """
+    schema = records.schema
+    out, waiting = f"{folder}/out", f"{folder}/waiting"
+
+    def batch(df: DataFrame, number: int) -> None:
+        session = df.sparkSession
+        if number:
+            df = df.unionByName(session.read.schema(schema).parquet(f"{waiting}/{number - 1}"))
+        df = durable(df)
+        whole = df.where(F.coalesce("n_parts", F.lit(1)) == 1)
+        parts = df.where(F.coalesce("n_parts", F.lit(1)) > 1).dropDuplicates(["registration", "part"])
+        seen = parts.groupBy("registration").agg(F.count("*").alias("__seen"), F.max("n_parts").alias("__all"))
+        complete = durable(seen.where(F.col("__seen") == F.col("__all")).select("registration"))
+        ready = whole.unionByName(parts.join(complete, "registration", "left_semi"))
+        score_records(ready, model, s, today).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        parts.join(complete, "registration", "left_anti").write.mode("overwrite").parquet(f"{waiting}/{number}")
+
+    records.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint") \
+        .trigger(availableNow=True).start().awaitTermination()
+    return spark.read.option("basePath", out).parquet(f"{out}/batch=*").drop("batch")
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
