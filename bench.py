@@ -18,7 +18,8 @@ HEADLINE = ["cycle_features", "cycle_features_text", "flagged_history", "chart_r
             "contributions", "auc_overall", "auc_by_segment", "roc_points", "brier_logloss", "calibration_deciles", "psi_score",
             "preprocessing_stats", "band_cutoffs", "univariate_summary", "spearman_matrix", "sample_pools",
             "nested_history_export", "nested_features", "parity_mismatches", "record_scores", "batch_session_cycles",
-            "stream_session_cycles", "fit_logistic", "bootstrap_auc"]
+            "stream_session_cycles", "fit_logistic", "bootstrap_auc", "train_scores",
+            "validation_gates", "permutation_importance", "pilot_scores", "record_scores_parts", "stream_score"]
 
 
 def main() -> None:

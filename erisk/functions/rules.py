@@ -81,9 +81,13 @@ def family(make: str, model_label: str, model_pattern: str, make_col="make", mod
     return (F.col(make_col) == make) & ((F.col(model_col) == model_label) | F.col(model_col).rlike(model_pattern))
 
 
+LEADING_NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
+
+
 def reading(value, unit, kind, factor: float) -> Column:
-    """The reading in miles; NULL unless it was really READ."""
-    v = value.try_cast("double")
+    """The reading in miles; NULL unless it was really READ. Of text the leading number counts ("61000 miles")."""
+    head = F.regexp_extract(value.cast("string"), LEADING_NUMBER, 1)
+    v = F.coalesce(value.try_cast("double"), head.try_cast("double"))
     return (F.when(F.upper(F.coalesce(kind, F.lit(""))) != "READ", F.lit(None).cast("double"))
              .when(F.lower(unit).startswith("k"), v * F.lit(factor))
              .otherwise(v))

@@ -161,9 +161,15 @@ def with_items(events: DataFrame, counts: DataFrame) -> DataFrame:
 # ---- features -----------------------------------------------------------------
 
 def cycle_table(events: DataFrame, items: DataFrame, s: Settings, text_rules: TextRules | None = None,
-                key_filter: Column | None = None) -> DataFrame:
-    """Events -> first of day -> counted items -> cycles. The cut comes first: it shrinks hot entities."""
+                key_filter: Column | None = None, chosen: bool = False) -> DataFrame:
+    """Events -> first of day -> counted items -> cycles. The cut comes first: it shrinks hot entities.
+
+    With a sample or a family (``chosen``) items are cut to the events left before they are classified and counted;
+    for the full population that join would cost more than it saves.
+    """
     daily = first_of_day(prepare_events(events, s, key_filter))
+    if chosen or key_filter is not None:
+        items = items.join(daily.select(EVENT), EVENT, "left_semi")
     if text_rules is None:
         counted = with_items(daily, item_counts(items, s).drop("n_minor"))
     else:
@@ -242,7 +248,7 @@ def cycle_features_text(entities: DataFrame, events: DataFrame, items: DataFrame
     people = prepare_entities(entities, member=member)
     chosen = events if member is None else events.join(people.select(ENTITY), ENTITY, "left_semi")
     extra = [(F.col("miles") - F.lag("miles").over(by_time())).alias("__since")] if leaky else []
-    built = cycle_table(chosen, items, s, text_rules).select(
+    built = cycle_table(chosen, items, s, text_rules, chosen=member is not None).select(
         "*", *history_columns(s), *text_history_columns(s, text_rules), *extra)
     wanted = built.where(F.col("d") >= F.lit(target_start or s.regime_date).cast("date"))
     annual = R.annual_rate(F.col("__miles"), F.col("__days"))

@@ -27,21 +27,27 @@ UNITS = {"age_years": (1, "per year"), "n_prior_fails": (1, "per fail"), "fails_
 
 # ---- scoring ------------------------------------------------------------------
 
+def fill_of(model: dict, c: str) -> float:
+    return 0.0 if c in ZERO_IF_NO_HISTORY else float(model["preprocessing"]["fill_values"][c])
+
+
 def design_columns(model: dict, col=F.col) -> dict[str, Column]:
-    """Filled, standardised numbers, two flags and the 0/1 labels, in model order."""
-    prep = model["preprocessing"]
-    no_history = col("n_prior_fails").isNull()
-    out = {}
-    for c in NUMERIC:
-        fill = 0.0 if c in ZERO_IF_NO_HISTORY else prep["fill_values"][c]
-        out[c] = (F.coalesce(col(c).cast("double"), F.lit(float(fill))) - F.lit(float(prep["means"][c]))) \
-            / F.lit(float(prep["sds"][c]))
-    out["no_history"] = no_history.cast("double")
-    out["odometer_missing"] = (col("prev_odometer").isNull() & ~no_history).cast("double")
-    make = F.coalesce(col("make"), F.lit("UNKNOWN"))
-    for m in prep["makes"]:
-        out[f"make_{m}"] = (make == m).cast("double")
-    return {name: out[name] for name in model["columns"]}
+    """One expression per column of the model, by the kind its name tells: number, flag or label."""
+    centre, scale = model["preprocessing"]["means"], model["preprocessing"]["sds"]
+    blank = {c: col(c).isNull() for c in ("n_prior_fails", "prev_odometer")}
+    flags = {"no_history": blank["n_prior_fails"], "odometer_missing": blank["prev_odometer"] & ~blank["n_prior_fails"]}
+
+    def number(c: str) -> Column:
+        value = F.when(col(c).isNull(), F.lit(fill_of(model, c))).otherwise(col(c).cast("double"))
+        return (value - float(centre[c])) / float(scale[c])
+
+    def column(name: str) -> Column:
+        if name in NUMERIC:
+            return number(name)
+        test = flags[name] if name in flags else F.coalesce(col("make"), F.lit("UNKNOWN")) == name.removeprefix("make_")
+        return test.cast("double")
+
+    return {name: column(name) for name in model["columns"]}
 
 
 def raw_logit(model: dict, col=F.col) -> Column:
@@ -130,7 +136,6 @@ def refit_difference(saved: dict, refit: dict) -> float:
 
 def learn_preprocessing(train: DataFrame, n_makes: int = 20) -> dict:
     """Fills, means, sample deviations and the most frequent makes, from train only."""
-    # Median over rows with history, so first-time entities do not pull it; age uses every row.
     wanted = [c for c in NUMERIC if c not in ZERO_IF_NO_HISTORY]
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in wanted)
     long = train.select(F.col("n_prior_fails").isNotNull().alias("__hist"),
@@ -204,7 +209,7 @@ def learn_cutoffs(df: DataFrame, p: str, age: str = "age_years", min_group: int
 
 def bands_block(cutoffs: DataFrame) -> dict:
     rows = {r["age_key"]: [r["low"], r["high"]] for r in cutoffs.collect()}   # one row per peer key
-    return {"method": "40th and 80th percentile of calibrated probability among peers of the same age, validation rows",
+    return {"method": "cut at quantiles 0.4 and 0.8 of the calibrated score within each age key of the validation split",
             "cutoffs_by_age": {k: rows[k] for k in AGE_KEYS}}
 
 

@@ -64,11 +64,11 @@ def baseline_predict(train: DataFrame, rows: DataFrame, cell_keys, group_key: st
                      low=0.01, high=0.99, out="p_base") -> DataFrame:
     """Cell rate, else group rate, else overall rate, kept inside [low, high].
 
-    Cells are (generation, whole year of age): a few labels times the years a date can span, so
-    both tables are broadcast and the rows stay where they are.
+    Cells are usually few (generation and whole year of age); whether the rates are broadcast is left to their
+    measured size.
     """
     by_cell, by_group, overall = baseline_rates(train, cell_keys, group_key, label, min_size)
-    joined = rows.join(F.broadcast(by_cell), list(cell_keys), "left").join(F.broadcast(by_group), group_key, "left")
+    joined = rows.join(by_cell, list(cell_keys), "left").join(by_group, group_key, "left")
     rate = F.coalesce(F.col("__cell"), F.col("__group"), overall.scalar())
     return joined.withColumn(out, F.greatest(F.least(rate, F.lit(high)), F.lit(low))).drop("__cell", "__group")
 
@@ -153,10 +153,11 @@ def group_total_lift(df: DataFrame, groups: dict, member: str, band: Column, low
         .select("grp", F.when(F.col("__all") == 1, F.concat(F.lit("ALL "), F.col("grp"))).otherwise(F.col("member"))
                 .alias("member"), "band", score, "pos", "neg")
     keys = ["grp", "member"]
+    bounds = scan.value_bounds(folded, [score])[score]
     ranked = auc_from_cells(
         scan.block_of(both.groupBy(*keys, F.col(score).cast("double").alias(score))
                       .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")),
-                      score, bounds=[float(i) for i in range(1, 100)]), score, keys)
+                      score, bounds), score, keys)
     pct = lambda b: F.sum(F.when(F.col("band") == b, F.col("pos"))) * 100 \
         / F.sum(F.when(F.col("band") == b, F.col("pos") + F.col("neg")))
     rates = both.groupBy(*keys).agg(pct(low).alias("fail_low"), pct(high).alias("fail_high"),

@@ -29,10 +29,14 @@ def unit_block(value: Column) -> Column:
     return out.otherwise(level(LEVELS - 1))
 
 
-def value_bounds(df: DataFrame, columns, n_blocks: int = 200) -> dict[str, list[float]]:
-    """Approximate quantiles per column, used only to balance blocks; results never depend on them."""
+def value_bounds(df: DataFrame, columns, n_blocks: int | None = None) -> dict[str, list[float]]:
+    """Approximate quantiles per column, used only to balance blocks; results never depend on them.
+
+    There are a few blocks for each shuffle partition the session is set up for, so they grow with the cluster.
+    """
+    n_blocks = n_blocks or max(200, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     probs = [i / n_blocks for i in range(1, n_blocks)]
-    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, 2000).alias(c) for c in columns]).first()
+    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, max(2000, 10 * n_blocks)).alias(c) for c in columns]).first()
     return {c: sorted(set(row[c] or [])) for c in columns}
 
 

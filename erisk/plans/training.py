@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from erisk.functions.bands import age_key, right_closed
 from erisk.functions.rules import collapse, split_label
@@ -14,6 +14,9 @@ from erisk.settings import ScopeRules, Settings
 from erisk.sources.models import with_provenance
 
 LABEL = "target_failed"
+# The names of the gates, in the order of the report.
+GATES = ("Beats the baseline, intervals not overlapping", "Calibration slope 0.9 to 1.1",
+         "Bands rise from Lower to Typical to Higher risk", "No segment fails AUC or calibration", "Score PSI below 0.25")
 
 
 @dataclass
@@ -92,32 +95,43 @@ def gate_table(interval: DataFrame, slope: float, bands: DataFrame, segments: Da
     return one.select(
         (low - high).alias("margin"), failed.alias("failed"), rising.alias("rising"),
         psi.agg(F.max("psi")).scalar().alias("psi"), F.lit(float(slope)).alias("slope")).select(F.explode(F.array(
-            row("Beats the baseline, intervals not overlapping", F.col("margin"), F.col("margin") > 0),
-            row("Calibration slope 0.9 to 1.1", F.col("slope"), F.col("slope").between(0.9, 1.1)),
-            row("Bands rise from Lower to Typical to Higher risk", F.col("rising").cast("int"), F.col("rising")),
-            row("No segment fails AUC or calibration", F.col("failed"), F.col("failed") == 0),
-            row("Score PSI below 0.25", F.col("psi"), F.col("psi") < 0.25))).alias("g")).select("g.*")
+            row(GATES[0], F.col("margin"), F.col("margin") > 0),
+            row(GATES[1], F.col("slope"), F.col("slope").between(0.9, 1.1)),
+            row(GATES[2], F.col("rising").cast("int"), F.col("rising")),
+            row(GATES[3], F.col("failed"), F.col("failed") == 0),
+            row(GATES[4], F.col("psi"), F.col("psi") < 0.25))).alias("g")).select("g.*")
 
 
 def report_lines(result: dict) -> DataFrame:
-    """The report as (position, line), rendered in Spark from the small result tables."""
-    say = lambda df, start, line: df.select((F.row_number().over(_any()) + start).alias("position"), line.alias("line"))
+    """The report as (position, line), rendered in Spark from the small result tables, in a fixed order: bands as
+    they rise, segments by dimension and name, gates as they are checked."""
     slope, intercept = result["calibration"]
     spark = result["gates"].sparkSession
-    head = spark.createDataFrame([(100, f"Calibration slope {slope:.3f} (gate 0.9 to 1.1), intercept {intercept:+.3f}")],
-                                 "position int, line string")
-    return (say(result["interval"], 0, F.format_string("%s AUC interval %.3f to %.3f", "score", "low", "high"))
-            .unionByName(head)
-            .unionByName(say(result["bands"], 200, F.format_string("%s %.1f%% fail (%d rows)", "band",
-                                                                   F.col("fail_rate") * 100, "n")))
-            .unionByName(say(result["segments"].where("result = 'FAIL'"), 300, F.format_string(
-                "FAIL %s: %s AUC %.3f, gap %+.1f points, %d rows", "dimension", "segment", "auc",
-                "calibration_gap_points", "n")))
-            .unionByName(say(result["psi"], 90_000, F.format_string("Score PSI %.3f (%s)", "psi", "label")))
-            .unionByName(say(result["gates"], 90_100, F.format_string(
-                "%s  %s", F.when(F.col("passed"), "PASS").otherwise("FAIL"), "gate"))))
-
-
-def _any():
-    from pyspark.sql import Window
-    return Window.orderBy(F.lit(1))   # report tables only: a few dozen rows
+    summary = metrics.calibration_summary(result["bins"])
+    segments, gated = result["segments"], F.col("result") != "too small"
+    counts = segments.agg(F.count("*").alias("n"), F.count_if(gated).alias("gated"), F.count_if(F.col("result") == "FAIL").alias("failed"))
+    place = lambda known, c: F.coalesce(F.array_position(F.lit(list(known)), F.col(c)), F.lit(len(known) + 1))
+    one = F.lit(0)
+    named = F.when(F.col("score") == "p", "Model").otherwise("Age-only baseline")
+    parts = [
+        (spark.range(1), one, F.lit("Validation on the test rows")),
+        (result["scores"].join(result["interval"], "score"), place(["p", "p_base"], "score"), F.format_string(
+            "%s AUC %.3f (%.3f to %.3f), Gini %.3f", named, "auc", "low", "high", 2 * F.col("auc") - 1)),
+        (spark.range(1), one, F.lit(f"Calibration slope {slope:.3f} (gate 0.9 to 1.1), intercept {intercept:+.3f}")),
+        (summary, one, F.format_string("Mean predicted %.1f%%, actual %.1f%%, %+.1f points", "mean_predicted_pct", "actual_pct",
+                                       F.col("mean_predicted_pct") - F.col("actual_pct"))),
+        (result["scores"].where("score = 'p'"), one, F.format_string("Brier skill %.3f", "brier_skill")),
+        (summary, one, F.format_string("Worst decile %.1f points", "worst_gap_points")),
+        (result["bands"], place(M.BANDS, "band"), F.format_string("%s %.1f%% fail (%d rows)", "band", F.col("fail_rate") * 100, "n")),
+        (counts, one, F.format_string("%d segments checked, %d gated", "n", "gated")),
+        (counts.where("failed = 0"), one, F.lit("all gated segments pass")),
+        (segments.where("result = 'FAIL'"), F.struct("dimension", "segment"), F.format_string(
+            "FAIL %s: %s AUC %.3f, gap %+.1f points, %d rows", "dimension", "segment", "auc", "calibration_gap_points", "n")),
+        (result["psi"], one, F.format_string("Score PSI %.3f (%s)", "psi", "label")),
+        (result["gates"], place(GATES, "gate"), F.format_string("%s  %s", F.when(F.col("passed"), "PASS").otherwise("FAIL"), "gate"))]
+    lines = None
+    for k, (df, order, line) in enumerate(parts):
+        inside = F.row_number().over(Window.orderBy(order))       # report tables only: a few dozen rows
+        df = df.select((inside + k * 100_000).alias("position"), line.alias("line"))
+        lines = df if lines is None else lines.unionByName(df)
+    return lines

@@ -66,8 +66,8 @@ def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str
 
 
 def write_report(df: DataFrame, path: str, order=()) -> None:
-    """A small report as one sorted CSV part; large tables are left partitioned."""
-    out = df.orderBy(*order) if order else df
+    """A report as CSV: one sorted part if an order is given (reports are small), else as many as the table has."""
+    out = df.orderBy(*order).coalesce(1) if order else df
     out.write.mode("errorifexists").option("header", True).csv(path)
 
 

@@ -133,7 +133,11 @@ def test_validation_gates(trained, features, tmp_path):
     assert {r["dimension"] for r in result["segments"].collect()} == {"make", "fuel", "age band", "history"}
     write_lines(training.report_lines(result), str(tmp_path / "report"))
     text = "\n".join(p.read_text() for p in (tmp_path / "report").glob("part-*"))
-    assert "Calibration slope" in text and "PASS  " in text
+    assert "Calibration slope" in text and "PASS  " in text and "segments checked" in text and "Gini" in text
+    said = [r["line"] for r in training.report_lines(result).orderBy("position").collect()]
+    where = lambda start: next(k for k, x in enumerate(said) if x.startswith(start))
+    assert said[0].startswith("Validation") and where("Lower risk") < where("Typical") < where("Higher risk")
+    assert [x[6:] for x in said[-5:]] == list(training.GATES)
 
 
 def test_platt(features, spark):
