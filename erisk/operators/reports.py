@@ -231,8 +231,3 @@ def missing_patterns(df: DataFrame, key: str, others, single: str) -> DataFrame:
 def split_ranges(df: DataFrame, split: str, date: str) -> DataFrame:
     """A38."""
     return df.groupBy(split).agg(F.count("*").alias("n"), F.min(date).alias("first_date"), F.max(date).alias("last_date"))
-
-
-def in_order(df: DataFrame, column: str, order) -> DataFrame:
-    """O1, O2: rows sorted by a fixed label order."""
-    return df.orderBy(order_of(column, order))

@@ -9,9 +9,9 @@ from erisk.functions import bands as BD, rules as R, text as TX
 from erisk.functions.stats import gini, psi_label, sigmoid, wilson
 from erisk.operators import binning as B, history as H, metrics as MT, model as M, nested as N, quality as Q, \
     redundancy as RD, reports as RP, sampling as SP, scan
-from erisk.plans import chart, pilot, training, univariate
+from erisk.plans import chart, parity, pilot, training, univariate
 from erisk.session import durable, shared_folder
-from erisk.sources import records as RC
+from erisk.sources import models as MF, records as RC, tables as TB
 from erisk.sources.models import with_provenance
 from erisk.streaming import cycles as SC, jobs
 from workload import roles as W
@@ -526,16 +526,20 @@ def strength_table(spark, sf):
 SIZES = {"fails": 8, "no_history": 8, "no_odometer": 7, "long_gap": 7, "rare_make": 6, "retest": 7, "random": 7}
 
 
+def feature_pools():
+    """The pools that features alone decide."""
+    return {"fails": F.col("n_prior_fails") >= 2, "no_history": F.col("n_prior_fails").isNull(),
+            "no_odometer": F.col("prev_odometer").isNull() & F.col("n_prior_fails").isNotNull(),
+            "long_gap": F.col("days_since_prev") > 450,
+            "rare_make": ~F.col("make").isin("FURNITURE", "MACHINERY", "BUILDING")}
+
+
 @query
 def sample_pools(spark, sf):
     s = W.SETTINGS
     repeats = H.has_repeat(W.events(spark, sf), s.gap_days).withColumn("__repeat", F.lit(True))
     f = W.features(spark, sf).join(repeats, "registration", "left")
-    pools = {"fails": F.col("n_prior_fails") >= 2, "no_history": F.col("n_prior_fails").isNull(),
-             "no_odometer": F.col("prev_odometer").isNull() & F.col("n_prior_fails").isNotNull(),
-             "long_gap": F.col("days_since_prev") > 450,
-             "rare_make": ~F.col("make").isin("FURNITURE", "MACHINERY", "BUILDING"),
-             "retest": F.col("__repeat"), "random": F.lit(True)}
+    pools = {**feature_pools(), "retest": F.col("__repeat"), "random": F.lit(True)}
     return SP.sample_pools(f, pools, SIZES, "registration", "mot_test_number").select(
         "pool", "registration", "mot_test_number", "test_date", "make")
 
@@ -649,6 +653,80 @@ def stream_score(spark, sf):
     return dated(jobs.score_to_table(spark, stream, RECORD_MODEL, W.SETTINGS, F.lit(TODAY).cast("date"), folder))
 
 
+@query
+def parity_cases(spark, sf):
+    """Cases of five pools written, read back and computed anew from their records."""
+    pools, folder = feature_pools(), shared_folder(spark, "cases")
+    cases = parity.build_cases(M.scored(W.features(spark, sf), W.MODEL), documents(spark, sf), pools, {p: SIZES[p] for p in pools})
+    RC.write_cases(cases, folder)
+    checks = parity.check_cases(RC.read_cases(spark, folder), W.MODEL, W.SETTINGS)
+    return checks.groupBy("group", "registration", "target_date").agg(F.count_if(~F.col("ok")).alias("mismatches"))
+
+
+# ---- files ----------------------------------------------------------------------
+
+@query
+def features_csv(spark, sf):
+    """The feature table as CSV and back, and by year as Parquet and back; rows that both have."""
+    folder = shared_folder(spark, "features")
+    f = durable(W.features(spark, sf))
+    TB.write_features_csv(f, f"{folder}/csv")
+    TB.write_features(f, f"{folder}/parquet")
+    text = TB.read_features_csv(spark, f"{folder}/csv")
+    return text.intersect(spark.read.parquet(f"{folder}/parquet").select(*text.columns))
+
+
+@query
+def model_file(spark, sf):
+    """The model with its provenance as a file, read back and applied."""
+    folder = shared_folder(spark, "model")
+    MF.save_model(spark, RECORD_MODEL, folder)
+    back = MF.load_model(spark, folder)
+    f = W.features(spark, sf)
+    return f.select("mot_test_number", M.raw_logit(back).alias("z"), F.lit(back["version"]).alias("version"),
+                    F.lit(back["built"]).alias("built"), F.lit(len(back["vehicle_rules"]["make_merges"])).alias("merges"))
+
+
+@query
+def chart_file(spark, sf):
+    """The chart's JSON document, read back to points."""
+    folder = shared_folder(spark, "chart")
+    points = chart.chart_points(W.entities(spark, sf), W.events(spark, sf), W.SETTINGS)
+    RC.chart_document(points, W.SETTINGS.generation_order, {"source": F.lit("given")}).write.text(folder)
+    shape = "series array<struct<generation string, points array<struct<age bigint, tests bigint, fails bigint, fail_pct double, ci_low double, ci_high double>>>>"
+    series = spark.read.text(folder).select(F.explode(F.from_json("value", shape)["series"]).alias("s"))
+    return series.select("s.generation", F.explode("s.points").alias("p")).select("generation", "p.*")
+
+
+@query
+def report_file(spark, sf):
+    """A sorted report as CSV; the line numbers show the order on disk."""
+    folder = shared_folder(spark, "report")
+    counts = W.scored(spark, sf).groupBy("make", "band").agg(F.count("*").alias("n"))
+    TB.write_report(counts, folder, ["make", BD.order_of("band", M.BANDS)])
+    lines = spark.read.option("header", True).schema("make string, band string, n bigint").csv(folder)
+    return lines.withColumn("line", F.monotonically_increasing_id() + 1)    # one part: file order
+
+
+@query
+def sql_functions(spark, sf):
+    """2.15: the rules as SQL functions over the parts."""
+    TB.register_functions(spark, W.PART_SCOPE, 20)
+    W.table(spark, sf, "part").createOrReplaceTempView("given_part")
+    return TB.query(spark, """SELECT p_partkey, clean_make(concat('  ', lower(p_type), ' ')) AS make,
+        in_scope(concat('  ', lower(p_type), ' '), p_name) AS in_scope FROM given_part WHERE p_partkey >= :first""", first=0)
+
+
+@query
+def fit_two_features(spark, sf):
+    """M6: an unpenalised fit on two counts, applied to each pair of their values."""
+    f = durable(W.features(spark, sf).select(F.coalesce("fails_last_3", F.lit(0)).alias("recent"),
+                                             F.coalesce("prev_advisories", F.lit(0)).alias("notes"), LABEL))
+    slopes, intercept = M.fit_logistic(f, ["recent", "notes"], LABEL, c=1e6)
+    z = F.lit(intercept) + F.lit(slopes[0]) * F.col("recent") + F.lit(slopes[1]) * F.col("notes")
+    return f.groupBy("recent", "notes").agg(F.count("*").alias("n")).select("recent", "notes", "n", F.round(sigmoid(z), 4).alias("fitted_rate"))
+
+
 # ---- streams --------------------------------------------------------------------
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
