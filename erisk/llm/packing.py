@@ -6,48 +6,96 @@ where the squared counts of open bins per residual gap add up to the least after
 new one. Gaps are numbers up to 4096, so a step is one vector operation over counts. Open bins left at the end of a block
 cost about 0.2 % over the lower bound (README).
 
-Tokens never leave their task: pieces travel as lengths, places and a checksum. Words are encoded once per worker: white
-space ends every token of this tokenizer, so a text's ids are its words' ids joined (tested against whole texts).
+Tokens never leave their task: pieces travel as lengths, places and a checksum. White space ends every token of this
+tokenizer, so a text's ids are its words' ids joined; a worker remembers the words it has met (tested against whole texts).
 
 Defined results: null and empty texts are one piece, the end id; repeated rows are packed each on its own; an empty table
 gives no rows. Only doc_id and text are read.
 """
 from __future__ import annotations
 
+import functools
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
+import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from erisk.llm.common import tokenizer
 
 CAPACITY, END_ID, BLOCK_DOCS = 4096, 1, 32_768
-#: White space that is sure to end a token; other white space is left to the tokenizer.
-GAPS = re.compile(r"[ \t\n\r]+")
-#: Words remembered by a worker, about 60 MB; beyond that it starts anew.
-REMEMBERED = 300_000
-WORDS: dict[str, dict[str, bytes]] = {}
+#: Words remembered by a worker, about 80 MB; beyond that it starts anew. Longer words are not remembered.
+REMEMBERED, LONGEST = 500_000, 60
+#: Separators that Python splits at and the tokenizer does not: such a text is encoded as a whole.
+ODD_SPACES = re.compile("[\x1c-\x1f]")
+#: Letters whose lower case and composed form every Unicode version gives alike.
+LATIN = re.compile("[\x01-\u012f\u0131-\u024f]+")
+#: Fixed values of the tokenizer: how it cuts a word, and the printable bytes of its byte alphabet.
+CUTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+END = "</w>"
 PIECE = pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
+def ranked(path: str):
+    """The file's merges as ranks of byte strings, a zero byte for the word's end, if its numbers are in order of merging:
+    then tiktoken, which is faster, gives the same ids (tested). None for a file of another kind."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocabulary, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if model.get("end_of_word_suffix") != END or any(vocabulary.get(a + b) != 512 + k for k, (a, b) in enumerate(merges)):
+        return None
+    others = [b for b in range(256) if b not in PRINTABLE]
+    byte = {chr(b): b for b in PRINTABLE} | {chr(256 + k): b for k, b in enumerate(others)}
+    ranks = {}
+    for token, k in vocabulary.items():
+        body = token.removesuffix(END)
+        if all(c in byte for c in body):
+            ranks[bytes(byte[c] for c in body) + b"\0" * (body != token)] = k
+    return tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+
+
+class Words(dict):
+    """Word -> its ids as little-endian unsigned 32-bit numbers; encoded when first met."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.whole, self.fast = tokenizer(path), ranked(path)
+
+    def __missing__(self, word: str) -> bytes:
+        if self.fast and LATIN.fullmatch(word):
+            ids = self.fast.encode_ordinary("\0".join(CUTS.findall(word.lower())) + "\0")
+        else:
+            ids = self.whole.encode(word, add_special_tokens=False).ids
+        out = array("I", ids).tobytes()
+        if len(word) <= LONGEST:
+            self[word] = out
+        return out
+
+
+@functools.lru_cache(maxsize=2)
+def words_of(path: str) -> Words:
+    return Words(path)
+
+
 def encoded(texts: list[str | None], path: str) -> Iterator[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers, by the tokenizer's file."""
-    known = WORDS.setdefault(path, {})
-    if len(known) > REMEMBERED:
-        known.clear()
-    split = [GAPS.split(t) if t else [] for t in texts]
-    new = list({w for ws in split for w in ws} - known.keys())
-    for k in range(0, len(new), 20_000):
-        part = new[k:k + 20_000]
-        for w, e in zip(part, tokenizer(path).encode_batch(part, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    for ws in split:
-        yield b"".join(map(known.__getitem__, ws))
+    known = words_of(path)
+    for text in texts:
+        if text and ODD_SPACES.search(text):
+            yield array("I", known.whole.encode(text, add_special_tokens=False).ids).tobytes()
+            continue
+        if len(known) > REMEMBERED:
+            known.clear()
+        yield b"".join(map(known.__getitem__, text.split())) if text else b""
 
 
 def pieces(text: Column, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> Column:

@@ -18,6 +18,21 @@ def test_words_encode_like_whole_texts(hard_texts):
         assert np.frombuffer(got, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_many_words_encode_alike(spark):
+    """All words of a table, and random Latin ones, by the remembered way and by the tokenizer."""
+    rng = np.random.default_rng(8)
+    letters = [chr(c) for c in [*range(33, 127), *range(0xA1, 0x250)] if not chr(c).isspace()]
+    words = {"".join(rng.choice(letters, rng.integers(1, 14))) for _ in range(20_000)}
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect():
+        words |= set((r["text"] or "").split())
+    words = sorted(words)
+    tok = Tokenizer.from_file(PATH)
+    tok.encode_special_tokens = True
+    assert packing.ranked(PATH) is not None
+    for w, got, want in zip(words, packing.encoded(words, PATH), tok.encode_batch(words, add_special_tokens=False), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == want.ids, w
+
+
 def test_packed(documents, prose, hard_texts):
     rows = [(k, prose(k, 3 + 37 * k % 900)) for k in range(150)] + [(1000 + k, t) for k, t in enumerate(hard_texts)] + [(None, "null id"), (3, prose(3, 114))]
     got = [r.asDict() for r in packing.packed(documents(rows), PATH, block_docs=64).collect()]
