@@ -277,11 +277,12 @@ class Join:
         self.classes = written(rows.filter("c IS NOT NULL").groupBy("c").agg(
             F.count("*").alias("size"), F.min("row").alias("row"), F.min("doc_id").alias("least"), F.first("n").alias("n"),
             F.first("keys").alias("keys")), "classes")
-        entries = self.classes.select("c", "n", "keys", F.posexplode("keys").alias("tree", "key"))
+        entries = self.classes.select("c", F.posexplode("keys").alias("tree", "key"))
         buckets = entries.groupBy("tree", "key").agg(F.count("*").alias("members")).filter("members > 1")
         buckets = written(buckets.withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).drop("members"), "buckets")
         part = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
-        met = entries.join(buckets, ["tree", "key"]).withColumn("part", part).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        shared = entries.join(buckets, ["tree", "key"]).join(self.classes.select("c", "n", "keys"), "c")    # most classes are in no bucket
+        met = shared.withColumn("part", part).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         met = met.select("tree", "key", F.least("part", "x").alias("p"), F.greatest("part", "x").alias("q"), "part", "c", "n", "keys")
         needed = written(grouped(met, n_tasks).mapInArrow(slim_pass(similarity), SLIM), "needed")
         chosen = needed.select("c").distinct().join(self.classes, "c").select("c", "row", "size", "keys")
