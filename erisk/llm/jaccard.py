@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from erisk.llm.common import written
 
-SHINGLE, SIMILARITY, TARGET, TREES, DEPTH, BLOCK, SEED = 5, 0.8, 0.999, 12, 6, 512, 11
+SHINGLE, SIMILARITY, TARGET, TREES, DEPTH, BLOCK, SEED = 5, 0.8, 0.999, 12, 6, 256, 11
 
 
 def depth_for(similarity: float, target: float, trees: int, depth: int) -> int:
