@@ -264,7 +264,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 class Join:
-    """The join's tables: `rows` (row, doc_id, c of every document), `classes` (c, size, row, least) and `links`."""
+    """The join's tables: `rows` (row, doc_id, c of every document), `classes` (c, size, best) and `linked` (c, links, root)."""
 
     def __init__(self, documents: DataFrame, similarity: float = SIMILARITY, target: float = TARGET, trees: int = TREES, full: int = DEPTH,
                  block: int = BLOCK):
@@ -275,8 +275,8 @@ class Join:
         rows = written(own.select("row", "doc_id", signed(F.col("text"), trees, depth, full).alias("s")).select("row", "doc_id", "s.*"), "signatures")
         self.rows = rows.select("row", "doc_id", "c")
         self.classes = written(rows.filter("c IS NOT NULL").groupBy("c").agg(
-            F.count("*").alias("size"), F.min("row").alias("row"), F.min("doc_id").alias("least"), F.first("n").alias("n"),
-            F.first("keys").alias("keys")), "classes")
+            F.count("*").alias("size"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"),
+            F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
         entries = self.classes.select("c", F.posexplode("keys").alias("tree", "key"))
         buckets = entries.groupBy("tree", "key").agg(F.count("*").alias("members")).filter("members > 1")
         buckets = written(buckets.withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).drop("members"), "buckets")
@@ -285,8 +285,9 @@ class Join:
         met = shared.withColumn("part", part).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         met = met.select("tree", "key", F.least("part", "x").alias("p"), F.greatest("part", "x").alias("q"), "part", "c", "n", "keys")
         needed = written(grouped(met, n_tasks).mapInArrow(slim_pass(similarity), SLIM), "needed")
-        chosen = needed.select("c").distinct().join(self.classes, "c").select("c", "row", "size", "keys")
-        texts = own.join(chosen, "row").dropDuplicates(["row"]).select("c", "size", "keys", sets_of(F.col("text"))["own"].alias("own"))
+        chosen = needed.select("c").distinct().join(self.classes, "c").select("c", F.col("best.row").alias("row"), "size", "keys")
+        # both sides grow with the corpus, so neither is ever broadcast
+        texts = own.join(chosen.hint("merge"), "row").dropDuplicates(["row"]).select("c", "size", "keys", sets_of(F.col("text"))["own"].alias("own"))
         texts = written(texts, "sets")
         members = needed.join(texts, "c")
         found = written(grouped(members, n_tasks).mapInArrow(verify_pass(similarity), LINKS), "links")
@@ -297,7 +298,7 @@ class Join:
     def documents(self) -> DataFrame:
         """doc_id, class_id (the least doc_id of its near-duplicate class) and n_links (other documents it is linked to)."""
         whole = self.classes.join(self.linked, "c", "left").withColumn("root", F.coalesce("root", "c"))
-        names = whole.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("size").alias("class_size"))
+        names = whole.groupBy("root").agg(F.min("best")["doc_id"].alias("class_id"), F.sum("size").alias("class_size"))
         per_class = written(whole.join(names, "root").select(
             "c", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")), "verdicts")
         return self.rows.join(per_class, "c", "left").select(
@@ -306,11 +307,11 @@ class Join:
 
     def kept_rows(self) -> DataFrame:
         """row, stays and copies of the documents of classes of two or more; the one of least doc_id stays."""
-        whole = self.classes.join(self.linked, "c", "left").withColumn("root", F.coalesce("root", "c"))
-        groups = whole.groupBy("root").agg(F.sum("size").alias("total")).filter("total > 1")
-        mine = self.rows.filter("c IS NOT NULL").join(whole.select("c", "root"), "c").join(groups, "root")
-        first = mine.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("first"))
-        return mine.join(first, "root").groupBy("row").agg(F.first(F.col("row") == F.col("first")).alias("stays"), F.count("*").alias("copies"))
+        whole = self.classes.join(self.linked, "c", "left").select("c", "size", "best", F.coalesce("root", "c").alias("root"))
+        groups = whole.groupBy("root").agg(F.sum("size").alias("total"), F.min("best")["row"].alias("first")).filter("total > 1")
+        first = whole.select("c", "root").join(groups, "root").select("c", "first")
+        mine = self.rows.filter("c IS NOT NULL").join(first, "c").select("row", (F.col("row") == F.col("first")).alias("stays"))
+        return mine.groupBy("row").agg(F.first("stays").alias("stays"), F.count("*").alias("copies"))
 
 
 def grouped(members: DataFrame, n_tasks: int) -> DataFrame:
@@ -328,7 +329,10 @@ def joined(documents: DataFrame, similarity: float = SIMILARITY, target: float =
 def one_of_each(documents: DataFrame, similarity: float = SIMILARITY, target: float = TARGET) -> DataFrame:
     """The documents less all but one of each near-duplicate class: the one of least doc_id stays. All columns are kept."""
     fate = written(Join(documents, similarity, target).kept_rows(), "fates").toDF("__row", "__stays", "__copies")
-    own = documents.withColumn("__row", row_key()).join(fate, "__row", "left").filter("__stays IS NULL OR __stays")
+    # the fates grow with the corpus: never a broadcast, so any size takes the same way
+    own = documents.withColumn("__row", row_key()).join(fate.hint("merge"), "__row", "left").filter("__stays IS NULL OR __stays")
     columns = [F.col(f"`{c}`") for c in documents.columns]
+    if fate.filter("__stays AND __copies > 1").isEmpty():        # the usual table: no row is there twice
+        return own.select(*columns)
     once = own.filter(F.coalesce("__copies", F.lit(1)) == 1).select(*columns)
     return once.union(own.filter("__copies > 1").dropDuplicates(["__row"]).select(*columns))
