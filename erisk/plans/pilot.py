@@ -31,7 +31,7 @@ def prepare(df: DataFrame, s: Settings, fuels=MAIN_FUELS) -> tuple[DataFrame, li
 
 
 def compare(features: DataFrame, s: Settings, fuels=MAIN_FUELS, key: str = "mot_test_number",
-            boosting_rounds: int = 100, text_features=TEXT_FEATURES) -> dict:
+            boosting_rounds: int = 500, text_features=TEXT_FEATURES) -> dict:
     """Scores of five models on the validation rows, the boosting importances and the peer bands."""
     prepared, fuel_names = prepare(features, s, fuels)
     data = durable(prepared.where(F.col("split") != "test"))

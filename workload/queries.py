@@ -800,5 +800,5 @@ def permutation_importance(spark, sf):
 
 @query
 def pilot_scores(spark, sf):
-    result = pilot.compare(W.text_features(spark, sf), W.SETTINGS, fuels=("NATION_0", "NATION_1", "NATION_2"), boosting_rounds=5)
+    result = pilot.compare(W.text_features(spark, sf), W.SETTINGS, fuels=("NATION_0", "NATION_1", "NATION_2"))
     return result["scores"]
