@@ -4,9 +4,9 @@ Lower-cased UTF-8 bytes are cut into windows of 256. Each byte has a learned vec
 over the window, each filter keeps its largest response, and a softmax layer over these gives language probabilities. A
 text's answer is the mean over all its windows, weighted by their bytes. All filters run as one matrix product.
 
-Training uses a bounded sample (`sample` documents in all, default 12,000, split evenly over at most `max_languages`
-languages, the most frequent) of documents with a language outside the held-out fold, four windows of each. Only text and
-language are learned from. Prediction is a column expression over all texts, without a shuffle.
+Training uses a bounded sample (`sample` documents in all, default 12,000, split evenly over all languages, but some
+`LEAST` of each, so the sample grows with their number beyond 1,200) of documents with a language outside the held-out
+fold, four windows of each. Every language has at least one document in it. Only text and language are learned from. Prediction is a column expression over all texts, without a shuffle.
 
 Defined results: `und` with score 0 if the text is null or has no letter, or if nothing could be learned; with one
 language learned, that one with score 1. Repeated rows are predicted alike. Other columns are not read.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from erisk.llm.common import held_out
 
 WINDOW, DIM, WIDTHS, FILTERS = 256, 6, (2, 3, 4), 8
-SAMPLE, MAX_LANGUAGES, EPOCHS, BATCH, RATE, SEED = 12_000, 200, 4, 128, 0.01, 7
+SAMPLE, LEAST, EPOCHS, BATCH, RATE, SEED = 12_000, 10, 4, 128, 0.01, 7
 PAD, WIDEST, ALL = 256, max(WIDTHS), FILTERS * len(WIDTHS)
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -131,24 +131,27 @@ class ByteNetwork:
         return lang, score
 
 
-def training_windows(documents: DataFrame, sample: int, max_languages: int) -> list:
-    """(lang, four pieces of text) of the bounded sample; at most `sample` rows reach the driver."""
-    own = documents.select("doc_id", "text", "lang").filter(
+def training_windows(documents: DataFrame, sample: int) -> list:
+    """(lang, four pieces of text) of the bounded sample; some `sample` rows, or `LEAST` a language, reach the driver."""
+    h = F.xxhash64("doc_id", "text")
+    own = documents.select("doc_id", "text", "lang", h.alias("h"), F.pmod(h, F.lit(1 << 40)).alias("u")).filter(
         F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id")))
-    counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    counts = own.groupBy("lang").agg(F.count("*").alias("n"), F.min("u").alias("first")).collect()
     if not counts:
         return []
-    each = sample / len(counts)
-    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, each / r["count"])))))
-    h = F.xxhash64("doc_id", "text")
-    drawn = own.filter(F.pmod(h, F.lit(1 << 40)) / float(1 << 40) < F.coalesce(share[F.col("lang")], F.lit(0.0)))
+    each = max(sample / len(counts), LEAST)
+    shares = documents.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["n"]), r["first"]) for r in counts],
+                                                    "lang string, share double, first bigint")
+    drawn = own.join(F.broadcast(shares), "lang").filter((F.col("u") / float(1 << 40) < F.col("share")) | (F.col("u") == F.col("first")))
     span = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
     pieces = [F.substring("text", (1 + F.pmod(F.xxhash64("doc_id", F.lit(k)), span)).cast("int"), F.lit(WINDOW)) for k in range(4)]
-    return drawn.select("lang", F.array(*pieces).alias("w"), h.alias("h"), "doc_id").orderBy("h", "doc_id").limit(2 * sample).collect()
+    rows = drawn.select("lang", F.array(*pieces).alias("w"), "h", "doc_id", (F.col("u") > F.col("first")).alias("later")).dropDuplicates(
+        ["lang", "h"]).orderBy("later", "h", "doc_id").limit(int(2 * each * len(counts)) + 1).collect()
+    return sorted(rows, key=lambda r: (r["h"], r["doc_id"] is not None, r["doc_id"], r["lang"]))
 
 
-def fitted(documents: DataFrame, sample: int = SAMPLE, max_languages: int = MAX_LANGUAGES) -> ByteNetwork:
-    rows = training_windows(documents, sample, max_languages)
+def fitted(documents: DataFrame, sample: int = SAMPLE) -> ByteNetwork:
+    rows = training_windows(documents, sample)
     languages = sorted({r["lang"] for r in rows})
     net = ByteNetwork(languages)
     if len(languages) < 2:
@@ -166,8 +169,8 @@ def language_of(text: Column, net: ByteNetwork) -> Column:
     return run(text)
 
 
-def identified(documents: DataFrame, sample: int = SAMPLE, max_languages: int = MAX_LANGUAGES) -> DataFrame:
+def identified(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document."""
-    net = fitted(documents, sample, max_languages)
+    net = fitted(documents, sample)
     return documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), language_of(F.col("text"), net).alias("p")
                             ).select("doc_id", "held_out", "p.*")

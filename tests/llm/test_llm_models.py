@@ -111,3 +111,11 @@ def test_windows_cover_the_text():
     text = "Äb" * 300
     w = language.windows(text)
     assert bytes(w[w != language.PAD].astype(np.uint8)) == text.encode().lower() and w.shape[1] == language.WINDOW
+
+
+def test_every_language_is_learned(documents):
+    """Also the rarest of many; repeated rows of one language do not crowd out the others."""
+    rows = [(k, f"{chr(0x4E00 + k % 230) * 3} {k}", f"l{k % 230:03}") for k in range(1150)]
+    rare, crowd = [(7, "rare words", "rare")], [(8, "the same row", "l000")] * 2000
+    assert not fold(7) and not fold(8)
+    assert language.fitted(documents(rows + rare + crowd), 300).languages == sorted({r[2] for r in rows if not fold(r[0])} | {"rare"})
