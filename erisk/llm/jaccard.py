@@ -1,9 +1,10 @@
-"""N-gram Jaccard join: a MinHash LSH forest finds candidates, exact sets of word shingles verify them.
+"""N-gram Jaccard join: MinHash banding finds candidates, exact sets of word shingles verify them.
 
-Texts of equal shingle sets are one class and take part once. Each class has a signature of `trees` sequences of MinHash
-values; a sequence is a path in a prefix trie. Two classes are candidates when they share a prefix in any tree. The prefix
-starts at full length and is shortened until a pair exactly at the threshold is found with the target probability,
-1 - (1 - s^d)^trees; more similar pairs are found more often. Every candidate is verified, so nothing false is linked.
+Texts of equal shingle sets are one class and take part once. Each class has `trees` bands of d MinHash values (12 bands of
+3 by default). Two classes are candidates when they share a band. This is banding of one depth for all classes, not an LSH
+forest: no trie is built and no prefix shortened for a class by what it has matched. d is the greatest number up to `depth`
+by which a pair exactly at the threshold is found with the target probability, 1 - (1 - s^d)^trees; more similar pairs are
+found more often. Every candidate is verified, so nothing false is linked.
 
 Work on a trie node (bucket) is split: a bucket of more than `block` classes is dealt over blocks, and every two blocks meet
 in one small group, so a group of thousands of near copies is many tasks and its pairs are numpy matrices, never rows.
