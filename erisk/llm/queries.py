@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from erisk.llm import attribution, classifier, decontamination, html, jaccard, language, packing, rules, sharding, warc
+from erisk.llm import attribution, audit, classifier, decontamination, html, jaccard, language, packing, peeling, rules, sharding, simhash, warc
 from erisk.llm.common import prepare, table
 from erisk.session import shared_folder
 
@@ -62,6 +62,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return peeling.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return simhash.deduplicated(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_html_extraction": op2_html_extraction,
@@ -73,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_simhash": op13_simhash,
 }
 
 #: Twins in DuckDB's SQL, where SQL can express the operator.
@@ -146,3 +164,73 @@ SELECT doc_id, size, text_crc32, 'key' AS law, a.shard, b.shard AS grown_shard,
            ('0x' || substr(md5('slot|' || key || '|' || text_crc32 || '|' || size), 1, 13))::BIGINT, doc_id, text_crc32, size) - 1 AS slot
 FROM d JOIN a USING (rid) JOIN b USING (rid)
 """
+
+ORACLE["op11_filter_audit"] = """
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+m AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CASE WHEN len(w) < 200 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails
+  FROM t LEFT JOIN m USING (doc_id)),
+cells AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, filter_order[step] AS own, filter_order[:step - 1] AS early FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (
+  SELECT part, filter_order, step, own, n, good, toxic, fails = own AS alone, contains(fails, own) AS here,
+         length(early) > 0 AND regexp_matches(fails, '[' || CASE early WHEN '' THEN '-' ELSE early END || ']') AS gone
+  FROM cells, s),
+g AS (
+  SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT gone AND NOT here), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (NOT gone AND here), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (gone AND here), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (NOT gone AND here), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (NOT gone AND here), 0)::BIGINT AS toxic_lost
+  FROM r GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley
+FROM g
+"""
+
+ORACLE["op12_prefix_trie"] = """
+WITH RECURSIVE bits(i, k, c) AS (
+  SELECT i, 0, i FROM range(256) AS r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+turns AS (
+  SELECT conv_id, strlen(coalesce(text, '')) AS size, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+             regexp_extract_all(hex(encode(conv_id::VARCHAR)), '..'), lambda x: ('0x' || x)::BIGINT)),
+             lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns), crc),
+own AS (
+  SELECT c.conv_id, 0 AS side, p, k, size FROM c JOIN turns ON turns.conv_id = base WHERE p <= h
+  UNION ALL SELECT c.conv_id, 1, p, k, size FROM c JOIN turns USING (conv_id) WHERE p > h),
+placed AS (SELECT conv_id, k, size, row_number() OVER (PARTITION BY conv_id ORDER BY side, p) AS d FROM own),
+pre AS (
+  SELECT conv_id, 0 AS depth, '' AS path, 0 AS size FROM c
+  UNION ALL SELECT conv_id, d, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY d), size FROM placed),
+len AS (SELECT conv_id, max(depth) AS n FROM pre GROUP BY conv_id),
+node AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = n), '')) AS ends_sha256
+  FROM pre JOIN len USING (conv_id) GROUP BY path, depth),
+kids AS (SELECT path[:-33] AS path, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1),
+full_ AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (path)),
+below AS (
+  SELECT a.path, sum(CASE WHEN b.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((b.n_convs - 1) * b.size) AS saved_tokens
+  FROM full_ a JOIN full_ b ON starts_with(b.path, a.path) GROUP BY a.path)
+SELECT f.conv_id, f.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves::BIGINT AS n_leaves,
+       saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+FROM full_ f JOIN below USING (path) LEFT JOIN node up ON f.depth > 0 AND up.path = f.path[:-33]
+"""
