@@ -6,10 +6,8 @@ import functools
 import math
 import operator
 
-from pyspark import SparkContext
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from erisk.functions.bands import AGE_KEYS, age_key
@@ -259,59 +257,3 @@ def pilot_logistic(train: DataFrame, features, label: str):
         z = functools.reduce(operator.add, [F.col(n) * F.lit(b) for n, b in zip(names, coefs)], F.lit(intercept))
         return ready.withColumn("score", sigmoid(z)).drop(*names)
     return score, dict(zip(names, coefs))
-
-
-# The reference's early stopping waits for 10 rounds without a gain of more than 1e-7 (scikit-learn's defaults).
-PATIENCE, STOP_TOL, FIRST_ROUNDS = 10, 1e-7, 16
-
-
-def stopping_round(losses, patience: int = PATIENCE, tol: float = STOP_TOL) -> int | None:
-    """The first round after which none of the last ``patience`` losses is below the loss before them; losses[0] is of no round."""
-    for k in range(patience, len(losses)):
-        if min(losses[k - patience + 1:k + 1]) >= losses[k - patience] - tol:
-            return k
-    return None
-
-
-def first_trees(fitted: GBTClassificationModel, n: int) -> GBTClassificationModel:
-    """The model of the first n rounds."""
-    java, sc = fitted._java_obj, SparkContext._active_spark_context
-    ml, jvm = sc._jvm.org.apache.spark.ml, sc._jvm
-    trees, weights = sc._gateway.new_array(ml.regression.DecisionTreeRegressionModel, n), sc._gateway.new_array(jvm.double, n)
-    for k in range(n):
-        trees[k], weights[k] = java.trees()[k], java.treeWeights()[k]
-    return GBTClassificationModel(ml.classification.GBTClassificationModel(
-        java.uid(), trees, weights, java.numFeatures(), java.numClasses()))
-
-
-def pilot_boosting(train: DataFrame, features, label: str, key: str, max_iter: int = 500, seed: int = 0):
-    """Gradient boosting with a held-out share for early stopping, which decides the rounds; max_iter is a bound.
-
-    Spark's own stopping ends at the first round that is worse by chance, so we fit 16, 32, 64, .. rounds until the
-    held-out losses say stop, and keep the trees up to there. NULL becomes a value below all others.
-    """
-    names = [f"v_{c}" for c in features]
-
-    def ready(df: DataFrame) -> DataFrame:
-        filled = df.select("*", *[F.coalesce(F.col(c).cast("double"), F.lit(-1e9)).alias(f"v_{c}") for c in features])
-        return VectorAssembler(inputCols=names, outputCol="features").transform(filled).drop(*names)
-
-    held_out = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(100)) < 15
-    data = ready(train).select("features", F.col(label).cast("double").alias("label"), held_out.alias("held_out"))
-    rows, held = data.where("not held_out").drop("held_out"), data.where("held_out").drop("held_out")
-    judged = bool(held.head(1))
-    rounds = min(FIRST_ROUNDS, max_iter) if judged else max_iter
-    while True:
-        fitted = GBTClassifier(stepSize=0.05, maxIter=rounds, maxDepth=5, seed=seed).fit(rows)
-        losses = [2 * math.log(2), *fitted.evaluateEachIteration(held)] if judged else []
-        stop = stopping_round(losses)
-        if stop or rounds >= max_iter:
-            break
-        rounds = min(2 * rounds, max_iter)
-    if stop and stop < rounds:
-        fitted = first_trees(fitted, stop)
-
-    def score(df: DataFrame) -> DataFrame:
-        return fitted.transform(ready(df)).withColumn("score", vector_to_array("probability")[1]) \
-            .drop("features", "rawPrediction", "probability", "prediction")
-    return score, fitted

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from erisk.functions.bands import right_closed
 from erisk.functions.rules import age_int, collapse, generation, one_hot, split_label
-from erisk.operators import metrics, model as M, reports
+from erisk.operators import boosting, metrics, model as M, reports
 from erisk.plans.training import LABEL
 from erisk.session import durable
 from erisk.settings import Settings
@@ -41,11 +41,11 @@ def compare(features: DataFrame, s: Settings, fuels=MAIN_FUELS, key: str = "mot_
     scored = reports.baseline_predict(train, val, ["gen", "age_int"], "gen", LABEL, s.min_cell, out="score")
     parts = [scored.select(F.lit("Baseline (gen + age)").alias("model"), key, LABEL, "age_int", "score")]
     fitted, coefficients = {}, {}
+    boosters = boosting.fit(train, sets, LABEL, key, boosting_rounds)
     for suffix, columns in sets.items():
         logistic, coefs = M.pilot_logistic(train, columns, LABEL)
-        boosting, _ = M.pilot_boosting(train, columns, LABEL, key, boosting_rounds)
         coefficients[f"Logistic{suffix}"] = coefs
-        for name, score in ((f"Logistic{suffix}", logistic), (f"Boosting{suffix}", boosting)):
+        for name, score in ((f"Logistic{suffix}", logistic), (f"Boosting{suffix}", boosters[suffix].score)):
             fitted[name] = (score, columns)
             parts.append(score(val).select(F.lit(name).alias("model"), key, LABEL, "age_int", "score"))
     preds = durable(functools.reduce(DataFrame.unionByName, parts))

@@ -49,3 +49,22 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         return tempfile.mkdtemp(prefix=f"erisk-{name}-")
     import uuid
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application; functions that run in Python workers need it."""
+    import pathlib
+    import zipfile
+
+    if spark.sparkContext.applicationId in SHIPPED:
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    path = f"{tempfile.mkdtemp(prefix='erisk-code-')}/erisk_code.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    spark.sparkContext.addPyFile(path)
+    SHIPPED.add(spark.sparkContext.applicationId)
+
+
+SHIPPED: set[str] = set()

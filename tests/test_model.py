@@ -173,15 +173,3 @@ def test_pilot_query_fits_all_rounds(spark, monkeypatch):
     queries.QUERIES["pilot_scores"](spark, "")
     seen[0].apply_defaults()
     assert seen[0].arguments["boosting_rounds"] == 500
-    assert M.stopping_round([5, 4, 4.1, *[3.9 - k / 100 for k in range(40)]]) is None
-    assert M.stopping_round([5, 4, 3, *[3.5] * 30]) == 12 and M.stopping_round([1.0] * 10) is None
-
-
-def test_boosting_stops_by_held_out_rows(spark):
-    df = spark.range(600).select("id", (F.col("id") % 50).alias("x"), (F.xxhash64("id") % 2 == 0).cast("int").alias("y"))
-    score, fitted = M.pilot_boosting(df, ["x"], "y", "id")
-    n = fitted.getNumTrees
-    assert M.PATIENCE <= n < 500
-    _, short = M.pilot_boosting(df, ["x"], "y", "id", n)
-    assert list(short.treeWeights) == list(fitted.treeWeights) and short.toDebugString.split("\n")[1:] == fitted.toDebugString.split("\n")[1:]
-    assert score(df).where("score between 0 and 1").count() == 600
