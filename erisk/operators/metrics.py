@@ -1,8 +1,6 @@
-"""Ranking, calibration and stability metrics."""
+"""Ranking, calibration and stability metrics."""
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from erisk.operators import scan
@@ -186,91 +184,3 @@ def segment_report(df: DataFrame, dimensions: dict[str, str], label: str, score:
     ok = (F.col("auc") >= gate_auc) & (F.abs(gap) <= gate_gap)
     return out.select(*keys, n.alias("n"), rate.alias("fail_rate"), "auc", gap.alias("calibration_gap_points"),
                       F.when(n < min_size, "too small").when(ok, "pass").otherwise("FAIL").alias("result"))
-
-
-# ---- resampling ---------------------------------------------------------------
-
-def hash_uniform(*columns) -> Column:
-    """A number in (0, 1) that depends on the columns only, so a lost task repeats it."""
-    return (F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") + 0.5) / F.lit(float(2 ** 53))
-
-
-# Cumulative Poisson(1) probabilities for 0, 1, 2, ...
-POISSON_ONE = [sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(12)]
-
-
-def poisson_weight(n: Column, *keys: Column, exact_to: int = 12) -> Column:
-    """How often n identical rows are drawn: a sum of Poisson(1) draws, normal with skew term for large n."""
-    def one(i):
-        u = hash_uniform(*keys, i)
-        out = F.lit(len(POISSON_ONE))
-        for k in range(len(POISSON_ONE) - 1, -1, -1):
-            out = F.when(u < POISSON_ONE[k], F.lit(k)).otherwise(out)
-        return out.cast("double")
-    small = F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(exact_to)).cast("int")), F.lit(0.0),
-                        lambda acc, i: acc + one(i))
-    z = (F.sqrt(-2 * F.ln(hash_uniform(*keys, F.lit(-1))))
-         * F.cos(F.lit(2 * math.pi) * hash_uniform(*keys, F.lit(-2))))
-    lam = n.cast("double")
-    large = F.greatest(F.bround(lam + F.sqrt(lam) * z + (z * z - 1) / 6, 0), F.lit(0.0))
-    return F.when(n <= 0, F.lit(0.0)).when(n <= exact_to, small).otherwise(large)
-
-
-def bootstrap_auc(df: DataFrame, label: str, scores, reps: int = 200, seed: int = 0) -> DataFrame:
-    """Poisson bootstrap of several scores on the same resamples: (score, rep, auc).
-
-    Rows are folded to cells of (label, all scores) first; each replicate draws a weight per cell.
-    """
-    scores = list(scores)
-    folded = (df.where(F.col(label).isNotNull()).groupBy(label, *scores).agg(F.count("*").alias("n")))
-    drawn = (folded.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-             .withColumn("w", poisson_weight(F.col("n"), F.lit(seed), F.col("rep"), F.col(label),
-                                             *[F.col(c) for c in scores]))
-             .where("w > 0"))
-    pairs = ", ".join(f"'{c}', `{c}`" for c in scores)
-    long = drawn.select("rep", label, "w", F.expr(f"stack({len(scores)}, {pairs}) AS (score, value)"))
-    return auc(long, label, "value", ["score", "rep"], weight=F.col("w")).select("score", "rep", "auc")
-
-
-def bootstrap_interval(reps: DataFrame, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """Percentile interval per score over the replicates (a few hundred rows a score)."""
-    return reps.groupBy("score").agg(
-        F.avg("auc").alias("mean_auc"), F.percentile("auc", F.lit(low)).alias("low"),
-        F.percentile("auc", F.lit(high)).alias("high"), F.count("*").alias("reps"))
-
-
-def permute_columns(df: DataFrame, key: str, columns, repeats: int, seed: int = 0,
-                    block_rows: int = 100_000, n_rows: int | None = None) -> DataFrame:
-    """Pair every row with a random other row, once per repeat: adds ``rep`` and ``perm_<column>``.
-
-    A permutation inside random hash blocks of about ``block_rows`` rows: no global numbering, and
-    hash blocks have equal size whatever the data holds.
-    """
-    n = df.count() if n_rows is None else n_rows
-    blocks = max(1, n // block_rows)
-    reps = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats)))) \
-        .withColumn("__b", F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("rep")), F.lit(blocks)))
-    place = lambda salt: F.row_number().over(
-        Window.partitionBy("rep", "__b").orderBy(F.xxhash64(F.lit(seed + salt), F.col(key), F.col("rep")), F.col(key)))
-    takers = reps.withColumn("__i", place(1))
-    donors = reps.select("rep", "__b", place(2).alias("__i"), *[F.col(c).alias(f"perm_{c}") for c in columns])
-    return takers.join(donors, ["rep", "__b", "__i"]).drop("__b", "__i")
-
-
-def permutation_importance(df: DataFrame, key: str, label: str, columns, score, repeats: int = 5,
-                           seed: int = 0) -> DataFrame:
-    """Mean drop of AUC when one column is shuffled.
-
-    ``score(df) -> df`` adds the column ``score``; it sees rows with the same columns as ``df``, one
-    per (row, repeat, shuffled feature), so any column expression or fitted model will do.
-    """
-    columns = list(columns)
-    base = auc(score(df), label, "score").select("auc").scalar()
-    paired = permute_columns(df, key, columns, repeats, seed)
-    variants = F.array(*[
-        F.struct(F.lit(f).alias("feature"),
-                 *[F.col(f"perm_{c}" if c == f else c).alias(c) for c in columns]) for f in columns])
-    long = (paired.select("rep", label, F.explode(variants).alias("x"))
-            .select("rep", label, "x.feature", *[F.col(f"x.{c}").alias(c) for c in columns]))
-    each = auc(score(long), label, "score", ["feature", "rep"]).withColumn("drop", base - F.col("auc"))
-    return each.groupBy("feature").agg(F.avg("drop").alias("importance"), F.stddev_pop("drop").alias("spread"))

@@ -1,13 +1,19 @@
 """Checks that fail loudly, as tables first."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 
 class CheckFailed(AssertionError):
     pass
 
 
+class EmptyTable(CheckFailed):
+    pass
+
+
 def require_columns(df: DataFrame, columns) -> DataFrame:
     """Before any job runs."""
     missing = [c for c in columns if c not in df.columns]
@@ -19,10 +25,19 @@ def require_columns(df: DataFrame, columns) -> DataFrame:
 def require_rows(df: DataFrame, what: str = "table") -> DataFrame:
     """X1."""
     if df.isEmpty():
-        raise CheckFailed(f"no rows in {what}: check the source and the filters")
+        raise EmptyTable(f"no rows in {what}: check the source and the filters")
     return df
 
 
+def counted(df: DataFrame, what: str, write: Callable[[DataFrame], None]) -> int:
+    """X1 for writers: rows are counted as they are written, in the same pass; an empty result is an error."""
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    if not seen.get["rows"]:
+        raise EmptyTable(f"no rows in {what}: check the source and the filters")
+    return seen.get["rows"]
+
+
 def outside_domain(df: DataFrame, column: str, domain) -> DataFrame:
     """Values not in the fixed list; expect none."""
     known = df.sparkSession.createDataFrame([(v,) for v in domain], f"`{column}` string")

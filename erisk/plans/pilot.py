@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from erisk.functions.bands import right_closed
 from erisk.functions.rules import age_int, collapse, generation, one_hot, split_label
-from erisk.operators import boosting, metrics, model as M, reports
+from erisk.operators import boosting, metrics, model as M, reports, resampling
 from erisk.plans.training import LABEL
 from erisk.session import durable
 from erisk.settings import Settings
@@ -31,8 +31,8 @@ def prepare(df: DataFrame, s: Settings, fuels=MAIN_FUELS) -> tuple[DataFrame, li
 
 
 def compare(features: DataFrame, s: Settings, fuels=MAIN_FUELS, key: str = "mot_test_number",
-            boosting_rounds: int = 500, text_features=TEXT_FEATURES) -> dict:
-    """Scores of five models on the validation rows, the boosting importances and the peer bands."""
+            boosting_rounds: int = 500, text_features=TEXT_FEATURES, boost: bool = True) -> dict:
+    """Scores of five models on the validation rows (three without boosting), their predictions and coefficients."""
     prepared, fuel_names = prepare(features, s, fuels)
     data = durable(prepared.where(F.col("split") != "test"))
     train, val = data.where("split = 'train'"), data.where("split = 'validation'")
@@ -41,11 +41,12 @@ def compare(features: DataFrame, s: Settings, fuels=MAIN_FUELS, key: str = "mot_
     scored = reports.baseline_predict(train, val, ["gen", "age_int"], "gen", LABEL, s.min_cell, out="score")
     parts = [scored.select(F.lit("Baseline (gen + age)").alias("model"), key, LABEL, "age_int", "score")]
     fitted, coefficients = {}, {}
-    boosters = boosting.fit(train, sets, LABEL, key, boosting_rounds)
+    boosters = boosting.fit(train, sets, LABEL, key, boosting_rounds) if boost else {}
     for suffix, columns in sets.items():
         logistic, coefs = M.pilot_logistic(train, columns, LABEL)
         coefficients[f"Logistic{suffix}"] = coefs
-        for name, score in ((f"Logistic{suffix}", logistic), (f"Boosting{suffix}", boosters[suffix].score)):
+        scorers = {f"Logistic{suffix}": logistic} | ({f"Boosting{suffix}": boosters[suffix].score} if boost else {})
+        for name, score in scorers.items():
             fitted[name] = (score, columns)
             parts.append(score(val).select(F.lit(name).alias("model"), key, LABEL, "age_int", "score"))
     preds = durable(functools.reduce(DataFrame.unionByName, parts))
@@ -58,7 +59,7 @@ def compare(features: DataFrame, s: Settings, fuels=MAIN_FUELS, key: str = "mot_
 def importances(compared: dict, model: str = "Boosting + text", key: str = "mot_test_number", repeats: int = 5) -> DataFrame:
     score, columns = compared["fitted"][model]
     val = compared["validation"].select(key, LABEL, *[F.col(c).cast("double").alias(c) for c in columns])
-    return metrics.permutation_importance(val, key, LABEL, columns, score, repeats)
+    return resampling.permutation_importance(val, key, LABEL, columns, score, repeats)
 
 
 def peer_bands(predictions: DataFrame, model: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from erisk.functions.bands import age_key, right_closed
 from erisk.functions.rules import collapse, split_label
 from erisk.functions.stats import logit, psi_label, sigmoid
-from erisk.operators import metrics, model as M, reports
+from erisk.operators import metrics, model as M, reports, resampling
 from erisk.session import durable
 from erisk.settings import ScopeRules, Settings
 from erisk.sources.models import with_provenance
@@ -57,7 +57,8 @@ def score_table(df: DataFrame, scores, base_rate: float, label: str = LABEL) ->
         metrics.score_summary(long, label, "value", base_rate, ["score"]), "score")
 
 
-def validate(features: DataFrame, model: dict, s: Settings, reps: int = 200, segment_min: int = 500) -> dict:
+def validate(features: DataFrame, model: dict, s: Settings, reps: int = 200, segment_min: int = 500,
+             key: str = "mot_test_number") -> dict:
     """Score the test rows once and check every gate. Returns the tables of the report."""
     data = durable(features.withColumn("split", split_label("test_date", s)).where(F.col("split") != "validation")
                    .withColumn("age_key", age_key("age_years")).withColumn("p", M.probability(model)))
@@ -70,7 +71,7 @@ def validate(features: DataFrame, model: dict, s: Settings, reps: int = 200, seg
                    .withColumn("history_seg", F.when(F.col("n_prior_fails").isNull(), "no history").otherwise("has history")))
     base_rate = train_rows.agg(F.avg(LABEL)).first()[0]
     scores = score_table(test, ["p", "p_base"], base_rate)
-    interval = metrics.bootstrap_interval(metrics.bootstrap_auc(test, LABEL, ["p", "p_base"], reps))
+    interval = resampling.bootstrap_interval(resampling.bootstrap_auc(test, key, LABEL, ["p", "p_base"], reps))
     slope, intercept = M.fit_platt(test, logit(F.col("p"), 1e-15), LABEL)
     bins = metrics.calibration_bins(test, LABEL, "p")
     bands = reports.rate_by(test, ["band"], LABEL)

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from erisk.operators.quality import counted
+
 ENTITY_SCHEMA = "registration string, make string, model string, first_used_date date, " \
                 "registration_date date, fuel_type string, engine_size double"
 EVENT_SCHEMA = "mot_test_number string, registration string, completed_date timestamp, test_result string, " \
@@ -50,13 +52,13 @@ def read_features_csv(spark: SparkSession, path: str, schema: str = FEATURE_SCHE
 
 
 def write_features_csv(df: DataFrame, path: str) -> None:
-    """S4."""
-    df.write.mode("errorifexists").option("header", True).csv(path)
+    """S4. An empty table is an error."""
+    counted(df, path, lambda d: d.write.mode("errorifexists").option("header", True).csv(path))
 
 
 def write_features(df: DataFrame, path: str) -> None:
-    """S4 at scale: Parquet by year of the target date, so date splits prune files."""
-    (df.withColumn("test_year", F.year("test_date")).write.mode("errorifexists").partitionBy("test_year").parquet(path))
+    """S4 at scale: Parquet by year of the target date, so date splits prune files. An empty table is an error."""
+    counted(df.withColumn("test_year", F.year("test_date")), path, lambda d: d.write.mode("errorifexists").partitionBy("test_year").parquet(path))
 
 
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from erisk.operators import metrics as MT, redundancy as RD, reports as RP, sampling as SP, scan
+from erisk.operators import metrics as MT, redundancy as RD, reports as RP, sampling as SP, scan, resampling as RS
 from tests.helpers import by
 
 
@@ -143,8 +143,8 @@ def test_segments(spark):
 
 
 def test_bootstrap(df, rows):
-    reps = MT.bootstrap_auc(df.withColumn("q", F.round("p", 1)), "y", ["p", "q"], reps=120, seed=1)
-    out = by(MT.bootstrap_interval(reps), "score")
+    reps = RS.bootstrap_auc(df.withColumn("q", F.round("p", 1)).withColumn("k", F.monotonically_increasing_id()), "k", "y", ["p", "q"], reps=120, seed=1)
+    out = by(RS.bootstrap_interval(reps), "score")
     y, p = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
     rng = np.random.default_rng(0)
     plain = []
@@ -153,15 +153,40 @@ def test_bootstrap(df, rows):
         plain.append(plain_auc(y[i], p[i]))
     assert out["p"]["low"] == pytest.approx(np.quantile(plain, 0.025), abs=0.012)
     assert out["p"]["high"] == pytest.approx(np.quantile(plain, 0.975), abs=0.012)
-    assert out["p"]["reps"] == 120 and MT.bootstrap_interval(reps).count() == 2
+    assert out["p"]["reps"] == 120 and RS.bootstrap_interval(reps).count() == 2
+
+
+def test_poisson_weights():
+    w = RS.weights([f"k{i}" for i in range(3000)], 10, 1)
+    assert w.shape == (3000, 10) and w.mean() == pytest.approx(1, abs=0.03) and w.var() == pytest.approx(1, abs=0.06) and w.max() >= 5
+    assert abs(np.corrcoef(w.T) - np.eye(10)).max() < 0.08 and (w[:5] == RS.weights([f"k{i}" for i in range(5)], 10, 1)).all()
+
+
+@pytest.mark.parametrize("tasks", [1, 2, 17])
+def test_bootstrap_is_the_weighted_auc(spark, tasks):
+    """Whatever tasks the rows and their ties fall into."""
+    rng = random.Random(9)
+    rows = [(f"k{i}", int(rng.random() < .4), rng.choice([.1, .2, .2, .2, .9]), None if i % 50 == 0 else round(rng.random(), 2)) for i in range(400)]
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    try:
+        got = RS.bootstrap_auc(spark.createDataFrame(rows, "k string, y int, a double, b double"), "k", "y", ["a", "b"], reps=9, seed=3).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 2)
+    w = RS.weights([r[0] for r in rows], 9, 3)
+    for r in got:
+        own = [(x[1], x[2 if r["score"] == "a" else 3], w[i, r["rep"] - 1]) for i, x in enumerate(rows)]
+        own = [x for x in own if x[1] is not None]
+        win = sum(wp * wn * (p > n or 0.5 * (p == n)) for yp, p, wp in own if yp for yn, n, wn in own if not yn)
+        assert r["auc"] == pytest.approx(win / sum(x[2] for x in own if x[0]) / sum(x[2] for x in own if not x[0]))
+    assert len(got) == 18
+    assert RS.bootstrap_auc(spark.createDataFrame([("a", 1, .5)], "k string, y int, p double"), "k", "y", ["p"], 3).where("auc IS NOT NULL").count() == 0
 
 
-def test_poisson_weights(spark):
-    n = spark.range(4000).withColumn("a", MT.poisson_weight(F.lit(3), F.col("id"))) \
-        .withColumn("b", MT.poisson_weight(F.lit(400), F.col("id")))
-    r = n.agg(F.avg("a"), F.variance("a"), F.avg("b"), F.variance("b"), F.min("a")).first()
-    assert r[0] == pytest.approx(3, abs=0.15) and r[1] == pytest.approx(3, abs=0.35)
-    assert r[2] == pytest.approx(400, abs=2) and r[3] == pytest.approx(400, rel=0.1) and r[4] == 0
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 1000, 200_000])
+def test_feistel_is_a_permutation(spark, n):
+    got = spark.range(n).select(RS.feistel(F.col("id"), n, F.lit(7), F.lit(1)).alias("p")).agg(
+        F.countDistinct("p").alias("d"), F.min("p").alias("a"), F.max("p").alias("b")).first()
+    assert (got["d"], got["a"], got["b"]) == (n, 0, n - 1)
 
 
 def test_permutation(spark):
@@ -171,12 +196,12 @@ def test_permutation(spark):
         a, b = rng.random(), rng.random()
         rows.append((f"k{i}", a, b, int(rng.random() < a)))
     df = spark.createDataFrame(rows, "k string, a double, b double, y int")
-    paired = MT.permute_columns(df, "k", ["a"], 2, block_rows=500)
+    paired = RS.permute_columns(df, "k", ["a"], 2)
     got = paired.groupBy("rep").agg(F.count("*").alias("n"), F.sum("perm_a").alias("s"), F.sum("a").alias("t"),
                                     F.count_if(F.col("perm_a") == F.col("a")).alias("fixed")).collect()
     for r in got:
         assert r["n"] == 1000 and r["s"] == pytest.approx(r["t"]) and r["fixed"] < 30   # a permutation, not a draw
-    imp = by(MT.permutation_importance(df, "k", "y", ["a", "b"], lambda d: d.withColumn("score", F.col("a") + F.col("b") * 0)), "feature")
+    imp = by(RS.permutation_importance(df, "k", "y", ["a", "b"], lambda d: d.withColumn("score", F.col("a") + F.col("b") * 0)), "feature")
     assert imp["a"]["importance"] > 0.2 and abs(imp["b"]["importance"]) < 1e-9
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from erisk.functions import bands as BD, rules as R, text as TX
 from erisk.functions.stats import gini, psi_label, sigmoid, wilson
 from erisk.operators import binning as B, history as H, metrics as MT, model as M, nested as N, quality as Q, \
-    redundancy as RD, reports as RP, sampling as SP, scan
+    redundancy as RD, reports as RP, resampling as RS, sampling as SP, scan
 from erisk.plans import chart, parity, pilot, training, univariate
 from erisk.session import durable, shared_folder
 from erisk.sources import models as MF, records as RC, tables as TB
@@ -788,17 +788,60 @@ def validation_gates(spark, sf):
 def bootstrap_auc(spark, sf):
     f = W.scored(spark, sf).withColumn("age_key", BD.age_key("age_years"))
     rows = RP.rate_lookup(f.where("split = 'train'"), f.where("split = 'test'"), "age_key", LABEL)
-    return MT.bootstrap_interval(MT.bootstrap_auc(rows, LABEL, ["p", "p_base"], 200))
+    return RS.bootstrap_interval(RS.bootstrap_auc(rows, "mot_test_number", LABEL, ["p", "p_base"], 200))
 
 
 @query
 def permutation_importance(spark, sf):
     f = durable(W.features(spark, sf).select("mot_test_number", LABEL, "make", *[F.col(c).cast("double").alias(c) for c in M.NUMERIC]))
-    score = lambda df: df.withColumn("score", M.probability(W.MODEL))
-    return MT.permutation_importance(f, "mot_test_number", LABEL, [*M.NUMERIC, "make"], score)
+    score = lambda df: df.withColumn("score", F.round(M.probability(W.MODEL), 12))
+    return RS.permutation_importance(f, "mot_test_number", LABEL, [*M.NUMERIC, "make"], score)
+
+
+@query
+def pilot_reference_scores(spark, sf):
+    """The pilot's grid without its boosters, which SQL can follow."""
+    return pilot.compare(W.text_features(spark, sf), W.SETTINGS, fuels=PILOT_FUELS, boost=False)["scores"]
+
+
+@query
+def refit_check(spark, sf):
+    """A model written, read back and fitted anew from the same rows; the largest difference of a coefficient."""
+    train, folder = durable(W.scored(spark, sf).where("split = 'train'")), shared_folder(spark, "refit")
+    MF.save_model(spark, with_provenance(M.fit_model(train, LABEL, n_makes=4), W.SCOPE, {}, "refit", "1", "", built="2000-01-01"), folder)
+    saved = MF.load_model(spark, folder)
+    apart = M.refit_difference(saved, M.fit_model(train.repartition(3), LABEL, n_makes=4))
+    return train.agg(F.count("*").alias("rows_fitted")).select("rows_fitted", F.lit(len(saved["columns"])).alias("columns"), F.lit(apart < 1e-6).alias("same"))
+
+
+@query
+def report_lines(spark, sf):
+    """The validation report as ordered lines, read back from its text file."""
+    result, folder = training.validate(W.features(spark, sf), W.MODEL, W.SETTINGS), shared_folder(spark, "lines")
+    TB.write_lines(training.report_lines(result), folder)
+    return spark.read.text(folder).select((F.monotonically_increasing_id() + 1).alias("line"), F.col("value").alias("text"))
+
+
+@query
+def non_empty_checks(spark, sf):
+    """The writers refuse an empty table, and pass others through."""
+    f = durable(W.features(spark, sf))
+    rows = [("features", f), ("features of no make", f.where("make = 'NO SUCH MAKE'"))]
+    folder = shared_folder(spark, "checked")
+    out = []
+    for k, (name, df) in enumerate(rows):
+        try:
+            TB.write_features(df, f"{folder}/{k}")
+            out.append(f.limit(1).select(F.lit(name).alias("table"), F.lit(True).alias("written"), F.lit(spark.read.parquet(f"{folder}/{k}").count()).alias("n")))
+        except Q.EmptyTable:
+            out.append(f.limit(1).select(F.lit(name).alias("table"), F.lit(False).alias("written"), F.lit(df.count()).alias("n")))
+    return out[0].union(out[1])
+
+
+PILOT_FUELS = ("NATION_0", "NATION_1", "NATION_2")
 
 
 @query
 def pilot_scores(spark, sf):
-    result = pilot.compare(W.text_features(spark, sf), W.SETTINGS, fuels=("NATION_0", "NATION_1", "NATION_2"))
+    result = pilot.compare(W.text_features(spark, sf), W.SETTINGS, fuels=PILOT_FUELS)
     return result["scores"]
