@@ -10,13 +10,14 @@ Sections are the lines of the text, each with its line break, or an own column w
 points. Everything happens in the row's own task; nothing is shuffled.
 
 Defined results: a null or empty text has one section without tokens; null or empty own spans leave all tokens outside;
-overlapping or unsorted spans are an error; a character cut into several tokens is part of the span of each. Repeated rows
-give repeated results. Only doc_id, text and the spans' column are read.
+overlapping or unsorted spans are an error; a character cut into several tokens is part of the span of each. Runs of white space may
+have any length, if the pattern ends in `\\s+(?!\\S)|\\s+`. Repeated rows give repeated results. Only doc_id, text and the spans' column are read.
 """
 from __future__ import annotations
 
 import base64
 import functools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +41,26 @@ def byte_pairs(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), size
 
 
+#: The characters that the pattern's white space class takes.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = re.compile(f"[{WHITE}]{{4096,}}")
+
+
+def token_ids(text: str, encoding) -> list[int]:
+    """The ids of a whole text. A long run of white space is cut out by the pattern's own rule, since the pattern's engine
+    needs stack for each of its characters: it is one piece, but for its last character if a word follows."""
+    ids, at = [], 0
+    for run in LONG_RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += encoding.encode_ordinary(text[at:run.start()]) + encoding._encode_single_piece(text[run.start():end])
+        at = end
+    return ids + encoding.encode_ordinary(text[at:])
+
+
 def token_spans(text: str, path: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
     """First character and character after the last of each token of the whole text."""
     encoding, size = byte_pairs(path, pattern)
-    end = np.cumsum(size[encoding.encode_ordinary(text)])
+    end = np.cumsum(size[token_ids(text, encoding)])
     start = np.concatenate([end[:0], [0], end[:-1]]) if len(end) else end
     if text.isascii():
         return start, end

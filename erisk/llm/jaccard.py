@@ -329,11 +329,12 @@ def joined(documents: DataFrame, similarity: float = SIMILARITY, target: float =
 
 def one_of_each(documents: DataFrame, similarity: float = SIMILARITY, target: float = TARGET) -> DataFrame:
     """The documents less all but one of each near-duplicate class: the one of least doc_id stays. All columns are kept."""
-    fate = written(Join(documents, similarity, target).kept_rows(), "fates").toDF("__row", "__stays", "__copies")
-    # the fates grow with the corpus: never a broadcast, so any size takes the same way
-    own = documents.withColumn("__row", row_key()).join(fate.hint("merge"), "__row", "left").filter("__stays IS NULL OR __stays")
-    columns = [F.col(f"`{c}`") for c in documents.columns]
-    if fate.filter("__stays AND __copies > 1").isEmpty():        # the usual table: no row is there twice
-        return own.select(*columns)
-    once = own.filter(F.coalesce("__copies", F.lit(1)) == 1).select(*columns)
-    return once.union(own.filter("__copies > 1").dropDuplicates(["__row"]).select(*columns))
+    fate = written(Join(documents, similarity, target).kept_rows(), "fates")
+    # the fates grow with the corpus: never a broadcast, so any size takes the same way; the input's columns are one struct, so
+    # they may have any name
+    own = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("d"), row_key().alias("row"))
+    own = own.join(fate.hint("merge"), "row", "left").filter("stays IS NULL OR stays")
+    if fate.filter("stays AND copies > 1").isEmpty():        # the usual table: no row is there twice
+        return own.select("d.*")
+    once = own.filter(F.coalesce("copies", F.lit(1)) == 1).select("d.*")
+    return once.union(own.filter("copies > 1").dropDuplicates(["row"]).select("d.*"))

@@ -13,7 +13,6 @@ language learned, that one with score 1. Repeated rows are predicted alike. Othe
 """
 from __future__ import annotations
 
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +24,15 @@ from erisk.llm.common import held_out
 WINDOW, DIM, WIDTHS, FILTERS = 256, 6, (2, 3, 4), 8
 SAMPLE, LEAST, EPOCHS, BATCH, RATE, SEED = 12_000, 10, 4, 128, 0.01, 7
 PAD, WIDEST, ALL = 256, max(WIDTHS), FILTERS * len(WIDTHS)
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 #: Windows that one matrix product takes: bounds memory to some 60 MB.
 CHUNK = 1024
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def windows(text: str) -> np.ndarray:
     """All windows of a text as rows of byte numbers, the last filled up with PAD."""
     raw = np.frombuffer(text.encode("utf-8", "replace").lower(), np.uint8)
@@ -120,7 +122,7 @@ class ByteNetwork:
 
         held = 0
         for k, text in enumerate(texts):
-            if self.languages and text and LETTER.search(text):
+            if self.languages and text and has_letter(text):
                 queue.append((k, windows(text)))
                 held += len(queue[-1][1])
                 if held >= 4 * CHUNK:
@@ -156,7 +158,7 @@ def fitted(documents: DataFrame, sample: int = SAMPLE) -> ByteNetwork:
     net = ByteNetwork(languages)
     if len(languages) < 2:
         return net
-    pairs = [(windows(w)[0], languages.index(r["lang"])) for r in rows for w in r["w"] if LETTER.search(w)]
+    pairs = [(windows(w)[0], languages.index(r["lang"])) for r in rows for w in r["w"] if has_letter(w)]
     return net.fit(np.stack([a for a, _ in pairs]), np.array([b for _, b in pairs])) if pairs else net
 
 

@@ -34,8 +34,9 @@ SYMBOLS = "#*$%&|<>"
 SHINGLE = 5
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: The coordinates of the vector, and the standard deviation added to each: differences well below it never count. Shares
-#: that are zero in most texts and legitimate in some (repeats, repeated lines) get wide ones; the base rules bound them.
-FLOOR = {"word_length": 0.25, "symbols": 0.15, "repeats": 0.25, "dup_lines": 0.3, "upper": 0.08, "marks": 0.08}
+#: that are zero in most texts and legitimate in some get wide ones: repeats, which the base rule bounds, and repeated lines, where only
+#: a text that is nearly all copies of its own lines is out of bounds by this alone.
+FLOOR = {"word_length": 0.25, "symbols": 0.15, "repeats": 0.25, "dup_lines": 0.15, "upper": 0.08, "marks": 0.08}
 DIMS = list(FLOOR)
 P = len(DIMS)
 #: Means over few words vary more: such a coordinate is scaled by sqrt(n / (n + this)).
@@ -253,8 +254,9 @@ def kept_documents(documents: DataFrame, min_group: int = MIN_GROUP) -> DataFram
     """The documents that the rules keep, with all their columns. Statistics are computed on the row itself, so null or
     repeated ids do no harm."""
     params = estimates(written(vector_table(documents), "vectors"), min_group)
-    packed = params.select(F.col("k").alias("__k"), F.struct("mid", "mu", "w").alias("__p"))
-    own = documents.withColumns({"__s": text_statistics(F.col("text")), "__key": group_key()})
-    row = own.join(packed, F.col("__key") == F.col("__k"), "left")
-    near = F.coalesce(squared_distance("__s.", "__p.") <= chi2_quantile(REJECT, P), F.lit(True))
-    return row.filter(~base_failed("__s") & near).select(*(F.col(f"`{c}`") for c in documents.columns))
+    packed = params.select(F.col("k").alias("key"), F.struct("mid", "mu", "w").alias("p"))
+    # the input's own columns are one struct, so they may have any name
+    own = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("d"), text_statistics(F.col("text")).alias("s"),
+                           group_key().alias("key"))
+    near = F.coalesce(squared_distance("s.", "p.") <= chi2_quantile(REJECT, P), F.lit(True))
+    return own.join(packed, "key", "left").filter(~base_failed("s") & near).select("d.*")

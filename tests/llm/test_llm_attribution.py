@@ -54,3 +54,16 @@ def test_own_spans(spark):
         attribution.counted("abc", [(0, 2), (1, 3)], "most", PATH, PATTERN)
     with pytest.raises(ValueError):
         attribution.attributed(table, PATH, PATTERN, "fields", "other")
+
+
+@pytest.mark.parametrize("run", [" " * 5000, "\t" * 5000, "\n" * 4999 + " ", " \u00a0\u3000\n" * 1500, "\r\n" * 3000 + "\t"])
+def test_long_runs_of_white_space_are_cut_by_the_rule(run):
+    encoding, _ = attribution.byte_pairs(PATH, PATTERN)
+    for text in (f"a{run}b", run, f"{run}1", f"x{run}", f"{run}!y{run} z", f"a\x1c{run}\x1cb"):
+        assert attribution.token_ids(text, encoding) == encoding.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("run", [" " * 2_000_000, "\t" * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000])
+def test_two_million_equal_characters(run):
+    start, end = attribution.token_spans(f"x {run} y", PATH, PATTERN)
+    assert start[0] == 0 and end[-1] == len(run) + 4 and (start[1:] == end[:-1]).all()

@@ -76,6 +76,13 @@ def test_language(documents, hard_texts):
     assert [by[k]["lang_pred"] for k in (1000, 1001, 1002, 2000)] == ["und"] * 4 and by[1007]["lang_pred"] in ALPHABETS
 
 
+def test_numbers_are_no_letters(documents):
+    rows = [(k, words(lang, k, 30), lang) for k in range(60) for lang in [sorted(ALPHABETS)[k % 3]]]
+    odd = [(900, "½ ² ①"), (901, "12 _ 3"), (902, "Ⅷ ٣ 七")]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identified(documents(rows + odd)).collect()}
+    assert got[900] == got[901] == "und" and got[902] in ALPHABETS
+
+
 def test_language_without_rows(documents):
     assert language.identified(documents([])).count() == 0
     assert [r["lang_pred"] for r in language.identified(documents([(1, "a", None)])).collect()] == ["und"]

@@ -3,8 +3,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from erisk.llm import rules
+from erisk.llm import jaccard, rules
 from erisk.llm.common import written
 
 
@@ -59,6 +60,29 @@ def test_outliers_and_hard_cases(spark, documents, prose, hard_texts):
     assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(k) for k, r in got.items() if r["kept"])
 
 
+def test_lines_that_are_nearly_all_repeats_are_out(documents, prose):
+    lines = [f"{prose(('line', k), 9)}" for k in range(60)]
+    rows = [(k, "\n".join(prose((k, j), 8) for j in range(20)), "en", "s") for k in range(150)]
+    echo = "\n".join(x for j, line in enumerate(lines[:30]) for x in (line, "one same line of words here"))
+    rows += [(900, "a b\n" * 400, "en", "s"), (901, echo, "en", "s")]
+    got = {r["doc_id"]: r for r in rules.quality_rules(documents(rows)).collect()}
+    assert all(got[k]["kept"] for k in range(150)) and not got[900]["kept"] and got[901]["n_dup_lines"] == 29
+
+
+NAMES = ["__s", "__key", "__k", "__p", "__row", "__stays", "__copies", "d", "s", "key", "p", "row", "stays", "copies", "k", "mu", "a.b"]
+
+
+@pytest.mark.parametrize("stage", [rules.kept_documents, jaccard.one_of_each])
+def test_columns_of_any_name_are_handed_on(documents, prose, stage):
+    table = documents([(k, prose(k % 20, 60), "en", "s") for k in range(120)] + [(5, prose(5, 60), "en", "s")])
+    for name in NAMES:
+        table = table.withColumn(name, F.concat(F.lit(f"{name} of "), F.col("doc_id").cast("string")))
+    left = stage(table)
+    assert left.columns == table.columns
+    rows = left.collect()
+    assert rows and all(r[name] == f"{name} of {r['doc_id']}" for r in rows for name in NAMES)
+
+
 def test_empty(documents):
     assert rules.quality_rules(documents([])).count() == 0 and rules.kept_documents(documents([])).count() == 0
 
