@@ -38,6 +38,16 @@ def keyword_category(lowered: Column, rules: TextRules) -> Column:
     return first_match(lowered, rules.keywords, rules.default)
 
 
+def item_answers(text: Column, kind: Column, advisory: str, rules: TextRules) -> Column:
+    """T5 before the day is known: the category for events before the regime date, and from it on."""
+    lowered = F.lower(text)
+    word, note = keyword_category(lowered, rules), F.coalesce(is_note(lowered, rules), F.lit(False))
+    coded = F.coalesce(is_coded(text, rules), F.lit(False))
+    before = F.when(kind == advisory, F.when(note, "note").otherwise(word))
+    since = F.when(kind == advisory, F.when(note, "note").when(coded, code_category(lowered, rules)).otherwise(word))
+    return F.struct(before.alias("before"), since.alias("since"))
+
+
 def item_category(text: Column, event_day: Column, kind: Column, advisory: str, regime_date: str,
                   rules: TextRules) -> Column:
     """T5: note, else code category for coded text since the regime date, else keyword; other items NULL."""

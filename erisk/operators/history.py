@@ -142,6 +142,16 @@ def item_text_counts(items: DataFrame, s: Settings, rules: TextRules) -> DataFra
         *counts, *[F.count_if(f"__flag_{f}").alias(f"adv_{f}") for f, _ in rules.flags])
 
 
+def category_totals(items: DataFrame, days: DataFrame, s: Settings, rules: TextRules) -> DataFrame:
+    """T5 item by item: type, category and n. Items are counted per event and pair of answers before they meet the event's
+    day (``days``: event and ``d``), so an event with any number of items joins as a few rows."""
+    answers = T.item_answers(F.col("text"), F.col("type"), s.advisory_type, rules).alias("a")
+    counted = items.select(EVENT, "type", answers).groupBy(EVENT, "type", "a").agg(F.count("*").alias("n"))
+    since = F.coalesce(F.col("d") >= F.lit(s.regime_date).cast("date"), F.lit(False))
+    category = F.when(since, F.col("a.since")).otherwise(F.col("a.before"))
+    return counted.join(days, EVENT).groupBy("type", category.alias("category")).agg(F.sum("n").alias("n"))
+
+
 def choose_text_counts(joined: DataFrame, s: Settings, rules: TextRules) -> DataFrame:
     """T5 after aggregation: code categories from the regime date, keywords before it."""
     coded_ok = F.col("d") >= F.lit(s.regime_date).cast("date")

@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from erisk.operators import scan
+from erisk.session import durable
 
 
 def complete_cases(df: DataFrame, features) -> DataFrame:
@@ -12,21 +13,31 @@ def complete_cases(df: DataFrame, features) -> DataFrame:
     return df.na.drop(subset=list(features))
 
 
-def rank_table(df: DataFrame, key: str, features) -> DataFrame:
+#: A feature with at most this many distinct values takes its ranks from a broadcast map.
+MAP_ROWS = 50_000
+
+
+def rank_table(df: DataFrame, key: str, features, map_rows: int = MAP_ROWS) -> DataFrame:
     """Average ranks of every feature, one row per key.
 
-    Ranks are computed once per distinct (feature, value); rows meet them in one join, whose hot
-    values the adaptive skew join splits.
+    Ranks are computed once per distinct (feature, value), by offsets of blocks. A feature whose distinct values were counted
+    to be few has a map of them broadcast; only a feature with more moves rows, once, with the ranks found so far. Nothing is
+    unpivoted with the rows, and nothing is put together by key.
     """
     features = list(features)
-    pairs = ", ".join(f"'{f}', CAST(`{f}` AS DOUBLE)" for f in features)
-    long = complete_cases(df, features).select(key, F.expr(f"stack({len(features)}, {pairs}) AS (feature, value)"))
+    rows = durable(complete_cases(df, features).select(key, *[F.col(f).cast("double").alias(f) for f in features]))
+    pairs = ", ".join(f"'{f}', `{f}`" for f in features)
+    long = rows.select(F.expr(f"stack({len(features)}, {pairs}) AS (feature, value)"))
     bounds = scan.value_bounds(long, ["value"])["value"]
     cell_df = scan.cells(long, ["feature"], "value", {"n": F.lit(1)}, bounds)
-    ranks = scan.running(cell_df, ["feature"], "value", ["n"]).select(
-        "feature", "value", (F.col("before_n") + (F.col("n") + 1) / 2).alias("rank"))
-    return long.join(ranks, ["feature", "value"]).groupBy(key).agg(
-        *[F.max(F.when(F.col("feature") == f, F.col("rank"))).alias(f) for f in features])
+    ranks = durable(scan.running(cell_df, ["feature"], "value", ["n"]).select(
+        "feature", "value", (F.col("before_n") + (F.col("n") + 1) / 2).alias("rank")))
+    distinct = {r["feature"]: r["count"] for r in ranks.groupBy("feature").count().collect()}
+    for f in sorted(features, key=lambda f: distinct.get(f, 0)):
+        own = ranks.where(F.col("feature") == f).select(F.col("value").alias(f), F.col("rank").alias(f"__rank_{f}"))
+        own = F.broadcast(own) if distinct.get(f, 0) <= map_rows else own.hint("merge")
+        rows = rows.join(own, f)
+    return rows.select(key, *[F.col(f"__rank_{f}").alias(f) for f in features])
 
 
 def correlation_pairs(df: DataFrame, features) -> DataFrame:

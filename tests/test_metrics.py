@@ -216,6 +216,12 @@ def test_spearman_and_vif(spark):
     want = pd.DataFrame({"a": a, "b": b, "c": c}).rank().corr()
     for r in RD.spearman_pairs(df, "k", ["a", "b", "c"]).collect():
         assert r["r"] == pytest.approx(want.loc[r["feature_a"], r["feature_b"]], abs=1e-9)
+    for limit in (0, 10, 10_000):        # all features the long way, some, none
+        ranks = RD.rank_table(df, "k", ["a", "b", "c"], limit)
+        assert sum(w in ranks._jdf.queryExecution().optimizedPlan().toString() for w in ("strategy=merge", "strategy=broadcast")) == (2 if limit == 10 else 1)
+        want_rank = pd.DataFrame({"a": a, "b": b, "c": c}).rank()
+        got = {r["k"]: (r["a"], r["b"], r["c"]) for r in ranks.collect()}
+        assert got == {i: tuple(x) for i, x in enumerate(want_rank.itertuples(index=False, name=None))}
     X = np.column_stack([a, b, c])
     vifs = by(RD.vif(df, ["a", "b", "c"]), "feature")
     for i, f in enumerate("abc"):
@@ -238,6 +244,10 @@ def test_pools(spark):
     assert all(r["v"] < 100 for r in got if r["pool"] == "low")
     again = SP.sample_pools(df.repartition(7), pools, {"low": 15, "high": 15, "all": 20, "none": 3}, "reg", "id").collect()
     assert sorted(got) == sorted(again)
+    hashed = df.withColumn("h", F.md5("id"))
+    for n in (0, 1, 7, 399, 400, 1000):
+        want = [r["id"] for r in sorted(hashed.collect(), key=lambda r: r["h"])[:n]]
+        assert sorted(r["id"] for r in SP.first_in_order(hashed, "h", "id", n).collect()) == sorted(want)
     one = {r["id"] for r in SP.simple_sample(df, "id", 30).collect()}
     assert len(one) == 30 and one == {r["id"] for r in SP.simple_sample(df.repartition(3), "id", 30).collect()}
 

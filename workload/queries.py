@@ -134,9 +134,7 @@ def item_categories(spark, sf):
     """T5 item by item (with the event's day), counted by type and category."""
     s = W.SETTINGS
     day = W.events(spark, sf).select("mot_test_number", F.to_date("completed_date").alias("d"))
-    joined = W.items(spark, sf).join(day, "mot_test_number")
-    cat = TX.item_category(F.col("text"), F.col("d"), F.col("type"), s.advisory_type, s.regime_date, W.ITEM_TEXT)
-    return joined.groupBy("type", cat.alias("category")).agg(F.count("*").alias("n"))
+    return H.category_totals(W.items(spark, sf), day, s, W.ITEM_TEXT)
 
 
 @query
@@ -475,7 +473,7 @@ def rate_by_bin_year(spark, sf):
 @query
 def monotonicity(spark, sf):
     u = analysed(spark, sf)
-    return B.monotonicity(u.bins, u.rules).select("feature", "rho", F.regexp_extract("monotonic", "^[a-z/]+", 0).alias("verdict"))
+    return B.monotonicity(u.bins, u.rules).select("feature", "rho", F.col("monotonic").alias("verdict"))
 
 
 @query
@@ -487,7 +485,7 @@ def column_profile(spark, sf):
 def univariate_summary(spark, sf):
     out = analysed(spark, sf).summary()
     return out.select("feature", "missing_pct", "min", "max", "distinct_values", "bins", "iv", "auc_train", "auc_val",
-                      "psi", "severity", F.regexp_extract("flags", "^[A-Za-z0-9<>.-]*", 0).alias("first_flag"))
+                      "psi", "severity", "monotonic", "flags")
 
 
 # ---- redundancy -----------------------------------------------------------------
