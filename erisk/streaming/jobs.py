@@ -22,32 +22,91 @@ def score_stream(records: DataFrame, model: dict, s: Settings, today: Column) ->
     return score_records(whole, model, s, today)
 
 
-def score_to_table(spark: SparkSession, records: DataFrame, model: dict, s: Settings, today: Column, folder: str) -> DataFrame:
+ARRIVAL = "registration string, part bigint, n_parts bigint, batch bigint, arrived timestamp"
+SETTLED = "registration string, complete boolean, n_seen bigint, n_parts bigint, batches array<bigint>"
+
+
+def settle_parts(arrivals: DataFrame, limit_seconds: int) -> DataFrame:
+    """Keyed state of the parts of each entity: a row when all have arrived, or when some are missing ``limit_seconds`` after
+    the last of them came.
+
+    The state holds numbers only, which parts and the batches they lie in; the parts themselves never meet in a task. Time is
+    the watermark of arrivals, so the limit counts from what the stream has seen, not from the clock of a machine.
+    """
+    def settle(key, chunks, state):
+        import pandas as pd
+
+        seen, batches, n_parts, latest = (list(x) if isinstance(x, (list, tuple)) else x for x in (state.get if state.exists else ([], [], 0, 0)))
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"registration": [key[0]], "complete": [False], "n_seen": [len(seen)], "n_parts": [n_parts], "batches": [batches]})
+            return
+        for chunk in chunks:
+            seen = sorted(set(seen) | {int(p) for p in chunk["part"]})
+            batches = sorted(set(batches) | {int(b) for b in chunk["batch"]})
+            n_parts = max(n_parts, int(chunk["n_parts"].max()))
+            latest = max(latest, int(chunk["arrived"].max().timestamp() * 1000))
+        if len(seen) >= n_parts:
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({"registration": [key[0]], "complete": [True], "n_seen": [len(seen)], "n_parts": [n_parts], "batches": [batches]})
+        else:
+            state.update((seen, batches, n_parts, latest))
+            state.setTimeoutTimestamp(max(latest + 1000 * limit_seconds, state.getCurrentWatermarkMs() + 1))
+
+    return arrivals.withWatermark("arrived", "0 seconds").groupBy("registration").applyInPandasWithState(
+        settle, SETTLED, "seen array<bigint>, batches array<bigint>, n_parts bigint, latest bigint", "append", "EventTimeTimeout")
+
+
+def score_to_table(spark: SparkSession, records: DataFrame, model: dict, s: Settings, today: Column, folder: str,
+                   limit_seconds: int = 86_400, arrived: Column | None = None) -> DataFrame:
     """ST1 for all documents of a stream: ``records`` to scores under ``folder``, read back.
 
-    Each micro-batch is scored by the batch scorer, which splits the parts of a hot entity over tasks. Parts of an entity
-    may arrive in different batches: until all are there they wait in a table of their own, one folder per batch. Both
-    outputs of a batch are overwritten when it is repeated, so a restart gives each score once.
+    Whole documents are scored in the micro-batch they come in. Parts of an entity may arrive in different batches: they are
+    written once, to the folder of their batch, and never moved. A second stream over their numbers keeps the state of each
+    entity (``settle_parts``); an entity that is complete has its parts read from just the batches they lie in, and the
+    batch scorer splits them over tasks. Entities with a part missing after ``limit_seconds`` are reported by ``lost_parts``.
+    Outputs of a batch are overwritten when it is repeated, so a restart gives each score once.
     """
     schema = records.schema
-    out, waiting = f"{folder}/out", f"{folder}/waiting"
-
-    def batch(df: DataFrame, number: int) -> None:
-        session = df.sparkSession
-        if number:
-            df = df.unionByName(session.read.schema(schema).parquet(f"{waiting}/{number - 1}"))
-        df = durable(df)
-        whole = df.where(F.coalesce("n_parts", F.lit(1)) == 1)
-        parts = df.where(F.coalesce("n_parts", F.lit(1)) > 1).dropDuplicates(["registration", "part"])
-        seen = parts.groupBy("registration").agg(F.count("*").alias("__seen"), F.max("n_parts").alias("__all"))
-        complete = durable(seen.where(F.col("__seen") == F.col("__all")).select("registration"))
-        ready = whole.unionByName(parts.join(complete, "registration", "left_semi"))
-        score_records(ready, model, s, today).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        parts.join(complete, "registration", "left_anti").write.mode("overwrite").parquet(f"{waiting}/{number}")
-
-    records.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint") \
-        .trigger(availableNow=True).start().awaitTermination()
-    return spark.read.option("basePath", out).parquet(f"{out}/batch=*").drop("batch")
+    parts_of, arrivals, out, lost = (f"{folder}/{x}" for x in ("parts", "arrivals", "out", "lost"))
+    several = F.coalesce("n_parts", F.lit(1)) > 1
+
+    def take(df: DataFrame, number: int) -> None:
+        df = durable(df.withColumn("__arrived", F.current_timestamp() if arrived is None else arrived))
+        score_records(df.where(~several).drop("__arrived"), model, s, today).write.mode("overwrite").parquet(f"{out}/whole/batch={number}")
+        parts = df.where(several)
+        parts.drop("__arrived").write.mode("overwrite").parquet(f"{parts_of}/batch={number}")
+        parts.select("registration", F.col("part").cast("bigint"), F.col("n_parts").cast("bigint"), F.lit(number).cast("bigint").alias("batch"),
+                     F.col("__arrived").alias("arrived")).write.mode("overwrite").parquet(f"{arrivals}/{number}")
+
+    def settle(df: DataFrame, number: int) -> None:
+        session, df = df.sparkSession, durable(df)
+        df.where("NOT complete").select("registration", "n_seen", "n_parts").write.mode("overwrite").parquet(f"{lost}/batch={number}")
+        ready = df.where("complete")
+        numbers = sorted({b for r in ready.select(F.explode("batches").alias("b")).distinct().collect() for b in r})   # micro-batches
+        stored = [session.read.schema(schema).parquet(f"{parts_of}/batch={b}") for b in numbers]
+        if not stored:
+            return
+        every = stored[0]
+        for more in stored[1:]:
+            every = every.unionByName(more)
+        own = every.join(ready.select("registration"), "registration", "left_semi").dropDuplicates(["registration", "part"])
+        score_records(own, model, s, today).write.mode("overwrite").parquet(f"{out}/parts/batch={number}")
+
+    def run(stream: DataFrame, step, name: str) -> None:
+        stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint-{name}") \
+            .trigger(availableNow=True).start().awaitTermination()
+
+    run(records, take, "records")
+    arrived_parts = spark.readStream.schema(ARRIVAL).option("recursiveFileLookup", "true").parquet(arrivals)
+    run(settle_parts(arrived_parts, limit_seconds), settle, "parts")
+    return spark.read.option("recursiveFileLookup", "true").parquet(out)
+
+
+def lost_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """registration, n_seen and n_parts of entities of which a part did not come within the limit."""
+    return spark.read.schema("registration string, n_seen bigint, n_parts bigint").option("recursiveFileLookup", "true").parquet(f"{folder}/lost")
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:

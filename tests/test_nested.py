@@ -150,6 +150,32 @@ def test_parts_survive_json_and_streams(tables, spark, tmp_path):
     assert rows.count() == len(want) and by(rows, "registration") == want
 
 
+def test_a_lost_part_is_reported_after_its_limit(tables, spark, tmp_path):
+    """Parts over three runs of the job: one entity is completed after a restart, one never is."""
+    people, tests, found = tables
+    docs = RC.export_records(people, tests, found, max_tests=25, max_items=30, max_document_items=60).cache()
+    today = F.lit("2019-01-01").cast("date")
+    hot = [r["registration"] for r in docs.where("n_parts > 1").select("registration").distinct().orderBy("registration").collect()]
+    want = by(N.score_records(RC.export_records(people, tests, found), READY, S, today, RULES), "registration")
+    gone = docs.where("part = 0").where(F.col("registration") == hot[0]).withColumn("registration", F.lit("GONE"))
+
+    def send(df, at):
+        df.coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream = spark.readStream.schema(RECORD_SCHEMA).json(str(tmp_path / "in"))
+        return jobs.score_to_table(spark, stream, READY, S, today, str(tmp_path / "job"), 3600, F.lit(at).cast("timestamp"))
+
+    first = send(docs.where("part = 0 AND n_parts > 1").unionByName(gone), "2020-01-01 00:00:00")
+    assert first.count() == 0 and jobs.lost_parts(spark, str(tmp_path / "job")).count() == 0
+    second = send(docs.where("part > 0 AND n_parts > 1"), "2020-01-01 00:30:00")
+    assert {r["registration"] for r in second.collect()} == set(hot)
+    rows = send(docs.where("coalesce(n_parts, 1) = 1"), "2020-01-01 00:40:00")
+    late = docs.where("n_parts > 1").where(F.col("registration") == hot[0]).withColumn("registration", F.lit("LATER")).where("part = 0")
+    rows = send(late, "2020-01-01 03:00:00")
+    assert by(rows, "registration") == want and rows.count() == len(want)
+    lost = {r["registration"]: (r["n_seen"], r["n_parts"]) for r in jobs.lost_parts(spark, str(tmp_path / "job")).collect()}
+    assert set(lost) == {"GONE"} and lost["GONE"][0] == 1 < lost["GONE"][1]
+
+
 def test_no_task_holds_all_parts(tables):
     """The export joins entity attributes on (entity, part)."""
     people, tests, found = tables
