@@ -11,7 +11,8 @@ in one small group, so a group of thousands of near copies is many tasks and its
 A pair belongs to the first tree that brings it together. A slim pass over keys alone finds which classes have such a pair
 in a group; only these fetch their shingles, recomputed from the text of one document of the class. A group returns, for
 each class, the number of documents linked, and edges of a spanning forest: as many rows as members at most. Classes of
-linked documents are the connected components, by large-star and small-star rounds over written tables.
+linked documents are the connected components, by large-star and small-star rounds over written tables; the centre of a star,
+which has an edge to each member, is joined apart (`hot`).
 
 Words are lower-cased and split at white space; a shingle is five words, a shorter text with a word is one shingle.
 Shingles and classes are compared by 64 and 128 bits of hash.
@@ -31,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from erisk.llm.common import written
+from erisk.llm.hot import components
 
 SHINGLE, SIMILARITY, TARGET, TREES, DEPTH, BLOCK, SEED = 5, 0.8, 0.999, 12, 6, 256, 11
 
@@ -238,32 +240,6 @@ def verify_pass(similarity: float):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(c, root) for every end of an edge, by alternating large-star and small-star until nothing changes."""
-    def step(e: DataFrame, large: bool) -> DataFrame:
-        both = e.union(e.select("v", "u")).toDF("u", "v") if large else e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        joined = both.join(least, "u")
-        if large:
-            new = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
-            new = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.toDF("u", "v"))
-        return written(new.filter("u <> v").distinct(), "stars")
-
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    e = written(edges.toDF("u", "v").filter("u <> v").distinct(), "stars")
-    before = mark(e)
-    while before[0]:
-        e = step(step(e, True), False)
-        after = mark(e)
-        if after == before:
-            break
-        before = after
-    return e.toDF("c", "root")
-
-
 class Join:
     """The join's tables: `rows` (row, doc_id, c of every document), `classes` (c, size, best) and `linked` (c, links, root)."""
 

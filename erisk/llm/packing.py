@@ -1,9 +1,9 @@
 """Best-fit packing: documents in sequences of at most 4096 tokens, by the sum-of-squares rule.
 
 A document's tokens end with an end id; only longer ones are cut, into full pieces and a rest. Pieces meet in blocks
-dealt by a hash, some 32,000 documents each, so no task grows with the corpus. In a block, longest first, each piece goes
-where the squared counts of open bins per residual gap add up to the least afterwards: into a bin of some gap, or into a
-new one. Gaps are numbers up to 4096, so a step is one vector operation over counts. Open bins left at the end of a block
+dealt by a hash, some 32,000 pieces each, so no task grows with the corpus, repeated rows or not. In a block, longest first,
+each piece goes where the squared counts of open bins per residual gap add up to the least afterwards, among the bins it fits
+into; a new one is opened only where it fits none. Gaps are numbers up to 4096, so a step is one vector operation over counts. Open bins left at the end of a block
 cost about 0.2 % over the lower bound (README).
 
 Tokens never leave their task: pieces travel as lengths, places and a checksum. White space ends every token of this
@@ -29,9 +29,9 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from erisk.llm.common import tokenizer
+from erisk.llm.common import tokenizer, written
 
-CAPACITY, END_ID, BLOCK_DOCS = 4096, 1, 32_768
+CAPACITY, END_ID, BLOCK_PIECES = 4096, 1, 32_768
 #: Words remembered by a worker, about 80 MB; beyond that it starts anew. Longer words are not remembered.
 REMEMBERED, LONGEST = 500_000, 60
 #: Separators that Python splits at and the tokenizer does not: such a text is encoded as a whole.
@@ -112,6 +112,9 @@ def pieces(text: Column, path: str, capacity: int = CAPACITY, end_id: int = END_
     return cut(text)
 
 
+NO_BIN = np.iinfo(np.int64).max
+
+
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each length, in the given order."""
     count = np.zeros(capacity + 1, np.int64)                  # open bins by gap
@@ -122,9 +125,9 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
         change = 2 * (count[:capacity - n] - count[n:capacity]) + 2      # a bin of gap g >= n becomes one of gap g - n
         if n < capacity:
             change[0] = 1 - 2 * count[n]                                 # or is full
-            change[count[n:capacity] == 0] = np.iinfo(np.int64).max
+            change[count[n:capacity] == 0] = NO_BIN
         best = int(change.argmin()) if n < capacity else 0
-        if n == capacity or change[best] > 2 * count[capacity - n] + 1:
+        if n == capacity or change[best] == NO_BIN:                      # a new bin only where none fits
             gap, b = capacity, len(fill)
             fill.append(0)
         else:
@@ -150,10 +153,11 @@ def pack_block(capacity: int):
     return run
 
 
-def packed(documents: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def packed(documents: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, block_pieces: int = BLOCK_PIECES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
     own = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    blocks = -(-max(1, own.count()) // block_docs)
-    cut = own.select("doc_id", F.explode(pieces(F.col("text"), path, capacity, end_id)).alias("p")).select("doc_id", "p.*")
-    dealt = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)))
+    cut = written(own.select("doc_id", F.explode(pieces(F.col("text"), path, capacity, end_id)).alias("p")).select("doc_id", "p.*"), "pieces")
+    blocks = -(-max(1, cut.count()) // block_pieces)
+    # the place in the written table spreads rows that are equal in all else
+    dealt = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(blocks)))
     return dealt.groupBy("block").applyInPandas(pack_block(capacity), OUT)

@@ -1,8 +1,10 @@
 """Pieces against whole-text encoding, packing invariants and density."""
+import bisect
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from erisk.llm import packing
@@ -35,7 +37,7 @@ def test_many_words_encode_alike(spark):
 
 def test_packed(documents, prose, hard_texts):
     rows = [(k, prose(k, 3 + 37 * k % 900)) for k in range(150)] + [(1000 + k, t) for k, t in enumerate(hard_texts)] + [(None, "null id"), (3, prose(3, 114))]
-    got = [r.asDict() for r in packing.packed(documents(rows), PATH, block_docs=64).collect()]
+    got = [r.asDict() for r in packing.packed(documents(rows), PATH, block_pieces=64).collect()]
     tok = Tokenizer.from_file(PATH)
     want = []
     for k, t in rows:
@@ -62,6 +64,24 @@ def test_density():
     assert where.max() + 1 <= 1.01 * -(-n.sum() // 4096) + 1
 
 
+@pytest.mark.parametrize("low, high", [(1, 4096), (500, 3000), (1300, 2800)])
+def test_close_to_best_fit_decreasing(low, high):
+    n = np.sort(np.random.default_rng(1).integers(low, high, 5000))[::-1]
+    gaps, bins = [], 0
+    for x in n.tolist():
+        k = bisect.bisect_left(gaps, x)
+        bins += k == len(gaps)
+        gap = gaps.pop(k) if k < len(gaps) else 4096
+        bisect.insort(gaps, gap - x)
+    assert packing.sum_of_squares(n, 4096)[0].max() + 1 <= 1.01 * bins
+
+
+def test_equal_rows_are_dealt_round(documents):
+    got = packing.packed(documents([(7, "the same text")] * 700), PATH, block_pieces=64).collect()
+    per_block = np.bincount([r["sequence_id"] >> 32 for r in got])
+    assert len(got) == 700 and len(per_block) == 11 and per_block.max() < 128
+
+
 def test_rule_picks_the_least_sum_of_squares():
     """Each step against trying every open gap."""
     rng = np.random.default_rng(4)
@@ -71,7 +91,8 @@ def test_rule_picks_the_least_sum_of_squares():
         def squares(fills):
             gaps = [capacity - f for f in fills if f < capacity]
             return sum(gaps.count(g) ** 2 for g in set(gaps))
-        tries = [squares([f + n if k == i else f for k, f in enumerate(bins)]) for i, f0 in enumerate(bins) if f0 + n <= capacity] + [squares([*bins, n])]
+        tries = [squares([f + n if k == i else f for k, f in enumerate(bins)]) for i, f0 in enumerate(bins) if f0 + n <= capacity] or [squares([*bins, n])]
+        assert (b == len(bins)) == all(f + n > capacity for f in bins)
         if b == len(bins):
             bins.append(0)
         assert bins[b] == at
