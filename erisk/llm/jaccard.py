@@ -1,18 +1,22 @@
-"""N-gram Jaccard join: MinHash banding finds candidates, exact sets of word shingles verify them.
-
-Texts of equal shingle sets are one class and take part once. Each class has `trees` bands of d MinHash values (12 bands of
-3 by default). Two classes are candidates when they share a band. This is banding of one depth for all classes, not an LSH
-forest: no trie is built and no prefix shortened for a class by what it has matched. d is the greatest number up to `depth`
-by which a pair exactly at the threshold is found with the target probability, 1 - (1 - s^d)^trees; more similar pairs are
-found more often. Every candidate is verified, so nothing false is linked.
-
-Work on a trie node (bucket) is split: a bucket of more than `block` classes is dealt over blocks, and every two blocks meet
-in one small group, so a group of thousands of near copies is many tasks and its pairs are numpy matrices, never rows.
-A pair belongs to the first tree that brings it together. A slim pass over keys alone finds which classes have such a pair
-in a group; only these fetch their shingles, recomputed from the text of one document of the class. A group returns, for
-each class, the number of documents linked, and edges of a spanning forest: as many rows as members at most. Classes of
-linked documents are the connected components, by large-star and small-star rounds over written tables; the centre of a star,
-which has an edge to each member, is joined apart (`hot`).
+"""N-gram Jaccard join: an LSH forest of MinHash prefix tries finds candidates, exact sets of word shingles verify them.
+
+Texts of equal shingle sets are one class and take part once. Each class has a path of `full` MinHash values in each of
+`trees` tries (16 of depth 6). Prefixes are shortened level by level, from `full` on. A pair of classes is a candidate at the
+length of the longest prefix they share in any trie, so at each level only nodes that branch there are opened, and each pair is
+verified once. After a level every class has an estimate of its recall: the number of its verified links over the sum of
+1 / p, where p = 1 - (1 - J^d)^trees is the chance by which a link of similarity J is found at depth d. A class whose recall
+has reached `target` asks no further, but others may still find it; one without a link knows nothing and goes on. The least
+depth is the longest by which a pair exactly at the threshold is found with probability `target` (4; 0.9998 at 0.8): there
+even a class that has found nothing may stop. Every candidate is verified, so nothing false is linked. A link is lost only if
+no trie brings it together before both its ends have stopped: at most 0.008 exactly at 0.8, less above.
+
+Work on a trie node is split: a node of more than `block` classes is dealt over blocks, and every two blocks meet in one
+small group, so a group of thousands of near copies is many tasks and its pairs are numpy matrices, never rows. A pair belongs
+to the first tree that brings it together at its level. A slim pass over keys alone finds which classes have such a pair in a
+group; only these meet with their shingles, computed once from the text of one document of each class in the tries. A group
+returns, for each class, the number of documents linked, and edges of a spanning forest: as many rows as members at most.
+Classes of linked documents are the connected components, by large-star and small-star rounds over written tables; the centre
+of a star, which has an edge to each member, is joined apart (`hot`).
 
 Words are lower-cased and split at white space; a shingle is five words, a shorter text with a word is one shingle.
 Shingles and classes are compared by 64 and 128 bits of hash.
@@ -28,22 +32,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from erisk.llm.common import written
-from erisk.llm.hot import components
+from erisk.llm.hot import components, hot_join
 
-SHINGLE, SIMILARITY, TARGET, TREES, DEPTH, BLOCK, SEED = 5, 0.8, 0.999, 12, 6, 256, 11
+SHINGLE, SIMILARITY, TARGET, TREES, DEPTH, BLOCK, SEED = 5, 0.8, 0.999, 16, 6, 256, 11
 
 
 def depth_for(similarity: float, target: float, trees: int, depth: int) -> int:
     """The longest prefix that still finds a pair at the threshold with the target probability."""
-    while depth > 1 and 1 - (1 - similarity ** depth) ** trees < target:
+    while depth > 1 and chance(similarity, depth, trees) < target:
         depth -= 1
     return depth
 
 
+def chance(similarity: float | np.ndarray, depth: int, trees: int) -> float | np.ndarray:
+    """By which a pair shares a prefix of this depth in some tree."""
+    return 1 - (1 - similarity ** depth) ** trees
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -68,34 +77,34 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(h)
 
 
-def forest_keys(own: np.ndarray, trees: int, depth: int, full: int) -> np.ndarray:
-    """The prefix of each tree as one hash. `full` is the depth of the tries: prefixes of any depth use the same functions."""
+def forest_keys(own: np.ndarray, trees: int, least: int, full: int) -> np.ndarray:
+    """The trie nodes of a set: for each depth from `least` to `full` the prefix in each tree as one hash."""
     rng = np.random.default_rng(SEED)
-    a, b = (rng.integers(0, 1 << 63, (trees, full), np.uint64) for _ in range(2))
-    a, b = (a[:, :depth] << np.uint64(1) | np.uint64(1)).ravel(), b[:, :depth].ravel()
-    least = np.full(trees * depth, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(own), 2048):
-        part = (own[k:k + 2048, None] * a + b) >> np.uint64(32)
-        least = np.minimum(least, part.min(axis=0))
-    least = least.reshape(trees, depth)
-    key = np.full(trees, depth, np.uint64)
-    for k in range(depth):
-        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + least[:, k])
-    return key.view(np.int64)
+    a, b = (rng.integers(0, 1 << 63, trees * full, np.uint64) for _ in range(2))
+    a = a << np.uint64(1) | np.uint64(1)
+    low = np.full(trees * full, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(own), 512):
+        low = np.minimum(low, (own[k:k + 512, None] * a + b).min(axis=0))
+    path = (low >> np.uint64(32)).reshape(trees, full)
+    key, nodes = mixed(np.arange(1, trees + 1, dtype=np.uint64)), []
+    for k in range(full):
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + path[:, k])
+        nodes.append(key)
+    return np.concatenate(nodes[least - 1:]).view(np.int64)
 
 
 def class_key(own: np.ndarray) -> bytes | None:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
 
 
-def signed(text: Column, trees: int, depth: int, full: int) -> Column:
-    """Struct of the class, the number of shingles and the prefix of each tree; null class if the text has no word."""
+def signed(text: Column, trees: int, least: int, full: int) -> Column:
+    """Struct of the class, the number of shingles and the trie nodes of all depths; null class if the text has no word."""
     @F.arrow_udf("struct<c: binary, n: int, keys: array<bigint>>")
     def run(texts: pa.Array) -> pa.Array:
         rows = [shingles(t) for t in texts.to_pylist()]
         return pa.StructArray.from_arrays([
             pa.array([class_key(s) for s in rows], pa.binary()), pa.array([len(s) for s in rows], pa.int32()),
-            pa.array([forest_keys(s, trees, depth, full) if len(s) else None for s in rows], pa.list_(pa.int64()))], ["c", "n", "keys"])
+            pa.array([forest_keys(s, trees, least, full) if len(s) else None for s in rows], pa.list_(pa.int64()))], ["c", "n", "keys"])
     return run(text)
 
 
@@ -138,14 +147,17 @@ GROUP = ["tree", "key", "p", "q"]
 SLIM = "tree int, key bigint, p int, q int, part int, c binary"
 
 
-def own_pairs(keys: np.ndarray, part: np.ndarray, tree: int, p: int, q: int) -> np.ndarray:
-    """Pairs (upper triangle) that belong to this group: between its two blocks, and in no earlier tree."""
-    n = len(keys)
-    pair = np.triu(np.ones((n, n), bool), 1)
+def own_pairs(now: np.ndarray, deeper: np.ndarray, asks: np.ndarray, part: np.ndarray, tree: int, p: int, q: int) -> np.ndarray:
+    """Pairs (upper triangle) that belong to this group: between its two blocks, one of them still asking, not together in an
+    earlier tree at this depth (`now`), nor in any tree one value deeper."""
+    n = len(now)
+    pair = np.triu(np.ones((n, n), bool), 1) & (asks[:, None] | asks[None, :])
     if p != q:
         pair &= part[:, None] != part[None, :]
     for t in range(tree):
-        pair &= keys[:, None, t] != keys[None, :, t]
+        pair &= now[:, None, t] != now[None, :, t]
+    for t in range(deeper.shape[1]):
+        pair &= deeper[:, None, t] != deeper[None, :, t]
     return pair
 
 
@@ -158,17 +170,23 @@ def list_matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy().reshape(len(flat), -1) if len(flat) else np.zeros((0, 1), np.int64)
 
 
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[tuple[int, int, np.ndarray]]]]:
+    """Tables of whole groups; for each group of two or more its bounds and the matrix of its own pairs, before sizes."""
+    for t, bounds in whole_groups(batches, GROUP):
+        now, deeper, part = list_matrix(t.column("now")), list_matrix(t.column("deeper")), t.column("part").to_numpy()
+        asks, (tree, _, p, q) = t.column("asks").to_numpy(), (t.column(k).to_numpy() for k in GROUP)
+        yield t, [(a, b, own_pairs(now[a:b], deeper[a:b], asks[a:b], part[a:b], int(tree[a]), int(p[a]), int(q[a])))
+                  for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) if b - a > 1]
+
+
 def slim_pass(similarity: float):
     """Which members of a group have a pair of their own in it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, bounds in whole_groups(batches, GROUP):
-            keys, part, n = list_matrix(t.column("keys")), t.column("part").to_numpy(), t.column("n").to_numpy()
-            head = [t.column(k).to_numpy() for k in GROUP]
-            take = np.zeros(len(t), bool)
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if b - a > 1:
-                    pair = own_pairs(keys[a:b], part[a:b], int(head[0][a]), int(head[2][a]), int(head[3][a])) & near_sizes(n[a:b], similarity)
-                    take[a:b] = pair.any(axis=0) | pair.any(axis=1)
+        for t, inside in groups(batches):
+            n, take = t.column("n").to_numpy(), np.zeros(len(t), bool)
+            for a, b, pair in inside:
+                pair &= near_sizes(n[a:b], similarity)
+                take[a:b] = pair.any(axis=0) | pair.any(axis=1)
             kept = t.filter(pa.array(take)).select([*GROUP, "part", "c"])
             yield from kept.combine_chunks().to_batches()
     return run
@@ -209,32 +227,40 @@ def spanning(pairs: np.ndarray) -> list[tuple[int, int]]:
     return [(x, find(x)) for x in root]
 
 
-LINKS = "c binary, other binary, links bigint"
+LINKS = "c binary, other binary, links bigint, pairs bigint, expected array<double>"
 
 
-def verify_pass(similarity: float):
-    """Linked documents of each member through the pairs of this group, and one edge towards the rest of its component."""
-    schema = pa.schema([("c", pa.binary()), ("other", pa.binary()), ("links", pa.int64())])
+def verify_pass(similarity: float, trees: int, depths: list[int]):
+    """Of each member with a link in this group: linked documents, linked classes, the sum of 1 / p over them for each of
+    `depths`, and one edge towards the rest of its component."""
+    schema = pa.schema([("c", pa.binary()), ("other", pa.binary()), ("links", pa.int64()), ("pairs", pa.int64()), ("expected", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, bounds in whole_groups(batches, GROUP):
-            keys, part, size = list_matrix(t.column("keys")), t.column("part").to_numpy(), t.column("size").to_numpy()
-            head, c, own = [t.column(k).to_numpy() for k in GROUP], t.column("c").to_pylist(), t.column("own").to_pylist()
-            out: list[tuple[bytes, bytes, int]] = []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if b - a < 2:
-                    continue
+        for t, inside in groups(batches):
+            size, c, own = t.column("size").to_numpy(), t.column("c").to_pylist(), t.column("own").to_pylist()
+            out: list[tuple[bytes, bytes, int, int, list[float]]] = []
+            for a, b, pair in inside:
                 sets = [np.frombuffer(x, np.uint64) for x in own[a:b]]
                 n = np.array([len(s) for s in sets])
-                pair = own_pairs(keys[a:b], part[a:b], int(head[0][a]), int(head[2][a]), int(head[3][a])) & near_sizes(n, similarity)
+                pair &= near_sizes(n, similarity)
+                if not pair.any():
+                    continue
                 both = intersections(sets)
+                total = n[:, None] + n[None, :]
                 # J >= s is |A and B| >= s / (1 + s) * (|A| + |B|); a hair is left for rounding
-                pair &= both * (1 + similarity) >= similarity * (n[:, None] + n[None, :]) - 1e-6
+                pair &= both * (1 + similarity) >= similarity * total - 1e-6
                 linked = np.argwhere(pair)
                 if len(linked):
                     m = size[a:b]
-                    links = pair @ m + pair.T @ m
-                    out += [(c[a + x], c[a + r], int(links[x])) for x, r in spanning(linked)]
+                    links, count = pair @ m + pair.T @ m, pair.sum(axis=0) + pair.sum(axis=1)
+                    i, j = linked.T
+                    alike = both[i, j] / (total[i, j] - both[i, j])
+                    expected = np.zeros((b - a, len(depths)))
+                    for k, d in enumerate(depths):
+                        w = 1 / chance(alike, d, trees)
+                        np.add.at(expected[:, k], i, w)
+                        np.add.at(expected[:, k], j, w)
+                    out += [(c[a + x], c[a + r], int(links[x]), int(count[x]), expected[x].tolist()) for x, r in spanning(linked)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
     return run
@@ -245,33 +271,58 @@ class Join:
 
     def __init__(self, documents: DataFrame, similarity: float = SIMILARITY, target: float = TARGET, trees: int = TREES, full: int = DEPTH,
                  block: int = BLOCK):
-        spark: SparkSession = documents.sparkSession
-        n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        depth = depth_for(similarity, target, trees, full)
+        least = depth_for(similarity, target, trees, full)
         own = documents.select("doc_id", "text", row_key().alias("row"))
-        rows = written(own.select("row", "doc_id", signed(F.col("text"), trees, depth, full).alias("s")).select("row", "doc_id", "s.*"), "signatures")
+        rows = written(own.select("row", "doc_id", signed(F.col("text"), trees, least, full).alias("s")).select("row", "doc_id", "s.*"), "signatures")
         self.rows = rows.select("row", "doc_id", "c")
         self.classes = written(rows.filter("c IS NOT NULL").groupBy("c").agg(
             F.count("*").alias("size"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"),
             F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
-        entries = self.classes.select("c", F.posexplode("keys").alias("tree", "key"))
-        buckets = entries.groupBy("tree", "key").agg(F.count("*").alias("members")).filter("members > 1")
-        buckets = written(buckets.withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).drop("members"), "buckets")
-        part = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
-        shared = entries.join(buckets, ["tree", "key"]).join(self.classes.select("c", "n", "keys"), "c")    # most classes are in no bucket
-        met = shared.withColumn("part", part).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        met = met.select("tree", "key", F.least("part", "x").alias("p"), F.greatest("part", "x").alias("q"), "part", "c", "n", "keys")
-        needed = written(grouped(met, n_tasks).mapInArrow(slim_pass(similarity), SLIM), "needed")
-        chosen = needed.select("c").distinct().join(self.classes, "c").select("c", F.col("best.row").alias("row"), "size", "keys")
+
+        def nodes(depth: int) -> Column:
+            return F.slice("keys", (depth - least) * trees + 1, trees) if depth <= full else F.array().cast("array<bigint>")
+
+        # the tries: classes that share a node of the least depth; most classes share none
+        entries = self.classes.select("c", F.explode(nodes(least)).alias("key"))
+        shared = written(entries.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "shared")
+        inside = hot_join(entries, shared, "key", "members").select("c").distinct()
+        forest = written(inside.join(self.classes, "c").select("c", "n", "size", F.col("best.row").alias("row"), "keys"), "forest")
         # both sides grow with the corpus, so neither is ever broadcast
-        texts = own.join(chosen.hint("merge"), "row").dropDuplicates(["row"]).select("c", "size", "keys", sets_of(F.col("text"))["own"].alias("own"))
-        texts = written(texts, "sets")
-        members = needed.join(texts, "c")
-        found = written(grouped(members, n_tasks).mapInArrow(verify_pass(similarity), LINKS), "links")
-        roots = components(found.select("c", "other"))
-        links = found.groupBy("c").agg(F.sum("links").alias("links"))
+        texts = own.join(forest.select("c", "size", "row").hint("merge"), "row").dropDuplicates(["row"])
+        texts = written(texts.select("c", "size", sets_of(F.col("text"))["own"].alias("own")), "sets")
+        depths = list(range(full, least - 1, -1))
+        verified: DataFrame | None = None
+        for k, depth in enumerate(depths):
+            level = forest.select("c", "n", nodes(depth).alias("now"), nodes(depth + 1).alias("deeper"))
+            if verified is None:
+                level = level.withColumn("asks", F.lit(True))
+            else:
+                recall = verified.groupBy("c").agg((F.sum("pairs") / F.sum(F.col("expected")[k - 1])).alias("recall"))
+                stopped = recall.filter(F.col("recall") >= target).select("c", F.lit(False).alias("asks"))
+                level = written(level.join(stopped, "c", "left").withColumn("asks", F.coalesce("asks", F.lit(True))), "level")
+            found = self.level(level, texts, block, similarity, trees, depths)
+            verified = found if verified is None else verified.union(found)
+        roots = components(verified.select("c", "other"))
+        links = verified.groupBy("c").agg(F.sum("links").alias("links"))
         self.linked = written(links.join(roots, "c", "left").select("c", "links", F.coalesce("root", "c").alias("root")), "linked")
 
+    @staticmethod
+    def level(level: DataFrame, texts: DataFrame, block: int, similarity: float, trees: int, depths: list[int]) -> DataFrame:
+        """The verified pairs of one depth of the tries: those whose longest common prefix has this depth."""
+        n_tasks = int(level.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        entries = level.select("c", "asks", "deeper", F.posexplode("now").alias("tree", "key"))
+        entries = entries.select("c", "asks", "tree", "key", F.when(F.size("deeper") > 0, F.get("deeper", F.col("tree"))).alias("child"))
+        node = entries.groupBy("key").agg(F.count("*").alias("members"), F.max("asks").alias("asked"), F.min("child").alias("low"), F.max("child").alias("high"))
+        node = node.filter("members > 1 AND asked AND (low IS NULL OR low <> high)")        # a node of one child parts no pair
+        node = written(node.select("key", "members", F.ceil(F.col("members") / block).cast("int").alias("blocks")), "nodes")
+        part = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
+        met = hot_join(entries.select("c", "tree", "key"), node, "key", "members").join(level, "c")
+        met = met.withColumn("part", part).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        met = met.select("tree", "key", F.least("part", "x").alias("p"), F.greatest("part", "x").alias("q"), "part", "c", "n", "now", "deeper", "asks")
+        needed = written(grouped(met, n_tasks).mapInArrow(slim_pass(similarity), SLIM), "needed")
+        members = needed.join(level.drop("n"), "c").join(texts, "c")
+        return written(grouped(members, n_tasks).mapInArrow(verify_pass(similarity, trees, depths), LINKS), "links")
+
     def documents(self) -> DataFrame:
         """doc_id, class_id (the least doc_id of its near-duplicate class) and n_links (other documents it is linked to)."""
         whole = self.classes.join(self.linked, "c", "left").withColumn("root", F.coalesce("root", "c"))

@@ -103,3 +103,44 @@ def test_components(spark):
     edges = [(b"a", b"b"), (b"b", b"c"), (b"x", b"y"), (b"c", b"d"), (b"y", b"y"), (b"q", b"d")] + [(f"n{k:03}".encode(), f"n{k + 1:03}".encode()) for k in range(40)]
     out = {bytes(r["c"]): bytes(r["root"]) for r in jaccard.components(spark.createDataFrame(edges, "c binary, other binary")).collect()}
     assert all(out[k] == b"a" for k in (b"b", b"c", b"d", b"q")) and out[b"y"] == b"x" and out[b"n040"] == b"n000"
+
+
+def test_a_pair_belongs_to_one_group(prose):
+    """Whatever its longest common prefix, a pair is owned at one depth by one tree."""
+    rng, trees, least, full = np.random.default_rng(3), 16, 4, 6
+    for _ in range(40):
+        x = np.unique(rng.integers(0, 1 << 63, 130, np.uint64))[:120]
+        k = int(rng.integers(2, 20))
+        a, b = (jaccard.forest_keys(s, trees, least, full).reshape(-1, trees) for s in (x[:100], x[k:100 + k]))
+        owned = 0
+        for depth in range(full, least - 1, -1):
+            now = np.stack([a[depth - least], b[depth - least]])
+            deeper = np.stack([a[depth - least + 1], b[depth - least + 1]]) if depth < full else np.zeros((2, 0), np.int64)
+            for tree in range(trees):
+                if now[0, tree] == now[1, tree]:
+                    owned += int(jaccard.own_pairs(now, deeper, np.array([True, False]), np.zeros(2, int), tree, 0, 0)[0, 1])
+        assert owned == int((a[0] == b[0]).any())
+
+
+def test_only_classes_that_ask_open_pairs():
+    now, none = np.ones((3, 4), np.int64), np.zeros((3, 0), np.int64)
+    pair = jaccard.own_pairs(now, none, np.array([False, False, True]), np.zeros(3, int), 0, 0, 0)
+    assert pair.tolist() == [[False, False, True], [False, False, True], [False, False, False]]
+
+
+def test_recall_and_shortening(spark, documents, prose):
+    """Links of every degree from the threshold up, most near it: at least 0.99 of them are found, none is false."""
+    rng, rows = random.Random(8), []
+    for base in range(120):
+        words = prose(("r", base), 130).split()
+        rows.append((len(rows), " ".join(words)))
+        for copy in range(4):
+            new = list(words)
+            for k in range(rng.choice([1, 2, 2, 3])):
+                new[rng.randrange(10, 120)] = f"new{base} {copy} {k}".replace(" ", "x")
+            rows.append((len(rows), " ".join(new)))
+    want, found = brute(rows), got(jaccard.joined(documents(rows)))
+    links = sum(n for *_, n in want)
+    assert links > 1000
+    assert all(n <= m for (*_, n), (*_, m) in zip(found, want, strict=True))
+    assert sum(n for *_, n in found) >= 0.99 * links
