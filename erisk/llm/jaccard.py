@@ -196,18 +196,19 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of a group's sets: products of 0/1 matrices over the shingles that two sets share."""
     n = len(sets)
     if n == 2:
-        return np.full((2, 2), len(np.intersect1d(*sets, assume_unique=True)), np.float32)
+        return np.full((2, 2), len(np.intersect1d(*sets, assume_unique=True)), np.int64)
     values, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = count > 1
     column = np.cumsum(shared) - 1
     row = np.repeat(np.arange(n), [len(s) for s in sets])
     use = shared[code]
     row, code = row[use], column[code[use]]
-    total, wide = np.zeros((n, n), np.float32), max(1, 8_000_000 // n)
+    # a product of at most 4 million columns is exact in float32; sums of them are kept whole
+    total, wide = np.zeros((n, n), np.int64), max(1, 8_000_000 // n)
     for a in range(0, int(shared.sum()), wide):
         x, part = np.zeros((n, min(wide, int(shared.sum()) - a)), np.float32), (code >= a) & (code < a + wide)
         x[row[part], code[part] - a] = 1
-        total += x @ x.T
+        total += (x @ x.T).astype(np.int64)
     return total
 
 

@@ -131,7 +131,7 @@ def test_only_classes_that_ask_open_pairs():
 def test_recall_and_shortening(spark, documents, prose):
     """Links of every degree from the threshold up, most near it: at least 0.99 of them are found, none is false."""
     rng, rows = random.Random(8), []
-    for base in range(120):
+    for base in range(140):
         words = prose(("r", base), 130).split()
         rows.append((len(rows), " ".join(words)))
         for copy in range(4):
@@ -144,3 +144,13 @@ def test_recall_and_shortening(spark, documents, prose):
     assert links > 1000
     assert all(n <= m for (*_, n), (*_, m) in zip(found, want, strict=True))
     assert sum(n for *_, n in found) >= 0.99 * links
+
+
+def test_pairs_exactly_at_the_threshold():
+    """112 shingles of 140 are 0.8 and a link, whatever single precision makes of 112 * 1.8."""
+    for n in range(5, 400, 5):
+        x = np.arange(n, dtype=np.uint64)
+        a, b = x[:n - n // 10], np.concatenate([x[:n - n // 5], x[n - n // 10:]])
+        for sets in ([a, b], [a, b, a]):
+            both = jaccard.intersections(sets)
+            assert both.dtype == np.int64 and both[0, 1] == len(np.intersect1d(a, b))
