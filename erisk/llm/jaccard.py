@@ -294,7 +294,8 @@ class Join:
         depths = list(range(full, least - 1, -1))
         verified: DataFrame | None = None
         for k, depth in enumerate(depths):
-            level = forest.select("c", "n", nodes(depth).alias("now"), nodes(depth + 1).alias("deeper"))
+            level = forest.select("c", "n", nodes(depth).alias("keys"), nodes(depth + 1).alias("below"))
+            level = level.withColumns({"now": high_bits("keys"), "deeper": high_bits("below")})
             if verified is None:
                 level = level.withColumn("asks", F.lit(True))
             else:
@@ -311,17 +312,18 @@ class Join:
     def level(level: DataFrame, texts: DataFrame, block: int, similarity: float, trees: int, depths: list[int]) -> DataFrame:
         """The verified pairs of one depth of the tries: those whose longest common prefix has this depth."""
         n_tasks = int(level.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        entries = level.select("c", "asks", "deeper", F.posexplode("now").alias("tree", "key"))
-        entries = entries.select("c", "asks", "tree", "key", F.when(F.size("deeper") > 0, F.get("deeper", F.col("tree"))).alias("child"))
+        # an entry carries what its group needs, so that only the key is joined
+        entries = level.select("c", "n", "asks", "now", "deeper", "below", F.posexplode("keys").alias("tree", "key"))
+        entries = entries.withColumn("child", F.when(F.size("below") > 0, F.get("below", F.col("tree")))).drop("below")
         node = entries.groupBy("key").agg(F.count("*").alias("members"), F.max("asks").alias("asked"), F.min("child").alias("low"), F.max("child").alias("high"))
         node = node.filter("members > 1 AND asked AND (low IS NULL OR low <> high)")        # a node of one child parts no pair
         node = written(node.select("key", "members", F.ceil(F.col("members") / block).cast("int").alias("blocks")), "nodes")
         part = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
-        met = hot_join(entries.select("c", "tree", "key"), node, "key", "members").join(level, "c")
+        met = hot_join(entries.drop("child"), node, "key", "members")
         met = met.withColumn("part", part).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         met = met.select("tree", "key", F.least("part", "x").alias("p"), F.greatest("part", "x").alias("q"), "part", "c", "n", "now", "deeper", "asks")
         needed = written(grouped(met, n_tasks).mapInArrow(slim_pass(similarity), SLIM), "needed")
-        members = needed.join(level.drop("n"), "c").join(texts, "c")
+        members = needed.join(level.select("c", "asks", "now", "deeper"), "c").join(texts, "c")
         return written(grouped(members, n_tasks).mapInArrow(verify_pass(similarity, trees, depths), LINKS), "links")
 
     def documents(self) -> DataFrame:
@@ -343,6 +345,11 @@ class Join:
         return mine.groupBy("row").agg(F.first("stays").alias("stays"), F.count("*").alias("copies"))
 
 
+def high_bits(keys: str) -> Column:
+    """Half of each key: enough to tell whether two paths agree (a false agreement has a chance of 2^-32), at half the shuffle."""
+    return F.transform(keys, lambda k: F.shiftright(k, 32).cast("int"))
+
+
 def grouped(members: DataFrame, n_tasks: int) -> DataFrame:
     return members.repartition(n_tasks, *GROUP).sortWithinPartitions(*GROUP)
 
