@@ -144,7 +144,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
 
 
 GROUP = ["tree", "key", "p", "q"]
-SLIM = "tree int, key bigint, p int, q int, part int, c binary"
+MEMBER = [*GROUP, "part", "c", "asks", "now", "deeper"]
+SLIM = "tree int, key bigint, p int, q int, part int, c binary, asks boolean, now array<int>, deeper array<int>"
 
 
 def own_pairs(now: np.ndarray, deeper: np.ndarray, asks: np.ndarray, part: np.ndarray, tree: int, p: int, q: int) -> np.ndarray:
@@ -187,7 +188,7 @@ def slim_pass(similarity: float):
             for a, b, pair in inside:
                 pair &= near_sizes(n[a:b], similarity)
                 take[a:b] = pair.any(axis=0) | pair.any(axis=1)
-            kept = t.filter(pa.array(take)).select([*GROUP, "part", "c"])
+            kept = t.filter(pa.array(take)).select(MEMBER)
             yield from kept.combine_chunks().to_batches()
     return run
 
@@ -323,7 +324,7 @@ class Join:
         met = met.withColumn("part", part).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         met = met.select("tree", "key", F.least("part", "x").alias("p"), F.greatest("part", "x").alias("q"), "part", "c", "n", "now", "deeper", "asks")
         needed = written(grouped(met, n_tasks).mapInArrow(slim_pass(similarity), SLIM), "needed")
-        members = needed.join(level.select("c", "asks", "now", "deeper"), "c").join(texts, "c")
+        members = needed.join(texts, "c")
         return written(grouped(members, n_tasks).mapInArrow(verify_pass(similarity, trees, depths), LINKS), "links")
 
     def documents(self) -> DataFrame:
