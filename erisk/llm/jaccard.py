@@ -10,8 +10,10 @@ depth is the longest by which a pair exactly at the threshold is found with prob
 even a class that has found nothing may stop. Every candidate is verified, so nothing false is linked. A link is lost only if
 no trie brings it together before both its ends have stopped: at most 0.008 exactly at 0.8, less above.
 
-Work on a trie node is split: a node of more than `block` classes is dealt over blocks, and every two blocks meet in one
-small group, so a group of thousands of near copies is many tasks and its pairs are numpy matrices, never rows. A pair belongs
+Work on a trie node is split: a node of more than `block` classes, or of more than `block_shingles` shingles, is dealt over
+blocks, and every two blocks meet in one group. So a group of thousands of near copies is many tasks, a task holds two blocks
+whatever the length of the texts, and pairs are numpy matrices, never rows. A class goes to as many groups as its node has
+blocks, so blocks are as large as a task may hold. A pair belongs
 to the first tree that brings it together at its level. A slim pass over keys alone finds which classes have such a pair in a
 group; only these meet with their shingles, computed once from the text of one document of each class in the tries. A group
 returns, for each class, the number of documents linked, and edges of a spanning forest: as many rows as members at most.
@@ -38,7 +40,10 @@ from pyspark.sql import functions as F
 from erisk.llm.common import written
 from erisk.llm.hot import components, hot_join
 
-SHINGLE, SIMILARITY, TARGET, TREES, DEPTH, BLOCK, SEED = 5, 0.8, 0.999, 16, 6, 256, 11
+SHINGLE, SIMILARITY, TARGET, TREES, DEPTH, SEED = 5, 0.8, 0.999, 16, 6, 11
+
+#: Classes and shingles of a block: two blocks are at most some 16 MB of sets, their matrices of pairs 32 MB each.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 
 
 def depth_for(similarity: float, target: float, trees: int, depth: int) -> int:
@@ -272,7 +277,7 @@ class Join:
     """The join's tables: `rows` (row, doc_id, c of every document), `classes` (c, size, best) and `linked` (c, links, root)."""
 
     def __init__(self, documents: DataFrame, similarity: float = SIMILARITY, target: float = TARGET, trees: int = TREES, full: int = DEPTH,
-                 block: int = BLOCK):
+                 block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES):
         least = depth_for(similarity, target, trees, full)
         own = documents.select("doc_id", "text", row_key().alias("row"))
         rows = written(own.select("row", "doc_id", signed(F.col("text"), trees, least, full).alias("s")).select("row", "doc_id", "s.*"), "signatures")
@@ -303,22 +308,24 @@ class Join:
                 recall = verified.groupBy("c").agg((F.sum("pairs") / F.sum(F.col("expected")[k - 1])).alias("recall"))
                 stopped = recall.filter(F.col("recall") >= target).select("c", F.lit(False).alias("asks"))
                 level = written(level.join(stopped, "c", "left").withColumn("asks", F.coalesce("asks", F.lit(True))), "level")
-            found = self.level(level, texts, block, similarity, trees, depths)
+            found = self.level(level, texts, (block, block_shingles), similarity, trees, depths)
             verified = found if verified is None else verified.union(found)
         roots = components(verified.select("c", "other"))
         links = verified.groupBy("c").agg(F.sum("links").alias("links"))
         self.linked = written(links.join(roots, "c", "left").select("c", "links", F.coalesce("root", "c").alias("root")), "linked")
 
     @staticmethod
-    def level(level: DataFrame, texts: DataFrame, block: int, similarity: float, trees: int, depths: list[int]) -> DataFrame:
+    def level(level: DataFrame, texts: DataFrame, block: tuple[int, int], similarity: float, trees: int, depths: list[int]) -> DataFrame:
         """The verified pairs of one depth of the tries: those whose longest common prefix has this depth."""
         n_tasks = int(level.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         # an entry carries what its group needs, so that only the key is joined
         entries = level.select("c", "n", "asks", "now", "deeper", "below", F.posexplode("keys").alias("tree", "key"))
         entries = entries.withColumn("child", F.when(F.size("below") > 0, F.get("below", F.col("tree")))).drop("below")
-        node = entries.groupBy("key").agg(F.count("*").alias("members"), F.max("asks").alias("asked"), F.min("child").alias("low"), F.max("child").alias("high"))
+        node = entries.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"), F.max("asks").alias("asked"),
+                                          F.min("child").alias("low"), F.max("child").alias("high"))
         node = node.filter("members > 1 AND asked AND (low IS NULL OR low <> high)")        # a node of one child parts no pair
-        node = written(node.select("key", "members", F.ceil(F.col("members") / block).cast("int").alias("blocks")), "nodes")
+        blocks = F.least(F.greatest(F.ceil(F.col("members") / block[0]), F.ceil(F.col("shingles") / block[1])), F.col("members"))
+        node = written(node.select("key", "members", blocks.cast("int").alias("blocks")), "nodes")
         part = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
         met = hot_join(entries.drop("child"), node, "key", "members")
         met = met.withColumn("part", part).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
