@@ -2,7 +2,10 @@
 
 Each Arrow batch of documents is one shard: its words become numbers, the suffixes of the shard are sorted by prefix
 doubling, and every test suffix is found by binary search, one word of depth at a time for all suffixes together. That
-gives where each window of a benchmark item occurs; its words are hit, and documents with hits are contaminated.
+gives where each window of a benchmark item occurs; its words are hit, and documents with hits are contaminated. Equal
+windows are one, with the set of their items, so a place of a document is found at most once for each length of a window,
+however often the benchmark or a text repeats itself. The longest verbatim match from a hit place on is found in the sorted
+suffixes of the benchmark, by binary search with hashes of runs for comparisons.
 
 A word is `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z become a-z. A window is `window` consecutive words of an item; an
 item of fewer words, but at least one, is one window. Documents are neither shuffled nor cut. The benchmark is searched
@@ -37,39 +40,49 @@ def words(text: str | None) -> list[bytes]:
 
 @dataclass
 class TestSuffixes:
-    """The windows of one block of the benchmark: word numbers, and start, length and item of each window."""
+    """The distinct windows of one block of the benchmark: word numbers (-1 ends an item), start and length of each window and
+    the number of its set of items, these sets, and all suffixes in order."""
     vocabulary: dict[bytes, int]
     ids: np.ndarray
     start: np.ndarray
     length: np.ndarray
-    item: list[int | None]
+    named: np.ndarray
+    items: list[tuple[int, ...]]
+    order: np.ndarray
 
     @staticmethod
     def of(items: list[tuple[int | None, str | None]], window: int) -> TestSuffixes:
         vocabulary: dict[bytes, int] = {}
-        ids, start, length, item = [], [], [], []
+        ids: list[int] = []
+        first: dict[tuple[int, ...], int] = {}
+        holders: dict[tuple[int, ...], set[int]] = {}
         for key, text in items:
             own = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text)]
-            for k in range(max(1, len(own) - window + 1) if own else 0):
-                start.append(len(ids) + k)
-                length.append(min(window, len(own)))
-                item.append(key)
-            ids += own
-        return TestSuffixes(vocabulary, np.array(ids, np.int64), np.array(start, np.int64), np.array(length, np.int64), item)
+            n = min(window, len(own))
+            for k in range(len(own) - n + 1 if own else 0):
+                w = tuple(own[k:k + n])
+                first.setdefault(w, len(ids) + k)
+                holders.setdefault(w, set()).update(() if key is None else (key,))
+            ids += [*own, -1]
+        sets: dict[tuple[int, ...], int] = {}
+        named = [sets.setdefault(tuple(sorted(holders[w])), len(sets)) for w in first]
+        t = np.array(ids, np.int64)
+        return TestSuffixes(vocabulary, t, np.array(list(first.values()), np.int64), np.array(list(map(len, first)), np.int64),
+                            np.array(named, np.int64), list(sets), suffix_array(np.maximum(t, 0), len(t)))
 
 
 def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     """Places of `t` with a word of the benchmark, sorted by the words that follow, at least `depth` deep. 0 in `t` is a
     word that no test suffix has, or the end of a document."""
     places = np.flatnonzero(t)
-    rank, step = t, 1
-    while step < depth:
+    rank, step, known = t, 1, 0
+    while step < depth and known < len(places):        # all different: longer prefixes change nothing
         after = np.zeros(len(t), np.int64)
         after[:-step or None] = rank[step:]
         _, new = np.unique(rank[places] * (int(after.max(initial=0)) + 1) + after[places], return_inverse=True)
         rank = np.zeros(len(t), np.int64)
         rank[places] = new + 1
-        step *= 2
+        step, known = step * 2, int(new.max(initial=-1)) + 1
     return places[np.argsort(rank[places], kind="stable")]
 
 
@@ -106,16 +119,52 @@ def occurrences(t: np.ndarray, test: TestSuffixes) -> tuple[np.ndarray, np.ndarr
     return np.repeat(window, n), sa[np.repeat(low, n) + inside]
 
 
-def longest_runs(window: np.ndarray, place: np.ndarray, test: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
-    """Windows that continue each other on one diagonal make one longer match: (place of its start, its words)."""
-    start = test.start[window]
-    order = np.lexsort((place, place - start))
-    s, p, n = start[order], place[order], test.length[window][order]
-    item = np.unique(test.start - np.arange(len(test.start)), return_inverse=True)[1][window][order] if len(window) else s
-    new = np.ones(len(s), bool)
-    new[1:] = (np.diff(p) != 1) | (np.diff(s) != 1) | (np.diff(item) != 0)
-    first = np.flatnonzero(new)
-    return p[first], np.diff(np.append(first, len(p))) - 1 + n[first]
+BASE = 0x9E3779B97F4A7C15 | 1
+
+
+def run_sums(t: np.ndarray) -> np.ndarray:
+    """Sums, modulo 2^64, of mixed words times powers of BASE: equal runs have equal sums but for a power of BASE."""
+    x = t.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum((x ^ (x >> np.uint64(29))) * powers(len(t)), dtype=np.uint64)])
+
+
+def powers(n: int) -> np.ndarray:
+    out = np.full(n, BASE, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def matches(t: np.ndarray, place: np.ndarray, test: TestSuffixes) -> np.ndarray:
+    """Of each place the most words from there on that stand in one item: the longest prefix shared with the suffixes of the
+    benchmark on both sides of where it belongs."""
+    if not len(place):
+        return np.zeros(0, np.int64)
+    own, theirs, power = run_sums(t), run_sums(test.ids), powers(max(len(t), len(test.ids)) + 1)
+
+    def common(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        low, high = np.zeros(len(p), np.int64), np.minimum(len(t) - p, len(test.ids) - q)
+        while (low < high).any():
+            mid = (low + high + 1) // 2
+            same = (own[p + mid] - own[p]) * power[q] == (theirs[q + mid] - theirs[q]) * power[p]
+            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        return low
+
+    a, b = np.append(t, 0), np.append(test.ids, 0)
+    low, high = np.zeros(len(place), np.int64), np.full(len(place), len(test.order), np.int64)
+    while (open_ := np.flatnonzero(low < high)).size:
+        mid = (low[open_] + high[open_]) // 2
+        p, q = place[open_], test.order[mid]
+        n = common(p, q)
+        # an item's end (-1) and a word unknown to the benchmark (0) both come before all words
+        down = np.maximum(b[q + n], 0) < a[p + n]
+        low[open_[down]] = mid[down] + 1
+        high[open_[~down]] = mid[~down]
+    best = np.zeros(len(place), np.int64)
+    for side in (low - 1, low):
+        ok = np.flatnonzero((side >= 0) & (side < len(test.order)))
+        best[ok] = np.maximum(best[ok], common(place[ok], test.order[side[ok]]))
+    return best
 
 
 def shard_verdicts(texts: list[str | None], test: TestSuffixes, prior: list[dict] | None) -> pa.Array:
@@ -143,12 +192,11 @@ def shard_verdicts(texts: list[str | None], test: TestSuffixes, prior: list[dict
         d = int(np.searchsorted(starts, a, side="right")) - 1
         spans.setdefault(d, []).append((a - first[d], b - first[d]))
     items: dict[int, set[int]] = {}
-    for d, w in zip(*np.unique(np.stack([doc, window]), axis=1).tolist(), strict=True) if len(doc) else ():
-        if test.item[w] is not None:
-            items.setdefault(d, set()).add(test.item[w])
+    for d, s in zip(*np.unique(np.stack([doc, test.named[window]]), axis=1).tolist(), strict=True) if len(doc) else ():
+        items.setdefault(d, set()).update(test.items[s])
     longest = np.zeros(len(texts), np.int64)
-    at, run = longest_runs(window, place, test)
-    np.maximum.at(longest, np.searchsorted(starts, at, side="right") - 1, run)
+    at = np.unique(place)
+    np.maximum.at(longest, np.searchsorted(starts, at, side="right") - 1, matches(t, at, test))
     rows = []
     for d, n in enumerate(count):
         old = prior[d] if prior else None

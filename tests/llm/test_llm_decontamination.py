@@ -67,3 +67,40 @@ def test_suffix_array_and_longest(prose):
     test = d.TestSuffixes.of([(1, prose("long", 50))], 10)
     v = d.shard_verdicts([f"a {' '.join(prose('long', 50).split()[5:42])} b", "none"], test, None).to_pylist()
     assert [x["longest"] for x in v] == [37, 0]
+
+
+def plain_longest(text, items):
+    """The most words from a hit place on that stand in one item."""
+    own, best, bench = plain_words(text), 0, [plain_words(t) for _, t in items]
+    for at in range(len(own)):
+        if any(own[at:at + min(10, len(w))] == w[k:k + min(10, len(w))] for w in bench if w for k in range(len(w) - min(10, len(w)) + 1)):
+            for w in bench:
+                for k in range(len(w)):
+                    n = 0
+                    while k + n < len(w) and at + n < len(own) and w[k + n] == own[at + n]:
+                        n += 1
+                    best = max(best, n)
+    return best
+
+
+def test_repetitive_texts_against_plain_search():
+    """Few different words, so windows repeat within items, between items and within texts."""
+    rng = random.Random(4)
+    for size in (1, 2, 3):
+        draw = lambda n: " ".join(rng.choice("abc"[:size]) for _ in range(n))
+        items = [(k, draw(rng.choice([0, 1, 4, 9, 10, 11, 30, 60]))) for k in range(5)] + [(None, draw(25))]
+        docs = [f"{draw(rng.randrange(40))} stop {draw(rng.randrange(60))}" for _ in range(12)] + ["", None, "stop"]
+        got = d.shard_verdicts(docs, d.TestSuffixes.of(items, 10), None).to_pylist()
+        for text, v in zip(docs, got, strict=True):
+            n, hit, named, _, _ = plain(text, items)
+            assert (v["n_words"], sum(s["end"] - s["start"] for s in v["spans"]), len(v["items"])) == (n, hit, named)
+            assert v["longest"] == plain_longest(text, items)
+
+
+def test_long_repetitions_stay_linear():
+    """20,000 equal words against 20,000: one window, a place at most once."""
+    test = d.TestSuffixes.of([(1, "same " * 20_000), (2, "same " * 5_000)], 10)
+    assert len(test.start) == 1
+    v = d.shard_verdicts(["same " * 20_000, "same " * 30_000 + "end"], test, None).to_pylist()
+    assert [x["longest"] for x in v] == [20_000, 20_000] and [x["items"] for x in v] == [[1, 2], [1, 2]]
+    assert [x["spans"] for x in v] == [[{"start": 0, "end": 20_000}], [{"start": 0, "end": 30_000}]]
