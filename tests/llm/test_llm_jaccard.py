@@ -64,6 +64,8 @@ def test_large_groups_in_blocks(spark, documents, prose):
     rows = [(k, " ".join([*words[:60], f"own{k}", *words[61:]])) for k in range(45)] + [(100 + k, " ".join(words)) for k in range(7)]
     found = jaccard.Join(documents(rows), block=8).documents()
     assert got(found) == brute(rows)
+    found = jaccard.Join(documents(rows), block_shingles=900).documents()        # the length of texts bounds a block too
+    assert got(found) == brute(rows)
 
 
 def test_hard_cases(documents, hard_texts, prose):
