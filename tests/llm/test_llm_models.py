@@ -1,4 +1,5 @@
 """Held-out accuracy of the two trained models, their arithmetic, and the defined cases."""
+import math
 import zlib
 
 import numpy as np
@@ -114,6 +115,31 @@ def test_network_gradients():
             assert abs((up - down) / 2e-6 - g[at]) < 1e-4
 
 
+def test_predictions_against_plain_loops():
+    """Bytes, filters, maxima, softmax and the mean over windows, one number at a time, on whole texts."""
+    net = language.ByteNetwork(["a", "b", "c"])
+    net.p[2] += np.linspace(-0.2, 0.2, language.ALL).astype(np.float32)
+    embed, filters, bias, out, last = (p.astype(float).tolist() for p in net.p)
+    texts = ["Ab", "straße und mehr " * 40, "x" * language.WINDOW, "one more " * 29]
+    got = net.predict([*texts, None, "12"])
+    for k, text in enumerate(texts):
+        raw, total = list(text.encode().lower()), [0.0] * 3
+        for start in range(0, len(raw), language.WINDOW):
+            piece = raw[start:start + language.WINDOW]
+            ids = piece + [language.PAD] * (language.WINDOW + language.WIDEST - 1 - len(piece))
+            pooled = []
+            for f in range(language.ALL):
+                width = language.WIDTHS[f // language.FILTERS]
+                best = max(sum(embed[ids[i + j]][d] * filters[j * language.DIM + d][f] for j in range(width) for d in range(language.DIM))
+                           for i in range(language.WINDOW))
+                pooled.append(max(best + bias[f], 0.0))
+            e = [math.exp(sum(x * out[f][c] for f, x in enumerate(pooled)) + last[c]) for c in range(3)]
+            total = [t + x / sum(e) * len(piece) for t, x in zip(total, e, strict=True)]
+        mean = [t / len(raw) for t in total]
+        assert got[0][k] == "abc"[mean.index(max(mean))] and abs(got[1][k] - max(mean)) < 1e-4
+    assert got[0][4:] == ["und", "und"] and got[1][4:] == [0.0, 0.0]
+
+
 def test_windows_cover_the_text():
     text = "Äb" * 300
     w = language.windows(text)

@@ -1,4 +1,5 @@
 """Base rules against a plain reading, the estimate against a planted outlier, and the defined cases."""
+import math
 import random
 
 import numpy as np
@@ -106,3 +107,51 @@ def test_estimate_is_the_mcd_of_the_group(spark, documents, prose):
     assert np.allclose(sorted(np.sqrt(distance)), sorted(v for v in got.values() if v is not None))
     near = z[distance <= rules.chi2_quantile(rules.REWEIGHT, rules.P)]
     assert np.allclose(near.mean(0), row["mu"], atol=0.05)
+
+
+def plain_verdicts(rows):
+    """Every verdict of one group by its own reading: exact ranks of distances instead of bins, all in numpy."""
+    ids, stats = [k for k, *_ in rows], [rules.statistics(t) for _, t, *_ in rows]
+    bad = np.array([s[0] < 10 or 100 * s[4] > 20 * s[0] for s in stats])
+    words, x = np.array([s[0] for s in stats], float), np.array([s[len(rules.BASE):] for s in stats])
+    floor = np.array(list(rules.FLOOR.values()))
+    steps = np.round(x[~bad] / (floor / 50))
+    at = lambda q: np.sort(steps, axis=0)[int(np.ceil(q * len(steps))) - 1] * floor / 50
+    z = x - at(0.5)
+    for j, c in enumerate(rules.DIMS):
+        if c in rules.NOISE_WORDS:
+            z[:, j] *= np.sqrt(words / (words + rules.NOISE_WORDS[c]))
+    good, mu, cov = z[~bad], np.zeros(rules.P), np.diag(((at(0.75) - at(0.25)) / 1.349) ** 2 + floor ** 2)
+    d2 = lambda v: np.einsum("ni,ij,nj->n", v - mu, np.linalg.inv(cov), v - mu)
+    for share in [rules.H_SHARE] * rules.STEPS + [None]:
+        if share:
+            near = good[np.argsort(d2(good), kind="stable")[:int(np.ceil(share * len(good)))]]
+        else:
+            near = good[d2(good) <= rules.chi2_quantile(rules.REWEIGHT, rules.P)]
+        part = share or rules.REWEIGHT
+        factor = part / rules.chi2_cdf(rules.chi2_quantile(part, rules.P), rules.P + 2)
+        mu, cov = near.mean(0), factor * np.cov(near.T, bias=True) + np.diag(floor ** 2)
+    return {k: (bool(b), None if b else math.sqrt(v)) for k, b, v in zip(ids, bad, d2(z), strict=True)}
+
+
+def test_whole_result_against_plain_numpy(documents, prose):
+    """Two groups with planted outliers and failures of the base rules: distances and verdicts of all rows."""
+    rows = []
+    for g, source in enumerate(("s", "t")):
+        base = 10_000 * g
+        rows += [(base + k, prose((g, k), 30 + 11 * k % 400) + (" #" * (k % 3)) + ("\nA Line" * (k % 4 == 0)), "en", source) for k in range(220 + 60 * g)]
+        rows += [(base + 900, "#$% |<> " * 3 + prose((g, "o"), 60).upper(), "en", source), (base + 901, "few words", "en", source),
+                 (base + 902, "again and again it says " * 30, "en", source), (base + 903, " ".join(w * 9 for w in prose((g, "w"), 80).split()), "en", source)]
+    got = {r["doc_id"]: r for r in rules.quality_rules(documents(rows)).collect()}
+    limit, close = math.sqrt(rules.chi2_quantile(rules.REJECT, rules.P)), 0
+    for source in ("s", "t"):
+        for k, (bad, distance) in plain_verdicts([r for r in rows if r[3] == source]).items():
+            assert got[k]["base_failed"] == bad
+            if bad:
+                assert not got[k]["kept"] and got[k]["distance"] is None
+                continue
+            assert abs(got[k]["distance"] - distance) <= 0.05 * distance + 0.1
+            close += abs(distance - limit) < 0.05 * limit + 0.1
+            if abs(distance - limit) >= 0.05 * limit + 0.1:
+                assert got[k]["kept"] == (distance <= limit)
+    assert close == 0 and sum(not r["kept"] for r in got.values()) >= 8 and sum(r["kept"] for r in got.values()) >= 480
