@@ -58,6 +58,86 @@ def test_scores_are_sums_of_table_entries():
     assert np.mean((model.score(fresh) > 0.5) == (fresh[:, 0] + 3 * np.sign(fresh[:, 1] * fresh[:, 2]) > 0)) > 0.9
 
 
+def plain_boosting(x, y, rounds, pair_rounds, n_pairs, bins, wide):
+    """Scores of the rows themselves by cyclic boosting, with sums over rows instead of tables."""
+    n, width = len(x), len(x[0])
+
+    def cuts(j, k):
+        v = sorted(row[j] for row in x)
+        at = [(n - 1) * q / k for q in range(1, k)]
+        return [v[int(p)] + (v[int(p) + 1] - v[int(p)]) * (p - int(p)) for p in at]
+
+    def bin_of(j, k):
+        edges = cuts(j, k)
+        return [sum(row[j] >= c for c in edges) for row in x]
+
+    fine, coarse = [bin_of(j, bins) for j in range(width)], [bin_of(j, wide) for j in range(width)]
+    prior = sum(y) / n
+    f = [math.log(prior / (1 - prior))] * n
+
+    def slopes():
+        p = [1 / (1 + math.exp(-v)) for v in f]
+        return [b - a for a, b in zip(p, y, strict=True)], [a * (1 - a) for a in p]
+
+    def leaf(rows, g, h):
+        return sum(g[r] for r in rows) / (sum(h[r] for r in rows) + 1)
+
+    def explained(rows, g, h):
+        return sum(g[r] for r in rows) ** 2 / (sum(h[r] for r in rows) + 1)
+
+    def halves(rows, at, g, h):
+        """The cut that explains most; None if one bin holds all rows."""
+        options = [([r for r in rows if at[r] < c], [r for r in rows if at[r] >= c]) for c in sorted({at[r] for r in rows})[1:]]
+        return max(options, key=lambda o: explained(o[0], g, h) + explained(o[1], g, h), default=None)
+
+    def tree(rows, at, g, h, depth):
+        cut = halves(rows, at, g, h) if depth else None
+        if cut is None:
+            return dict.fromkeys(rows, leaf(rows, g, h))
+        return tree(cut[0], at, g, h, depth - 1) | tree(cut[1], at, g, h, depth - 1)
+
+    def two_way(i, j, g, h):
+        found = []
+        for first, second in ((coarse[i], coarse[j]), (coarse[j], coarse[i])):
+            sides = halves(range(n), first, g, h)
+            steps = {r: v for side in sides for r, v in tree(side, second, g, h, 1).items()}
+            found.append((sum(steps[r] * g[r] for r in steps), steps))
+        return found[1][1] if found[1][0] > found[0][0] + 1e-12 else found[0][1]
+
+    for _ in range(rounds):
+        for j in range(width):
+            for r, v in tree(range(n), fine[j], *slopes(), 2).items():
+                f[r] += 0.1 * v
+    g, h = slopes()
+
+    def cells(*keys):
+        groups = {}
+        for r in range(n):
+            groups.setdefault(tuple(k[r] for k in keys), []).append(r)
+        return sum(explained(rows, g, h) for rows in groups.values())
+
+    ranked = sorted(((cells(coarse[i], coarse[j]) - cells(coarse[i]) - cells(coarse[j]), i, j)
+                     for i in range(width) for j in range(i + 1, width)), reverse=True)[:n_pairs]
+    for _ in range(pair_rounds):
+        for _, i, j in ranked:
+            for r, v in two_way(i, j, *slopes()).items():
+                f[r] += 0.1 * v
+    return [1 / (1 + math.exp(-v)) for v in f], [(i, j) for _, i, j in ranked]
+
+
+def test_fit_against_plain_boosting(monkeypatch):
+    for name, value in {"ROUNDS": 4, "PAIR_ROUNDS": 3, "PAIRS": 2, "BINS": 8, "PAIR_BINS": 4}.items():
+        monkeypatch.setattr(classifier, name, value)
+    rng = np.random.default_rng(2)
+    for _ in range(3):
+        x = rng.normal(size=(62, 4))
+        y = (x[:, 0] + np.sign(x[:, 1] * x[:, 2]) + rng.normal(0, 0.5, 62) > 0).astype(float)
+        model = classifier.AdditiveModel(y.mean()).fit(x, y)
+        want, pairs = plain_boosting(x.tolist(), y.tolist(), 4, 3, 2, 8, 4)
+        assert [(i, j) for i, j, _ in model.pairs] == pairs
+        assert np.allclose(model.score(x), want, atol=1e-9)
+
+
 ALPHABETS = {"aa": "the and with from house water", "bb": "der und mit von haus wasser für", "cc": "el y con de casa agua niño"}
 
 
