@@ -6,7 +6,7 @@ them. Ordinary entities have exactly one part. ``to_tables`` reads any number of
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from erisk.functions.bands import order_of
 from erisk.session import durable
@@ -20,6 +20,8 @@ def iso(column: str, dtype: str) -> Column:
 
 
 MAX_BROADCAST = 100_000   # hot keys; beyond it every key takes the way that needs no list
+# Beyond any of these a key is hot: its rows are dealt to several tasks. Smaller ones fit one task, in however many parts they go.
+HOT_TESTS, HOT_ITEMS, HOT_ENTITY_ITEMS = 5_000, 5_000, 20_000
 TEST_KEYS = ["motTestNumber", "completedDate", "testResult", "odometerValue", "odometerUnit", "odometerResultType",
              "expiryDate", "dataSource", "defects"]
 
@@ -50,23 +52,37 @@ def both(whole: DataFrame | None, parts: DataFrame | None) -> DataFrame:
 
 
 def defect_arrays(items: DataFrame, max_items: int, hot_events: DataFrame, n: int) -> DataFrame:
-    """(event, chunk) -> array of items. Copies of an item in a hot event are counted before they are
-    collected, and split into pieces of at most ``max_items``; a piece goes to a chunk by hash."""
+    """(event, chunk) -> array of items and its size. Copies of an item are counted before they are collected, and split into pieces of at
+    most ``max_items``; a piece goes to a chunk by hash. Items of an ordinary event meet in one shuffle, by event; those of a
+    hot one are counted and collected by (event, item) and (event, chunk)."""
     event, fields = "mot_test_number", ["type", "text", "dangerous"]
     plain, hot = split_hot(items, event, hot_events, n)
-    whole = None if plain is None else plain.groupBy(event).agg(
-        F.sort_array(F.collect_list(F.struct(*fields))).alias("defects")).withColumn("chunk", F.lit(0))
-    if hot is None:
-        return whole
-    copies = hot.groupBy(event, *fields).agg(F.count("*").alias("copies"))
-    chunks = copies.groupBy(event).agg(F.ceil(F.sum("copies") / max_items).cast("int").alias("chunks"))
-    pieces = (copies.join(few(chunks, n), event)
-              .withColumn("piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("copies") / max_items).cast("int") - 1)))
-              .withColumn("copies", F.least(F.col("copies") - F.col("piece") * max_items, F.lit(max_items)))
-              .withColumn("chunk", F.pmod(F.xxhash64(*fields, "piece"), F.col("chunks")).cast("int"))
-              .repartition(event, "chunk"))   # the join's own hashing would keep a hot event whole
-    parts = pieces.groupBy(event, "chunk").agg(F.flatten(F.sort_array(F.collect_list(
-        F.array_repeat(F.struct(*fields), F.col("copies").cast("int"))))).alias("defects"))
+
+    def counted_copies(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(event, *fields).agg(F.count("*").alias("copies"))
+
+    def in_pieces(copies: DataFrame) -> DataFrame:
+        return (copies.withColumn("piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("copies") / max_items).cast("int") - 1)))
+                .withColumn("copies", F.least(F.col("copies") - F.col("piece") * max_items, F.lit(max_items)))
+                .withColumn("chunk", F.pmod(F.xxhash64(*fields, "piece"), F.col("chunks")).cast("int")))
+
+    def collected(pieces: DataFrame) -> DataFrame:
+        return pieces.groupBy(event, "chunk").agg(F.flatten(F.sort_array(F.collect_list(
+            F.array_repeat(F.struct(*fields), F.col("copies").cast("int"))))).alias("defects"), F.sum("copies").alias("n_items"))
+
+    chunks = F.ceil(F.sum("copies") / max_items).cast("int").alias("chunks")
+    whole = parts = None
+    if plain is not None and max_items >= HOT_ITEMS:
+        whole = plain.groupBy(event).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("defects"), F.count("*").alias("n_items")) \
+            .withColumn("chunk", F.lit(0))
+    elif plain is not None:
+        copies = counted_copies(plain.repartition(event))
+        every = F.ceil(F.sum("copies").over(Window.partitionBy(event)) / max_items).cast("int")
+        whole = collected(in_pieces(copies.withColumn("chunks", every)))
+    if hot is not None:
+        copies = counted_copies(hot)
+        pieces = in_pieces(copies.join(few(copies.groupBy(event).agg(chunks), n), event))
+        parts = collected(pieces.repartition(event, "chunk"))   # the join's own hashing would keep a hot event whole
     return both(whole, parts)
 
 
@@ -74,9 +90,10 @@ def export_records(entities: DataFrame, events: DataFrame, items: DataFrame, max
                    max_items: int = 5_000, max_document_items: int = 20_000) -> DataFrame:
     """Rebuild every entity's whole history, tests by date and number inside a document.
 
-    Entities and events of ordinary size are collected with one shuffle each. Those with more than ``max_tests`` events,
-    ``max_document_items`` items or an event of more than ``max_items`` items become documents in parts, of about
-    that size each. Entity attributes meet a part on (entity, part), so no task holds all parts of a hot entity.
+    Entities with more than ``max_tests`` events, ``max_document_items`` items or an event of more than ``max_items`` items
+    become documents in parts, of about that size each. Only what is too large for one task as well (``HOT_TESTS``,
+    ``HOT_ITEMS``, ``HOT_ENTITY_ITEMS``) is dealt by part; items and tests of all others are shuffled once each, however
+    low the limits are. Entity attributes meet a part on (entity, part), so no task holds all parts of a hot entity.
     """
     types = dict(events.dtypes)
     no_items = F.array().cast("array<struct<type:string,text:string,dangerous:boolean>>")
@@ -84,11 +101,12 @@ def export_records(entities: DataFrame, events: DataFrame, items: DataFrame, max
     sizes = events.select("registration", "mot_test_number").join(per_event, "mot_test_number", "left") \
         .groupBy("registration").agg(F.count("*").alias("__tests"), F.sum("__items").alias("__items"),
                                      F.max("__items").alias("__most"))
-    large = (F.col("__tests") > max_tests) | (F.col("__items") > max_document_items) | (F.col("__most") > max_items)
+    most_tests, most_items, most_in_one = max(max_tests, HOT_TESTS), max(max_document_items, HOT_ENTITY_ITEMS), max(max_items, HOT_ITEMS)
+    large = (F.col("__tests") > most_tests) | (F.col("__items") > most_items) | (F.col("__most") > most_in_one)
     hot_entities, n_entities = counted(sizes.where(large).select("registration"))
-    hot_events, n_events = counted(per_event.where(F.col("__items") > max_items).select("mot_test_number"))
+    hot_events, n_events = counted(per_event.where(F.col("__items") > most_in_one).select("mot_test_number"))
     tests = events.join(defect_arrays(items, max_items, hot_events, n_events), "mot_test_number", "left").select(
-        "registration", F.coalesce("chunk", F.lit(0)).alias("chunk"),
+        "registration", F.coalesce("chunk", F.lit(0)).alias("chunk"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
         F.struct(iso("completed_date", types["completed_date"]).alias("completedDate"),
                  F.col("mot_test_number").cast("string").alias("motTestNumber"),
                  F.col("test_result").alias("testResult"),
@@ -100,19 +118,33 @@ def export_records(entities: DataFrame, events: DataFrame, items: DataFrame, max
                  F.coalesce("defects", no_items).alias("defects")).alias("test"))
     in_order = F.transform(F.sort_array(F.collect_list("test")), lambda t: F.struct(*[t[k].alias(k) for k in TEST_KEYS]))
     plain, hot = split_hot(tests, "registration", hot_entities, n_entities)
-    whole = None if plain is None else plain.groupBy("registration").agg(in_order.alias("motTests")).select(
-        "registration", F.lit(0).alias("part"), "motTests")
-    people, parts = entities.withColumn("n_parts", F.lit(1)), None
-    if hot is not None:
-        rows = hot.groupBy("registration").agg(F.greatest(
-            F.ceil(F.count("*") / max_tests), F.ceil(F.sum(F.size("test.defects")) / max_document_items),
+    low = max_tests < HOT_TESTS or max_document_items < HOT_ENTITY_ITEMS or max_items < HOT_ITEMS   # ordinary keys in parts
+
+    def sizes_in_parts(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("registration").agg(F.greatest(
+            F.ceil(F.count("*") / max_tests), F.ceil(F.sum("n_items") / max_document_items),
             F.max("chunk") + 1).cast("int").alias("n_parts"))   # an event in chunks is never in one whole document
-        rows = few(durable(rows), n_entities)
-        numbered = (hot.join(rows, "registration")
-                    .withColumn("part", F.pmod(F.xxhash64("test.motTestNumber", "chunk"), F.col("n_parts")).cast("int"))
-                    .repartition("registration", "part"))
-        parts = numbered.groupBy("registration", "part").agg(in_order.alias("motTests"))
-        people = entities.join(rows, "registration", "left").withColumn("n_parts", F.coalesce("n_parts", F.lit(1)))
+
+    def numbered(rows: DataFrame, n_parts: DataFrame) -> DataFrame:
+        return rows.join(n_parts, "registration").withColumn(
+            "part", F.pmod(F.xxhash64("test.motTestNumber", "chunk"), F.col("n_parts")).cast("int"))
+
+    def collected(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("registration", "part").agg(in_order.alias("motTests"))
+
+    whole = parts = n_parts = None
+    if plain is not None and not low:
+        whole = plain.groupBy("registration").agg(in_order.alias("motTests")).select("registration", F.lit(0).alias("part"), "motTests")
+    elif plain is not None:
+        n_parts = sizes_in_parts(plain)
+        whole = collected(numbered(plain, n_parts))   # the join's shuffle by entity serves the grouping as well
+    if hot is not None:
+        rows = few(durable(sizes_in_parts(hot)), n_entities)
+        parts = collected(numbered(hot, rows).repartition("registration", "part"))
+        n_parts = both(n_parts, rows)
+    people = entities.withColumn("n_parts", F.lit(1))
+    if n_parts is not None:
+        people = entities.join(n_parts, "registration", "left").withColumn("n_parts", F.coalesce("n_parts", F.lit(1)))
     numbers = F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1))   # a part may be empty; it is written all the same
     no_tests = F.array().cast(RECORD_SCHEMA["motTests"].dataType)
     return people.withColumn("part", numbers).join(both(whole, parts), ["registration", "part"], "left").select(

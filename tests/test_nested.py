@@ -217,3 +217,20 @@ def test_cases_file(spark, tmp_path, tables):
     want = back.select("vehicle.registration", F.col("target_date").alias("test_date"),
                        *[F.col("expected.features")[c].alias(c) for c in M.NUMERIC])
     assert N.parity(want, got.distinct(), ["registration", "test_date"], M.NUMERIC).where(~F.col("ok")).isEmpty()
+
+
+def test_low_limits_do_not_deal_ordinary_keys(tables):
+    """Parts of what fits one task come from the shuffle by entity; only hot keys are dealt by (entity, part)."""
+    people, tests, found = tables
+    docs = RC.export_records(people, tests, found, max_tests=6, max_items=4, max_document_items=30)
+    assert docs.where("n_parts > 1").count() > 0
+    assert "RepartitionByExpression [registration" not in docs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hot_keys_give_the_same_parts(tables, monkeypatch):
+    people, tests, found = tables
+    export = lambda: sorted((r["registration"], r["part"], r["n_parts"], str(r["motTests"])) for r in RC.export_records(people, tests, found, max_tests=40, max_items=50).collect())
+    want = export()
+    for name, limit in (("HOT_TESTS", 41), ("HOT_ITEMS", 51), ("HOT_ENTITY_ITEMS", 60)):
+        monkeypatch.setattr(RC, name, limit)
+    assert export() == want
