@@ -16,6 +16,7 @@ from erisk.functions import rules as R, text as T
 from erisk.settings import ScopeRules, Settings, TextRules
 
 ENTITY, EVENT = "registration", "mot_test_number"
+COUNTED = ("n_advisory", "n_fail_items")
 
 
 # ---- population ---------------------------------------------------------------
@@ -39,8 +40,8 @@ def in_dates(events: DataFrame, start: str | None, end: str | None) -> DataFrame
 
 
 def prepare_events(events: DataFrame, s: Settings, key_filter: Column | None = None,
-                   start: str | None = None) -> DataFrame:
-    """pass/fail events of the right source up to the snapshot end (from ``start``)."""
+                   start: str | None = None, also=()) -> DataFrame:
+    """pass/fail events of the right source up to the snapshot end (from ``start``), with columns ``also``."""
     result = R.result_text("test_result", s)
     out = in_dates(events.where(result.isin(s.passed, s.failed)), start, s.snapshot_end)
     if s.source is not None:
@@ -50,7 +51,7 @@ def prepare_events(events: DataFrame, s: Settings, key_filter: Column | None = N
     return out.select(
         ENTITY, EVENT, "completed_date", day_column(events).alias("d"), (result == s.failed).cast("int").alias("failed"),
         R.reading(F.col("odometer_value"), F.col("odometer_unit"), F.col("odometer_result_type"), s.km_factor)
-         .alias("miles"))
+         .alias("miles"), *also)
 
 
 def prepare_entities(entities: DataFrame, rules: ScopeRules | None = None, sample_pct: int | None = None,
@@ -170,13 +171,15 @@ def with_items(events: DataFrame, counts: DataFrame) -> DataFrame:
 
 # ---- features -----------------------------------------------------------------
 
-def cycle_table(events: DataFrame, items: DataFrame, s: Settings, text_rules: TextRules | None = None,
+def cycle_table(events: DataFrame, items: DataFrame | None, s: Settings, text_rules: TextRules | None = None,
                 key_filter: Column | None = None, chosen: bool = False) -> DataFrame:
     """Events -> first of day -> counted items -> cycles. The cut comes first: it shrinks hot entities.
 
     With a sample or a family (``chosen``) items are cut to the events left before they are classified and counted;
-    for the full population that join would cost more than it saves.
+    for the full population that join would cost more than it saves. Without items the events carry their counts.
     """
+    if items is None:
+        return cycles(first_of_day(prepare_events(events, s, key_filter, also=COUNTED)), s.gap_days)
     daily = first_of_day(prepare_events(events, s, key_filter))
     if chosen or key_filter is not None:
         items = items.join(daily.select(EVENT), EVENT, "left_semi")

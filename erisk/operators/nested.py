@@ -1,13 +1,12 @@
 """The same features on nested documents: array columns only, no explode, no shuffle."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from erisk.functions import rules as R
 from erisk.operators import history as H, model as M
 from erisk.settings import ScopeRules, Settings
 from erisk.sources.models import rules_from_block
-from erisk.sources.records import to_tables
 
 # The texts given for records that cannot be scored.
 NOT_COVERED = "Motorcycles and scooters aren't covered: this model is for cars and light vans."
@@ -15,20 +14,30 @@ NO_START = "No first-registration date on record."
 WORK = ("__tests", "__cycles", "__start", "__pred", "__before", "__last", "__n")
 
 
+def counted(test: Column, s: Settings, cond) -> Column:
+    kind = lambda d: F.upper(d["type"]) if s.fold_result_case else d["type"]
+    return F.size(F.filter(F.coalesce(test["defects"], F.array()), lambda d: cond(kind(d))))
+
+
+def fail_items(test: Column, s: Settings) -> Column:
+    return counted(test, s, lambda kind: kind.isin(*s.fail_types))
+
+
+def advisories(test: Column, s: Settings) -> Column:
+    return counted(test, s, lambda kind: kind == s.advisory_type)
+
+
 def with_cycles(records: DataFrame, s: Settings, out: str = "__cycles") -> DataFrame:
     """The cycles of a document as an array of (at, day, failed, miles, fail_items, advisories)."""
     in_time = lambda d: d.isNotNull() if s.snapshot_end is None else d <= F.lit(s.snapshot_end).cast("date")
     tests = F.filter("motTests", lambda t: R.result_text(t["testResult"], s).isin(s.passed, s.failed)
                      & R.known_source(t["dataSource"], s) & in_time(R.day(t["completedDate"])))
-    kind = lambda d: F.upper(d["type"]) if s.fold_result_case else d["type"]
-    count = lambda t, cond: F.size(F.filter(F.coalesce(t["defects"], F.array()), cond))
     brief = F.transform(tests, lambda t: F.struct(
         t["completedDate"].alias("at"), (R.result_text(t["testResult"], s) != s.failed).alias("passed"),
         t["motTestNumber"].alias("id"), R.day(t["completedDate"]).alias("day"),
         (R.result_text(t["testResult"], s) == s.failed).cast("int").alias("failed"),
         R.reading(t["odometerValue"], t["odometerUnit"], t["odometerResultType"], s.km_factor).alias("miles"),
-        count(t, lambda d: kind(d).isin(*s.fail_types)).alias("fail_items"),
-        count(t, lambda d: kind(d) == s.advisory_type).alias("advisories")))
+        fail_items(t, s).alias("fail_items"), advisories(t, s).alias("advisories")))
     # natural struct order: time, fail first, event id
     ordered = records.withColumn("__tests", F.sort_array(F.coalesce(brief, F.array())))
     kept = F.filter("__tests", lambda t, i: (i == 0) | (
@@ -42,12 +51,16 @@ def start(first="firstUsedDate", registered="registrationDate") -> Column:
 
 def prediction_day(s: Settings, today: Column) -> Column:
     """The latest expiry of any pass, else the third anniversary, never before today; no start: today."""
-    expiries = F.transform(
+    due = F.coalesce(latest_expiry(s), R.add_three_years(start()))
+    return F.greatest(F.coalesce(due, today), today)
+
+
+def latest_expiry(s: Settings) -> Column:
+    """The latest expiry of any pass in a document."""
+    return F.array_max(F.transform(
         F.filter("motTests", lambda t: (R.result_text(t["testResult"], s) == s.passed)
                  & (F.coalesce(t["expiryDate"], F.lit("")) != "")),
-        lambda t: R.day(t["expiryDate"]))
-    due = F.coalesce(F.array_max(expiries), R.add_three_years(start()))
-    return F.greatest(F.coalesce(due, today), today)
+        lambda t: R.day(t["expiryDate"])))
 
 
 def as_of_features(df: DataFrame, pred: str, cycles: str = "__cycles", start_col: str = "__start") -> DataFrame:
@@ -89,23 +102,51 @@ def features_at(records: DataFrame, dates: DataFrame, s: Settings) -> DataFrame:
     out = as_of_features(dates.join(brief, "registration"), "test_date")
     if parts is None:
         return out
-    entities, events, items = to_tables(parts)
-    return out.unionByName(relational_as_of(entities, events, items, dates, s).select(out.columns))
-
-
-def relational_as_of(entities: DataFrame, events: DataFrame, items: DataFrame, dates: DataFrame,
-                     s: Settings) -> DataFrame:
-    """N3's relational twin for documents in parts: cycles are bounded per entity, so they fit one array."""
-    table = H.cycle_table(events, items, s)
-    arrays = table.groupBy("registration").agg(F.sort_array(F.collect_list(F.struct(
+    people = people_of(parts, s).select("registration", "__start")
+    ready = dates.join(people, "registration").join(cycle_arrays(parts, s), "registration", "left")
+    return out.unionByName(as_of_features(with_empty(ready), "test_date").select(out.columns))
+
+
+def people_of(parts: DataFrame, s: Settings) -> DataFrame:
+    """Attributes and latest expiry of each entity, from its documents in parts."""
+    known = lambda c: F.first(c, ignorenulls=True).alias(c)
+    return (parts.where("registration IS NOT NULL").select("*", latest_expiry(s).alias("__expiry")).groupBy("registration")
+            .agg(*[known(c) for c in ("make", "model", "firstUsedDate", "registrationDate")], F.max("__expiry").alias("__expiry"))
+            .withColumn("__start", start()))
+
+
+def counted_events(parts: DataFrame, s: Settings) -> DataFrame:
+    """The events of documents in parts with their item counts: items are counted inside a document, so only events move.
+    Parts of one event are merged; its count is that of all its items."""
+    fields = {"motTestNumber": "mot_test_number", "completedDate": "completed_date", "testResult": "test_result",
+              "odometerValue": "odometer_value", "odometerUnit": "odometer_unit", "odometerResultType": "odometer_result_type",
+              "dataSource": "data_source"}
+    tests = parts.select("registration", F.explode("motTests").alias("t")).select(
+        "registration", *[F.col(f"t.{a}").alias(b) for a, b in fields.items()],
+        advisories(F.col("t"), s).alias("n_advisory"), fail_items(F.col("t"), s).alias("n_fail_items"))
+    merged = tests.repartition("mot_test_number").groupBy("registration", *fields.values()).agg(*[F.sum(c).alias(c) for c in H.COUNTED])
+    total = lambda c: F.when(F.col("mot_test_number").isNotNull(), F.sum(c).over(Window.partitionBy("mot_test_number"))).otherwise(F.lit(0))
+    return merged.select(*[c for c in merged.columns if c not in H.COUNTED], *[total(c).alias(c) for c in H.COUNTED])
+
+
+def cycle_arrays(parts: DataFrame, s: Settings) -> DataFrame:
+    """N1's relational twin for documents in parts: cycles are bounded per entity, so they fit one array."""
+    table = H.cycle_table(counted_events(parts, s), None, s)
+    return table.groupBy("registration").agg(F.sort_array(F.collect_list(F.struct(
         F.col("completed_date").cast("string").alias("at"), (F.col("failed") == 0).alias("passed"),
         F.col("mot_test_number").alias("id"), F.col("d").alias("day"), "failed", "miles",
         F.col("n_fail_items").cast("int").alias("fail_items"),
         F.col("n_advisory").cast("int").alias("advisories")))).alias("__cycles"))
-    begun = entities.select("registration", R.start_day(blank_is_missing=True).alias("__start"))
-    ready = dates.join(begun, "registration").join(arrays, "registration", "left") \
-        .withColumn("__cycles", F.coalesce("__cycles", F.array().cast(dict(arrays.dtypes)["__cycles"])))
-    return as_of_features(ready, "test_date")
+
+
+def with_empty(df: DataFrame) -> DataFrame:
+    return df.withColumn("__cycles", F.coalesce("__cycles", F.array().cast(dict(df.dtypes)["__cycles"])))
+
+
+def without_texts(records: DataFrame) -> DataFrame:
+    """Documents without the texts of their items, most of their bytes; no score reads them."""
+    brief = lambda d: F.struct(d["type"].alias("type"), F.lit(None).cast("string").alias("text"), d["dangerous"].alias("dangerous"))
+    return records.withColumn("motTests", F.transform("motTests", lambda t: t.withField("defects", F.transform(t["defects"], brief))))
 
 
 def judged(df: DataFrame, model: dict, rules: ScopeRules) -> DataFrame:
@@ -141,15 +182,10 @@ def score_records(records: DataFrame, model: dict, s: Settings, today: Column,
     out = judged(as_of_features(ready, "__pred"), model, rules)
     if parts is None:
         return out
-    entities, events, items = to_tables(parts)
-    passes = events.where((R.result_text("test_result", s) == s.passed) & (F.coalesce("expiry_date", F.lit("")) != "")) \
-        .groupBy("registration").agg(F.max(R.day("expiry_date")).alias("__expiry"))
-    begun = R.start_day(blank_is_missing=True)
-    due = entities.join(passes, "registration", "left").withColumn(
-        "__pred", F.greatest(F.coalesce(F.col("__expiry"), R.add_three_years(begun), today), today))
-    dates = due.select("registration", F.col("__pred").alias("test_date"))
-    built = relational_as_of(entities, events, items, dates, s).withColumnRenamed("test_date", "__pred")
-    return out.unionByName(judged(built.join(entities.select("registration", "make", "model"), "registration"), model, rules))
+    due = F.greatest(F.coalesce(F.col("__expiry"), R.add_three_years(start()), today), today)
+    people = people_of(parts, s).select("registration", "make", "model", due.alias("__pred"), "__start")
+    built = with_empty(people.join(cycle_arrays(parts, s), "registration", "left"))
+    return out.unionByName(judged(as_of_features(built, "__pred"), model, rules))
 
 
 # Tolerances of the parity check.

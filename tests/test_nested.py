@@ -234,3 +234,11 @@ def test_hot_keys_give_the_same_parts(tables, monkeypatch):
     for name, limit in (("HOT_TESTS", 41), ("HOT_ITEMS", 51), ("HOT_ENTITY_ITEMS", 60)):
         monkeypatch.setattr(RC, name, limit)
     assert export() == want
+
+
+def test_items_of_parts_are_counted_in_their_document(tables):
+    """Scores of documents in parts move no items."""
+    people, tests, found = tables
+    docs = RC.export_records(people, tests, found, max_tests=25, max_items=30)
+    plan = N.score_records(docs, READY, S, F.lit("2019-01-01").cast("date"), RULES)._jdf.queryExecution().analyzed().toString()
+    assert "explode(motTests" in plan and "defects AS d" not in plan and "explode(t#" not in plan
