@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from erisk.operators.nested import score_records
+from erisk.operators.nested import score_records, without_texts
 from erisk.session import durable, shared_folder
 from erisk.settings import Settings
 
@@ -23,39 +23,53 @@ def score_stream(records: DataFrame, model: dict, s: Settings, today: Column) ->
 
 
 ARRIVAL = "registration string, part bigint, n_parts bigint, batch bigint, arrived timestamp"
-SETTLED = "registration string, complete boolean, n_seen bigint, n_parts bigint, batches array<bigint>"
+SETTLED = "registration string, complete boolean, n_seen bigint, n_parts bigint, batches array<bigint>, parts array<bigint>"
+WAITING = ("registration", "part", "n_parts", "batch", "at", "deadline")
+BUCKETS = 1024     # Python calls a micro-batch at most, whatever the number of entities; fixed, as state is kept by it
 
 
 def settle_parts(arrivals: DataFrame, limit_seconds: int) -> DataFrame:
     """Keyed state of the parts of each entity: a row when all have arrived, or when some are missing ``limit_seconds`` after
     the last of them came.
 
-    The state holds numbers only, which parts and the batches they lie in; the parts themselves never meet in a task. Time is
-    the watermark of arrivals, so the limit counts from what the stream has seen, not from the clock of a machine.
+    The state holds numbers only, which parts of unfinished entities came and the batches they lie in; the parts themselves
+    never meet in a task. A state is that of a hash bucket of entities, so a call settles many at once. Time is the watermark
+    of arrivals, so the limit counts from what the stream has seen, not from the clock of a machine.
     """
     def settle(key, chunks, state):
         import pandas as pd
 
-        seen, batches, n_parts, latest = (list(x) if isinstance(x, (list, tuple)) else x for x in (state.get if state.exists else ([], [], 0, 0)))
-        if state.hasTimedOut:
+        now = state.getCurrentWatermarkMs()
+        held = pd.DataFrame(dict(zip(WAITING, state.get, strict=True)) if state.exists else {c: [] for c in WAITING})
+        fresh = [] if state.hasTimedOut else [c[list(WAITING[:-1])].assign(deadline=-1) for c in chunks]
+        rows = pd.concat([x for x in (held, *fresh) if len(x)]).reset_index(drop=True)
+        entity = rows.groupby("registration", dropna=False, sort=False)
+        is_fresh = entity["deadline"].transform("min") < 0
+        latest = entity["at"].transform("max") + 1000 * limit_seconds
+        rows["deadline"] = rows["deadline"].where(~is_fresh, latest.clip(lower=now + 1)).astype("int64")
+        n_parts, n_seen = entity["n_parts"].transform("max"), entity["part"].transform("nunique")
+        complete = n_seen >= n_parts
+        done = complete | (rows["deadline"] < now)
+        if done.any():
+            found = {}
+            for name, full, seen, n, b, p in zip(*(x[done] for x in (rows["registration"], complete, n_seen, n_parts, rows["batch"], rows["part"])), strict=True):
+                name = None if pd.isna(name) else name
+                found.setdefault(name, (name, full, seen, n, set(), set()))
+                found[name][4].add(int(b))
+                found[name][5].add(int(p))
+            yield pd.DataFrame([(*x[:4], sorted(x[4]), sorted(x[5])) for x in found.values()],
+                               columns=["registration", "complete", "n_seen", "n_parts", "batches", "parts"])
+        left = rows[~done]
+        if len(left):
+            state.update(tuple([None if pd.isna(v) else v if c == "registration" else int(v) for v in left[c]] for c in WAITING))
+            state.setTimeoutTimestamp(int(left["deadline"].min()))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame({"registration": [key[0]], "complete": [False], "n_seen": [len(seen)], "n_parts": [n_parts], "batches": [batches]})
-            return
-        for chunk in chunks:
-            seen = sorted(set(seen) | {int(p) for p in chunk["part"]})
-            batches = sorted(set(batches) | {int(b) for b in chunk["batch"]})
-            n_parts = max(n_parts, int(chunk["n_parts"].max()))
-            latest = max(latest, int(chunk["arrived"].max().timestamp() * 1000))
-        if len(seen) >= n_parts:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"registration": [key[0]], "complete": [True], "n_seen": [len(seen)], "n_parts": [n_parts], "batches": [batches]})
-        else:
-            state.update((seen, batches, n_parts, latest))
-            state.setTimeoutTimestamp(max(latest + 1000 * limit_seconds, state.getCurrentWatermarkMs() + 1))
-
-    return arrivals.withWatermark("arrived", "0 seconds").groupBy("registration").applyInPandasWithState(
-        settle, SETTLED, "seen array<bigint>, batches array<bigint>, n_parts bigint, latest bigint", "append", "EventTimeTimeout")
+
+    bucket = F.pmod(F.xxhash64("registration"), F.lit(BUCKETS))
+    waiting = "registration array<string>, " + ", ".join(f"{c} array<bigint>" for c in WAITING[1:])
+    dealt = arrivals.withWatermark("arrived", "0 seconds").withColumn("at", F.unix_millis("arrived")).withColumn("bucket", bucket)
+    return dealt.groupBy("bucket").applyInPandasWithState(settle, SETTLED, waiting, "append", "EventTimeTimeout")
 
 
 def score_to_table(spark: SparkSession, records: DataFrame, model: dict, s: Settings, today: Column, folder: str,
@@ -68,15 +82,16 @@ def score_to_table(spark: SparkSession, records: DataFrame, model: dict, s: Sett
     batch scorer splits them over tasks. Entities with a part missing after ``limit_seconds`` are reported by ``lost_parts``.
     Outputs of a batch are overwritten when it is repeated, so a restart gives each score once.
     """
-    schema = records.schema
+    schema, types = records.schema, dict(records.dtypes)
     parts_of, arrivals, out, lost = (f"{folder}/{x}" for x in ("parts", "arrivals", "out", "lost"))
     several = F.coalesce("n_parts", F.lit(1)) > 1
 
     def take(df: DataFrame, number: int) -> None:
-        df = durable(df.withColumn("__arrived", F.current_timestamp() if arrived is None else arrived))
-        score_records(df.where(~several).drop("__arrived"), model, s, today).write.mode("overwrite").parquet(f"{out}/whole/batch={number}")
-        parts = df.where(several)
-        parts.drop("__arrived").write.mode("overwrite").parquet(f"{parts_of}/batch={number}")
+        score_records(df.where(~several), model, s, today).write.mode("overwrite").parquet(f"{out}/whole/batch={number}")
+        at = F.current_timestamp() if arrived is None else arrived
+        df.where(several).withColumn("__arrived", at).write.mode("overwrite").parquet(f"{parts_of}/batch={number}")
+        parts = df.sparkSession.read.schema(f"registration string, part {types['part']}, n_parts {types['n_parts']}, __arrived timestamp") \
+            .parquet(f"{parts_of}/batch={number}")
         parts.select("registration", F.col("part").cast("bigint"), F.col("n_parts").cast("bigint"), F.lit(number).cast("bigint").alias("batch"),
                      F.col("__arrived").alias("arrived")).write.mode("overwrite").parquet(f"{arrivals}/{number}")
 
@@ -85,13 +100,11 @@ def score_to_table(spark: SparkSession, records: DataFrame, model: dict, s: Sett
         df.where("NOT complete").select("registration", "n_seen", "n_parts").write.mode("overwrite").parquet(f"{lost}/batch={number}")
         ready = df.where("complete")
         numbers = sorted({b for r in ready.select(F.explode("batches").alias("b")).distinct().collect() for b in r})   # micro-batches
-        stored = [session.read.schema(schema).parquet(f"{parts_of}/batch={b}") for b in numbers]
-        if not stored:
+        if not numbers:
             return
-        every = stored[0]
-        for more in stored[1:]:
-            every = every.unionByName(more)
-        own = every.join(ready.select("registration"), "registration", "left_semi").dropDuplicates(["registration", "part"])
+        every = without_texts(session.read.schema(schema).parquet(*[f"{parts_of}/batch={b}" for b in numbers]))
+        keys = ready.select("registration", F.explode("parts").alias("part")).withColumn("part", F.col("part").cast(types["part"]))
+        own = every.join(keys, ["registration", "part"], "left_semi").dropDuplicates(["registration", "part"])
         score_records(own, model, s, today).write.mode("overwrite").parquet(f"{out}/parts/batch={number}")
 
     def run(stream: DataFrame, step, name: str) -> None:

@@ -242,3 +242,13 @@ def test_items_of_parts_are_counted_in_their_document(tables):
     docs = RC.export_records(people, tests, found, max_tests=25, max_items=30)
     plan = N.score_records(docs, READY, S, F.lit("2019-01-01").cast("date"), RULES)._jdf.queryExecution().analyzed().toString()
     assert "explode(motTests" in plan and "defects AS d" not in plan and "explode(t#" not in plan
+
+
+def test_many_entities_settle_in_one_call(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "BUCKETS", 1)
+    rows = [(f"E{k}", part, 2, 0, None) for k in range(50) for part in range(2 if k % 5 else 1)]
+    spark.createDataFrame(rows, jobs.ARRIVAL).withColumn("arrived", F.lit("2020-01-01").cast("timestamp")).write.parquet(str(tmp_path / "in"))
+    jobs.run_available(jobs.settle_parts(spark.readStream.schema(jobs.ARRIVAL).parquet(str(tmp_path / "in")), 60), str(tmp_path / "out"), str(tmp_path / "check"))
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {r["registration"] for r in got} == {f"E{k}" for k in range(50) if k % 5} and len(got) == 40
+    assert all(r["complete"] and (r["n_seen"], r["n_parts"], r["batches"], r["parts"]) == (2, 2, [0], [0, 1]) for r in got)
