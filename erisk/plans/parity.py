@@ -1,20 +1,27 @@
 """Parity cases: records of chosen entities beside the values the relational path expects."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from erisk.operators import model as M, nested as N, sampling as SP
+from erisk.session import durable
 from erisk.settings import Settings
 from erisk.sources.tables import RECORD_SCHEMA
 
 
-def build_cases(scored: DataFrame, records: DataFrame, pools: dict, sizes: dict, entity: str = "registration",
+def build_cases(scored: DataFrame, records: DataFrame | Callable[[DataFrame, int], DataFrame], pools: dict, sizes: dict, entity: str = "registration",
                 row_key: str = "mot_test_number") -> DataFrame:
     """One case per sampled row: its pool, day, whole record and expected features, label, probability and band.
 
-    ``scored`` has features, ``p`` and ``band``. Documents in parts give one case per part.
+    ``scored`` has features, ``p`` and ``band``. ``records`` are the documents, or a function that builds those of the
+    entities listed in a table, given a limit of its rows. Documents in parts give one case per part.
     """
     picked = SP.sample_pools(scored, pools, sizes, entity, row_key)
+    if not isinstance(records, DataFrame):
+        picked = durable(picked)
+        records = records(picked.select(entity).distinct(), sum(sizes[p] for p in pools))
     vehicle = records.select(entity, F.struct(*[F.col(f.name) for f in RECORD_SCHEMA.fields]).alias("vehicle"))
     numbers = F.create_map(*[x for c in M.NUMERIC for x in (F.lit(c), F.col(c).cast("double"))])
     return picked.join(vehicle, entity).select(

@@ -86,6 +86,14 @@ def defect_arrays(items: DataFrame, max_items: int, hot_events: DataFrame, n: in
     return both(whole, parts)
 
 
+def of_entities(entities: DataFrame, events: DataFrame, items: DataFrame, keys: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of the listed entities (at most ``n``, one row each), cut at the scan before anything is shuffled."""
+    keys = few(keys, n)
+    events = events.join(keys, "registration", "left_semi")
+    chosen, n_events = counted(events.select("mot_test_number").distinct())
+    return entities.join(keys, "registration", "left_semi"), events, items.join(few(chosen, n_events), "mot_test_number", "left_semi")
+
+
 def export_records(entities: DataFrame, events: DataFrame, items: DataFrame, max_tests: int = 5_000,
                    max_items: int = 5_000, max_document_items: int = 20_000) -> DataFrame:
     """Rebuild every entity's whole history, tests by date and number inside a document.

@@ -252,3 +252,11 @@ def test_many_entities_settle_in_one_call(spark, tmp_path, monkeypatch):
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert {r["registration"] for r in got} == {f"E{k}" for k in range(50) if k % 5} and len(got) == 40
     assert all(r["complete"] and (r["n_seen"], r["n_parts"], r["batches"], r["parts"]) == (2, 2, [0], [0, 1]) for r in got)
+
+
+def test_documents_of_listed_entities(tables, spark):
+    people, tests, found = tables
+    keys = spark.createDataFrame([("HOT",), ("K1",), ("EMPTY",)], "registration string")
+    docs = lambda *t: sorted(map(str, RC.export_records(*t, max_tests=40, max_items=50).collect()))
+    every = RC.export_records(people, tests, found, max_tests=40, max_items=50).join(keys, "registration", "left_semi")
+    assert docs(*RC.of_entities(people, tests, found, keys, 3)) == sorted(map(str, every.collect()))

@@ -568,6 +568,11 @@ def documents(spark, sf):
     return RC.export_records(W.entities(spark, sf), W.events(spark, sf), W.items(spark, sf))
 
 
+def documents_of(spark, sf):
+    """Builds the documents of at most n listed entities."""
+    return lambda keys, n: RC.export_records(*RC.of_entities(W.entities(spark, sf), W.events(spark, sf), W.items(spark, sf), keys, n))
+
+
 @query
 def nested_history_export(spark, sf):
     """S9, flattened to one row per document with totals that pin its content."""
@@ -655,7 +660,7 @@ def stream_score(spark, sf):
 def parity_cases(spark, sf):
     """Cases of five pools written, read back and computed anew from their records."""
     pools, folder = feature_pools(), shared_folder(spark, "cases")
-    cases = parity.build_cases(M.scored(W.features(spark, sf), W.MODEL), documents(spark, sf), pools, {p: SIZES[p] for p in pools})
+    cases = parity.build_cases(M.scored(W.features(spark, sf), W.MODEL), documents_of(spark, sf), pools, {p: SIZES[p] for p in pools})
     RC.write_cases(cases, folder)
     checks = parity.check_cases(RC.read_cases(spark, folder), W.MODEL, W.SETTINGS)
     return checks.groupBy("group", "registration", "target_date").agg(F.count_if(~F.col("ok")).alias("mismatches"))
