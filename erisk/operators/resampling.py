@@ -154,17 +154,26 @@ def feistel(place: Column, n: int, *keys: Column, rounds: int = 4) -> Column:
     a = max(1, math.isqrt(max(n - 1, 0)) + 1)
     b = max(1, -(-n // a))
 
-    def once(p: Column) -> Column:
-        x, y = F.floor(p / b), p % b
-        for k in range(rounds):
+    def bound(value: Column, use) -> Column:      # a value named once, so that no use computes it again
+        return F.transform(F.array(value), use)[0]
+
+    def half(k: int):
+        def run(s: Column) -> Column:
+            x, y = s["x"], s["y"]
             word = F.md5(F.concat_ws("|", *[c.cast("string") for c in keys], F.lit(str(k)), (x if k % 2 else y).cast("string")))
             step = F.conv(F.substring(word, 1, 12), 16, 10).cast("bigint")
-            x, y = (x, (y + step) % b) if k % 2 else ((x + step) % a, y)
-        return x * b + y
+            return F.struct(*([x.alias("x"), ((y + step) % b).alias("y")] if k % 2 else [((x + step) % a).alias("x"), y.alias("y")]))
+        return run
+
+    def once(p: Column) -> Column:
+        state = F.struct(F.floor(p / b).alias("x"), (p % b).alias("y"))
+        for k in range(rounds):
+            state = bound(state, half(k))
+        return bound(state, lambda s: s["x"] * b + s["y"])
 
     # the first step always, then on while beyond n: fewer than a + b of the a * b places are
-    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), once(place.cast("bigint")),
-                       lambda p, _: F.when(p < n, p).otherwise(once(p)))
+    walk = lambda p: F.aggregate(F.sequence(F.lit(1), F.lit(64)), p, lambda q, _: F.when(q < n, q).otherwise(once(q)))
+    return bound(once(place.cast("bigint")), lambda p: F.when(p < n, p).otherwise(walk(p)))
 
 
 def permute_columns(df: DataFrame, key: str, columns, repeats: int, seed: int = 0) -> DataFrame:
