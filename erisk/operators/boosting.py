@@ -5,6 +5,10 @@ over the binned rows sums gradients, Hessians and counts per (node, feature, bin
 before the shuffle, so a pass moves and returns nodes x features x bins numbers, whatever the number of rows. Gradients are
 fixed-point integers: sums do not depend on the order of rows, and a repeated or moved task gives the same trees.
 
+Rows are kept as blocks, each feature of a block one run of bytes, so a pass reads a few arrays and no single rows. A row finds
+its leaf by the splits of a tree taken together: for each feature and bin a table has the leaves that stay open, and of those open
+in all tables the leftmost is the row's. Only rows of the nodes measured are scored.
+
 Growth is best first, yet several leaves share a pass: the split of a node depends on its own rows alone, so each pass measures
 all children that the best-first order, as known so far, would need, and the order is replayed until it needs no more. Of two
 children only the smaller is measured, the other is the parent less its sibling. Models of several feature sets are grown in
@@ -29,7 +33,8 @@ from erisk.session import durable, ship_package
 LEARNING_RATE, MAX_LEAVES, L2, MIN_LEAF_ROWS, HELD_OUT_PERCENT, PATIENCE, STOP_TOL = 0.05, 31, 1.0, 20, 15, 10, 1e-7
 BINS, MISSING, MIN_HESSIAN = 255, 255, 1e-3
 ONE = 2.0 ** 30        # fixed point: sums of 8 billion gradients fit 64 bits
-ROWS_A_TASK = 50_000   # a pass is short: fewer, fuller tasks start faster
+BLOCK = 16_384         # rows of a block; sums of a block stay below 2^53
+ROWS_A_TASK = 500_000  # a pass is short, and each task sends a table: fewer, fuller tasks, but one for each core
 ROUNDS_HELD = 16       # trees applied in passing before the running scores are written
 
 
@@ -83,24 +88,65 @@ class Tree:
         return self.left[node], self.right[node]
 
 
-def leaf_of(tree: Tree, codes: np.ndarray) -> np.ndarray:
-    """The leaf of each row of bin numbers."""
-    feature, cut, null_left, left, right = (np.array(x) for x in (tree.feature, tree.cut, tree.null_left, tree.left, tree.right))
-    at, inner = np.zeros(len(codes), np.int64), np.arange(len(codes))
-    while True:
-        inner = inner[feature[at[inner]] >= 0]
-        if not len(inner):
-            return at
-        node = at[inner]
-        b = codes[inner, feature[node]]
-        go_left = np.where(b == MISSING, null_left[node], b <= cut[node])
-        at[inner] = np.where(go_left, left[node], right[node])
-
-
-def summed(trees: list[Tree], codes: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(codes))
+@dataclass
+class Leaves:
+    """The leaves of a tree from left to right; by feature, bits of the leaves still open at a bin (None: too many leaves for bits)."""
+    tree: Tree
+    leaves: list[int] = field(default_factory=list)
+    tables: dict[int, np.ndarray] | None = field(default_factory=dict)
+
+    def __post_init__(self):
+        bits = np.uint32 if len(self.tree.feature) < 64 else np.uint64
+        if len(self.tree.feature) >= 128:
+            self.tables = None
+            return
+        every, todo, starts = int(np.iinfo(bits).max), [(0, False)], {}
+        while todo:
+            node, left_done = todo.pop()
+            f = self.tree.feature[node]
+            if f < 0:
+                self.leaves.append(node)
+            elif not left_done:
+                starts[node] = len(self.leaves)
+                todo += [(node, True), (self.tree.left[node], False)]
+            else:
+                right = np.arange(BINS + 1) > self.tree.cut[node]
+                right[MISSING] = not self.tree.null_left[node]
+                gone = (1 << len(self.leaves)) - (1 << starts[node])
+                self.tables.setdefault(f, np.full(BINS + 1, every, bits))[right] &= bits(every ^ gone)
+                todo.append((self.tree.right[node], False))
+
+    def of(self, codes) -> np.ndarray:
+        """The leaf of each row; codes are the bin numbers of each feature."""
+        if self.tables is None:
+            return self.walked(codes)
+        still = None
+        for f, table in self.tables.items():
+            still = table[codes[f]] if still is None else np.bitwise_and(still, table[codes[f]], out=still)
+        if still is None:
+            return np.zeros(len(codes[0]), np.int64)
+        lowest = (still & (~still + still.dtype.type(1))).astype(np.float64)
+        return np.array(self.leaves)[(lowest.view(np.int64) >> 52) - 1023]
+
+    def walked(self, codes) -> np.ndarray:
+        t = self.tree
+        feature, cut, null_left, left, right = (np.array(x) for x in (t.feature, t.cut, t.null_left, t.left, t.right))
+        every = np.stack(codes)
+        at, inner = np.zeros(every.shape[1], np.int64), np.arange(every.shape[1])
+        while True:
+            inner = inner[feature[at[inner]] >= 0]
+            if not len(inner):
+                return at
+            node = at[inner]
+            b = every[feature[node], inner]
+            go_left = np.where(b == MISSING, null_left[node], b <= cut[node])
+            at[inner] = np.where(go_left, left[node], right[node])
+
+
+def summed(trees: list[Leaves], codes) -> np.ndarray:
+    out = np.zeros(len(codes[0]))
     for t in trees:
-        out += np.array(t.value)[leaf_of(t, codes)]
+        out += np.array(t.tree.value)[t.of(codes)]
     return out
 
 
@@ -204,40 +250,80 @@ SUMS = "model int, node int, slot int, g bigint, h bigint, n bigint"
 LOSS = -1
 
 
+BLOCKS = "codes binary, y binary, raw binary, held int"
+
+
+def blocked(width: int, starts: list[float]):
+    """Rows as blocks: bin numbers by feature, outcomes, and running scores by model; held-out rows first, and their number."""
+    schema = pa.schema([("codes", pa.binary()), ("y", pa.binary()), ("raw", pa.binary()), ("held", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, n = [], 0
+
+        def block(rows: pa.Table) -> pa.RecordBatch:
+            held = rows.column("held").to_numpy()
+            order = np.argsort(~held, kind="stable")
+            codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(held), width)[order].T
+            raw = np.repeat(np.array(starts, np.float64), len(held))
+            return pa.RecordBatch.from_arrays([pa.array([codes.tobytes()], pa.binary()), pa.array([rows.column("y").to_numpy()[order].astype(np.float64).tobytes()], pa.binary()),
+                                               pa.array([raw.tobytes()], pa.binary()), pa.array([int(held.sum())], pa.int32())], schema=schema)
+
+        for b in batches:
+            waiting.append(b)
+            n += b.num_rows
+            if n >= BLOCK:
+                rows = pa.Table.from_batches(waiting)
+                for k in range(0, n - BLOCK + 1, BLOCK):
+                    yield block(rows.slice(k, BLOCK))
+                waiting = rows.slice(n - n % BLOCK).to_batches()
+                n %= BLOCK
+        if n:
+            yield block(pa.Table.from_batches(waiting))
+    return run
+
+
+def arrays(b: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Of each block: bin numbers (feature, row), running scores (model, row), and its place in the batch."""
+    for i in range(b.num_rows):
+        codes = np.frombuffer(b.column("codes")[i].as_buffer(), np.uint8).reshape(width, -1)
+        yield codes, np.frombuffer(b.column("raw")[i].as_buffer(), np.float64).reshape(-1, codes.shape[1]), i
+
+
 def measured(jobs: list[dict], width: int):
     """Sums of one task's rows for each job: (columns, trees not yet in the running score, growing tree, wanted nodes)."""
     schema = pa.schema([("model", pa.int32()), ("node", pa.int32()), ("slot", pa.int32()), ("g", pa.int64()), ("h", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [np.zeros((len(j["wanted"]), len(j["columns"]), BINS + 1, 3), np.int64) for j in jobs]
+        total = [np.zeros((3, len(j["columns"]), len(j["wanted"]) * (BINS + 1)), np.int64) for j in jobs]
         loss = np.zeros((len(jobs), 2), np.int64)
+        pending, growing = [[Leaves(t) for t in j["pending"]] for j in jobs], [Leaves(j["tree"]) for j in jobs]
         for b in batches:
-            if not b.num_rows:
-                continue
-            every = np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint8).reshape(b.num_rows, width)
-            y, held = b.column("y").to_numpy(), b.column("held").to_numpy(zero_copy_only=False)
-            raws = np.array(b.column("raw").to_pylist())
-            for k, j in enumerate(jobs):
-                codes = every[:, j["columns"]]
-                raw = raws[:, j["model"]] + summed(j["pending"], codes)
-                if j["judge"]:
-                    z, t = raw[held], y[held]
-                    loss[k] += np.rint((np.logaddexp(0, z) - t * z) * ONE).astype(np.int64).sum(), len(z)
-                codes, raw, t = codes[~held], raw[~held], y[~held]
-                p = 1 / (1 + np.exp(-raw))
-                place = np.full(len(j["tree"].feature), -1)
-                place[j["wanted"]] = np.arange(len(j["wanted"]))
-                own = place[leaf_of(j["tree"], codes)]
-                use = own >= 0
-                slot = ((own[use, None] * codes.shape[1] + np.arange(codes.shape[1])) * (BINS + 1) + codes[use]).ravel()
-                parts = [np.rint((p - t)[use] * ONE), np.rint((p * (1 - p))[use] * ONE), np.ones(int(use.sum()))]
-                for c, x in enumerate(parts):      # whole numbers below 2^53: sums of a batch are exact
-                    flat = np.bincount(slot, np.repeat(x, codes.shape[1]), total[k][..., c].size)
-                    total[k][..., c] += flat.reshape(total[k].shape[:3]).astype(np.int64)
+            for every, raws, i in arrays(b, width):
+                y, held = np.frombuffer(b.column("y")[i].as_buffer(), np.float64), b.column("held")[i].as_py()
+                for k, j in enumerate(jobs):
+                    if j["judge"] and held:
+                        z, t = raws[j["model"], :held] + summed(pending[k], [every[c, :held] for c in j["columns"]]), y[:held]
+                        loss[k] += np.rint((np.logaddexp(0, z) - t * z) * ONE).astype(np.int64).sum(), len(z)
+                    if held == len(y):
+                        continue
+                    codes, raw, t = [every[c, held:] for c in j["columns"]], raws[j["model"], held:], y[held:]
+                    place = np.full(len(j["tree"].feature), -1)
+                    place[j["wanted"]] = np.arange(len(j["wanted"]))
+                    own = place[growing[k].of(codes)]
+                    use = np.flatnonzero(own >= 0)
+                    if len(use) < len(own):
+                        codes, raw, t, own = [c[use] for c in codes], raw[use], t[use], own[use]
+                    p = 1 / (1 + np.exp(-(raw + summed(pending[k], codes))))
+                    g, h = np.rint((p - t) * ONE), np.rint(p * (1 - p) * ONE)     # whole numbers below 2^53: sums of a block are exact
+                    first = own * (BINS + 1)
+                    for f, c in enumerate(codes):
+                        slot = first + c
+                        for out, x in zip(total[k][:, f], (g, h, None), strict=True):
+                            out += np.bincount(slot, x, len(out)).astype(np.int64)
         for k, j in enumerate(jobs):
-            w, f, b = np.nonzero(total[k][..., 2])
+            f, w, b = np.nonzero(total[k][2].reshape(len(j["columns"]), len(j["wanted"]), BINS + 1))
             node = np.array(j["wanted"], np.int32)[w]
-            sums = total[k][w, f, b]
+            sums = total[k][:, f, w * (BINS + 1) + b].T
             if j["judge"]:
                 node, f, b = np.append(node, LOSS), np.append(f, 0), np.append(b, 0)
                 sums = np.concatenate([sums, [[loss[k, 0], 0, loss[k, 1]]]])
@@ -285,14 +371,14 @@ class Booster:
     def score(self, df: DataFrame) -> DataFrame:
         """Adds ``score``, the probability of the outcome."""
         ship_package(df.sparkSession)
-        cut, trees, start = [np.array(e[:-1], np.float64) for e in self.edges], self.trees, self.start
+        cut, trees, start = [np.array(e[:-1], np.float64) for e in self.edges], [Leaves(t) for t in self.trees], self.start
 
         @F.arrow_udf("double")
         def probability(*values: pa.Array) -> pa.Array:
-            codes = np.empty((len(values[0]), len(values)), np.uint8)
+            codes = np.empty((len(values), len(values[0])), np.uint8)
             for k, v in enumerate(values):
-                codes[:, k] = np.searchsorted(cut[k], v.fill_null(0.0).to_numpy(zero_copy_only=False), "left")
-                codes[v.is_null().to_numpy(zero_copy_only=False), k] = MISSING
+                codes[k] = np.searchsorted(cut[k], v.fill_null(0.0).to_numpy(zero_copy_only=False), "left")
+                codes[k, v.is_null().to_numpy(zero_copy_only=False)] = MISSING
             return pa.array(1 / (1 + np.exp(-(start + summed(trees, codes)))), pa.float64())
         return df.withColumn("score", probability(*[F.col(c).cast("double") for c in self.features]))
 
@@ -312,8 +398,8 @@ def fit(train: DataFrame, sets: dict[str, list[str]], label: str, key: str, max_
     rate = min(max(first[0] if first[1] else 0.5, 1e-6), 1 - 1e-6)
     start = math.log(rate / (1 - rate))
     models = {name: Booster(list(c), [edges[x] for x in c], start, [], []) for name, c in sets.items()}
-    tasks = max(1, -(-first[1] // ROWS_A_TASK))
-    rows = durable(rows.withColumn("raw", F.array(*[F.lit(start)] * len(sets))).repartition(tasks))
+    tasks = max(1, -(-first[1] // ROWS_A_TASK), min(spark.sparkContext.defaultParallelism, -(-first[1] // BLOCK)))
+    rows = durable(rows.repartition(tasks).mapInArrow(blocked(len(names), [start] * len(sets)), BLOCKS))
     place = {c: k for k, c in enumerate(names)}
     columns = [[place[c] for c in m.features] for m in models.values()]
     pending: list[list[Tree]] = [[] for _ in models]
@@ -348,14 +434,10 @@ def fit(train: DataFrame, sets: dict[str, list[str]], label: str, key: str, max_
 
 
 def advanced(rows: DataFrame, columns: list[list[int]], pending: list[list[Tree]], width: int) -> DataFrame:
-    """The rows with the pending trees added to their running scores."""
-    @F.arrow_udf("array<double>")
-    def added(codes: pa.Array, raw: pa.Array) -> pa.Array:
-        if not len(codes):
-            return pa.array([], pa.list_(pa.float64()))
-        every = np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(len(codes), width)
-        out = np.array(raw.to_pylist())
-        for k, trees in enumerate(pending):
-            out[:, k] += summed(trees, every[:, columns[k]])
-        return pa.array(list(out), pa.list_(pa.float64()))
-    return rows.withColumn("raw", added("codes", "raw"))
+    """The blocks with the pending trees added to their running scores."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = [[Leaves(t) for t in p] for p in pending]
+        for b in batches:
+            raw = [np.stack([raws[k] + summed(trees[k], [codes[c] for c in columns[k]]) for k in range(len(trees))]).tobytes() for codes, raws, _ in arrays(b, width)]
+            yield b.set_column(b.schema.get_field_index("raw"), "raw", pa.array(raw, pa.binary()))
+    return rows.mapInArrow(run, BLOCKS)

@@ -107,3 +107,41 @@ def test_bins(spark):
     codes = df.select("many", "few", B.binned(["many", "few", "none"], [edges[c] for c in ("many", "few", "none")]).alias("c")).collect()
     sizes = np.bincount([r["c"][0] for r in codes])
     assert sizes.max() <= 2 * sizes.min() and all(r["c"][1] == r["few"] and r["c"][2] == B.MISSING for r in codes)
+
+
+def grown(rng, leaves, features):
+    t = B.Tree()
+    while t.feature.count(-1) < leaves:
+        node = int(rng.choice([k for k, f in enumerate(t.feature) if f < 0]))
+        t.split(node, int(rng.integers(features)), int(rng.integers(B.BINS)), bool(rng.integers(2)))
+    t.value = list(rng.normal(size=len(t.feature)))
+    return t
+
+
+@pytest.mark.parametrize("leaves", [1, 2, 31, 32, 33, 64, 65, 90])
+def test_leaves_by_tables_are_those_of_a_walk(leaves):
+    rng = np.random.default_rng(leaves)
+    codes = rng.integers(0, B.BINS + 1, (5, 4000)).astype(np.uint8)
+    t = grown(rng, leaves, 5)
+    assert np.array_equal(B.Leaves(t).of(codes), B.Leaves(t).walked(codes))
+
+
+def test_a_pass_scores_only_rows_of_the_nodes_it_measures(spark, monkeypatch):
+    """Pending trees are applied to the rows of wanted nodes, and blocks are cut and filled as rows come."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(B, "BLOCK", 64)
+    n = 500
+    rows = pa.record_batch({"codes": pa.array([bytes([k % 200, k % 7]) for k in range(n)], pa.binary()), "y": pa.array([float(k % 2) for k in range(n)]), "held": pa.array([k % 5 == 0 for k in range(n)])})
+    blocks = list(B.blocked(2, [0.25])(iter([rows.slice(0, 30), rows.slice(30, 300), rows.slice(330)])))
+    assert [len(b.column("y")[0].as_buffer()) // 8 for b in blocks] == [64] * 7 + [52] and sum(b.column("held")[0].as_py() for b in blocks) == 100
+    tree, seen = B.Tree(), []
+    tree.split(0, 0, 9, True)                                   # rows of bin 0 to 9 of the first feature: 30 of 500, 24 not held out
+    plain = B.summed
+    monkeypatch.setattr(B, "summed", lambda trees, codes: seen.append(len(codes[0])) or plain(trees, codes))
+    job = {"model": 0, "columns": [0, 1], "pending": [B.Tree()], "tree": tree, "wanted": [1], "judge": False}
+    out = pa.Table.from_batches(B.measured([job], 2)(iter(blocks))).to_pandas()
+    want = [k for k in range(n) if k % 200 <= 9 and k % 5]
+    assert sum(seen) == len(want) and out[out.slot < B.BINS + 1].n.sum() == len(want)
+    p = 1 / (1 + np.exp(-0.25))
+    assert out[out.slot < B.BINS + 1].g.sum() == sum(int(np.rint((p - k % 2) * B.ONE)) for k in want)
