@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from erisk.functions.bands import order_of
-from erisk.session import durable
+from erisk.session import durable, freed_shuffles
 from erisk.sources.tables import RECORD_SCHEMA
 
 STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
@@ -28,7 +28,8 @@ TEST_KEYS = ["motTestNumber", "completedDate", "testResult", "odometerValue", "o
 
 def counted(hot: DataFrame) -> tuple[DataFrame, int]:
     """The hot keys as a durable list, and how many there are (counted up to just over MAX_BROADCAST)."""
-    hot = durable(hot)
+    with freed_shuffles(hot.sparkSession):
+        hot = durable(hot.select("*"))   # a new frame, as one keeps the setting it was made with
     return hot, hot.limit(MAX_BROADCAST + 1).count()
 
 
@@ -167,6 +168,12 @@ def read_records(spark, path: str, stream: bool = False) -> DataFrame:
     return (spark.readStream if stream else spark.read).schema(RECORD_SCHEMA).json(path)
 
 
+def write_records(records: DataFrame, path: str) -> None:
+    """Documents as compressed JSON lines. A file is what one task built, so it is read by one task as well."""
+    with freed_shuffles(records.sparkSession):
+        records.write.option("compression", "gzip").json(path)
+
+
 def parse_records(df: DataFrame, column: str) -> DataFrame:
     """S10 for documents that arrive as text in a column."""
     return df.select(F.from_json(column, RECORD_SCHEMA).alias("r")).select("r.*")

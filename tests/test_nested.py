@@ -254,6 +254,26 @@ def test_many_entities_settle_in_one_call(spark, tmp_path, monkeypatch):
     assert all(r["complete"] and (r["n_seen"], r["n_parts"], r["batches"], r["parts"]) == (2, 2, [0], [0, 1]) for r in got)
 
 
+def test_written_documents_are_compressed_and_their_shuffles_freed(tables, spark, tmp_path):
+    """The disk holds neither plain JSON nor, once the files are there, what was shuffled to build them."""
+    import time
+
+    people, tests, found = tables
+    docs = RC.export_records(people, tests, found, max_tests=25, max_items=30, max_document_items=60)
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {n for n in disk.getAllFiles().mkString("|").split("|") if "/shuffle_" in n}
+    before = shuffled()
+    RC.write_records(docs, str(tmp_path / "in"))
+    for _ in range(40):
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.5)
+    assert not left
+    assert {p.name.partition(".")[2] for p in (tmp_path / "in").glob("part-*")} == {"json.gz"}
+    rows = lambda df: sorted((r["registration"], r["part"], r["n_parts"], str(r["motTests"])) for r in df.collect())
+    assert rows(RC.read_records(spark, str(tmp_path / "in"))) == rows(docs)
+
+
 def test_documents_of_listed_entities(tables, spark):
     people, tests, found = tables
     keys = spark.createDataFrame([("HOT",), ("K1",), ("EMPTY",)], "registration string")

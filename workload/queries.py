@@ -625,7 +625,7 @@ def documents_in_parts(spark, sf):
 
 def through_json(spark, docs, name):
     folder = shared_folder(spark, name)
-    docs.write.json(f"{folder}/in")
+    RC.write_records(docs, f"{folder}/in")
     return folder
 
 
