@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from erisk.operators.nested import score_records, without_texts
-from erisk.session import durable, shared_folder
+from erisk.session import durable, freed_shuffles, shared_folder
 from erisk.settings import Settings
 
 
@@ -89,7 +89,7 @@ def score_to_table(spark: SparkSession, records: DataFrame, model: dict, s: Sett
     def take(df: DataFrame, number: int) -> None:
         score_records(df.where(~several), model, s, today).write.mode("overwrite").parquet(f"{out}/whole/batch={number}")
         at = F.current_timestamp() if arrived is None else arrived
-        df.where(several).withColumn("__arrived", at).write.mode("overwrite").parquet(f"{parts_of}/batch={number}")
+        df.where(several).withColumn("__arrived", at).write.mode("overwrite").option("compression", "zstd").parquet(f"{parts_of}/batch={number}")
         parts = df.sparkSession.read.schema(f"registration string, part {types['part']}, n_parts {types['n_parts']}, __arrived timestamp") \
             .parquet(f"{parts_of}/batch={number}")
         parts.select("registration", F.col("part").cast("bigint"), F.col("n_parts").cast("bigint"), F.lit(number).cast("bigint").alias("batch"),
@@ -105,7 +105,8 @@ def score_to_table(spark: SparkSession, records: DataFrame, model: dict, s: Sett
         every = without_texts(session.read.schema(schema).parquet(*[f"{parts_of}/batch={b}" for b in numbers]))
         keys = ready.select("registration", F.explode("parts").alias("part")).withColumn("part", F.col("part").cast(types["part"]))
         own = every.join(keys, ["registration", "part"], "left_semi").dropDuplicates(["registration", "part"])
-        score_records(own, model, s, today).write.mode("overwrite").parquet(f"{out}/parts/batch={number}")
+        with freed_shuffles(session):
+            score_records(own, model, s, today).write.mode("overwrite").parquet(f"{out}/parts/batch={number}")
 
     def run(stream: DataFrame, step, name: str) -> None:
         stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint-{name}") \
