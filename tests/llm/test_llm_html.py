@@ -136,3 +136,25 @@ def test_keys_of_all_hosts_are_sorted(spark, prose):
     assert packed.selectExpr("sum(length(keys)) / 5").first()[0] >= 5 * len(set(html.filed(text, host)[1].tolist())) / 2
     keys = packed.coalesce(1).sortWithinPartitions("bucket").mapInArrow(html.shared_keys, "key long")
     assert {r["key"] for r in keys.collect()} == set(html.filed(text, host)[1].tolist())
+
+
+def test_open_text_beside_an_article_is_in_the_array(spark, prose):
+    """A teaser beside an article makes the same run of an open page a repeat; blocks of two kinds are no run together."""
+    teaser, head, tail = prose("teaser", 16), prose("head", 6), prose("tail", 6)
+    flat = lambda t: " ".join(t.split())
+    rows = [(0, "http://a.example/0", page(f"<p>{prose('a', 25)} {teaser} {prose('b', 5)}</p>")), (1, "http://a.example/1", page(f"<div>{teaser}</div><article>{prose('c', 9)}</article>")),
+            (2, "http://a.example/2", page(f"<p>{head} {tail}</p>")), (3, "http://a.example/3", page(f"<nav>{head}</nav><article>{prose('d', 9)}</article><p>{tail}</p>"))]
+    got = {r["page_id"]: r["text"] for r in html.extracted(pages(spark, rows)).collect()}
+    assert got == {0: flat(f"{prose('a', 25)} {prose('b', 5)}"), 1: flat(prose("c", 9)), 2: flat(f"{head} {tail}"), 3: flat(prose("d", 9))}
+
+
+def test_repeats_of_all_blocks_are_sorted_by_words(spark, prose, monkeypatch):
+    """Menus and articles that pages of a host share are in the array of words, without any open text; articles stay whole."""
+    menu, text = " ".join(prose("menu", 20).split()), " ".join(prose("text", 30).split())
+    rows = [(k, f"http://a.example/{k}", page(f"<nav>{menu}</nav><article>{text if k < 2 else prose(k, 30)}</article>")) for k in range(4)]
+    kept, write = {}, html.written
+    monkeypatch.setattr(html, "written", lambda df, name: kept.setdefault(name, write(df, name)))
+    got = {r["page_id"]: r["text"] for r in html.extracted(pages(spark, rows)).collect()}
+    assert got == {k: " ".join((text if k < 2 else prose(k, 30)).split()) for k in range(4)}
+    starts = {" ".join(t.split()[k:k + html.PREFIX]) for t in (menu, text) for k in range(len(t.split()) - html.PREFIX + 1)}
+    assert {r["prefix"] for r in kept["repeats"].collect()} == starts
